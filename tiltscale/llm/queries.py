@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, shards, token_files
+from . import chat, decontam, quality, shards, simhash, token_files
 from .shared import read
 
 SHARDS = 8
@@ -20,6 +20,27 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(index, path, tokenizer)
 
 
+def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.size(decontam.hit_words(F.col("spans"))).cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(read(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
@@ -46,6 +67,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_simhash_bktree": op3_simhash_bktree,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_chat_format": op9_chat_format,
 }
@@ -69,4 +93,58 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op9_chat_format": _OP9}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP5 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS t FROM d, unnest(range(1, len(w) - 3)) AS x(i)
+), twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, t) > 1
+), repeated AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r
+), line AS (
+  SELECT r, host, text, array_to_string(regexp_extract_all({_LOWER.format('x')}, '[^\x20\x09-\x0D]+'), ' ') AS line FROM (SELECT r, host, text, unnest(lines) AS x FROM d)
+), limits AS (
+  SELECT host, greatest({quality.MIN_TEXTS}, count(DISTINCT text) * {quality.MAX_SHARE}) AS lim FROM d GROUP BY host
+), frequent AS (
+  SELECT host, line FROM line JOIN limits USING (host) GROUP BY host, line HAVING count(DISTINCT text) > any_value(lim)
+), removed AS (
+  SELECT r, sum(len(string_split(line, ' '))) AS removed_words FROM line JOIN frequent USING (host, line) GROUP BY r
+), m AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r)
+)
+SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed,
+  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words) AND NOT n_words - removed_words < {quality.KEEP_SHARE} * n_words AS kept
+FROM m
+"""
+
+_OP6 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT *, least({decontam.WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS x(i)
+), dw AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(w) - n + 2)) AS x(i)
+), h AS (
+  SELECT r, i, dw.n, item FROM dw JOIN bw USING (n, t)
+), words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _OP5, "op6_decontamination": _OP6, "op9_chat_format": _OP9}
