@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lanczos coefficients for g = 7, nine terms.
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -25,40 +28,64 @@ def lbeta(a: Column, b: Column) -> Column:
     return lgamma(a) + lgamma(b) - lgamma(a + b)
 
 
-def _steps(start: list[Column], step) -> Column:
-    """Iterate a state of doubles STEPS times; ``step`` gets the state and the step's number."""
-    names = [f"s{i}" for i in range(len(start))]
-    pack = lambda xs: F.struct(*[x.cast("double").alias(n) for n, x in zip(names, xs, strict=True)])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), pack(start), lambda s, i: pack(step([s[n] for n in names], i)), lambda s: s[names[-1]])
-
-
-def _safe(x: Column) -> Column:
-    return F.when(F.abs(x) < 1e-300, F.lit(1e-300)).otherwise(x)
+def _np_lgamma(x: np.ndarray) -> np.ndarray:
+    z = x - 1
+    total = LANCZOS[0] + sum(c / (z + i) for i, c in enumerate(LANCZOS) if i)
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(total)
 
 
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+def _np_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The incomplete beta function's continued fraction, by modified Lentz steps."""
-
-    def step(state: list[Column], m: Column) -> list[Column]:
-        a, b, x, c, d, h = state
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d1 = 1 / _safe(1 + even * d)
-        c1 = _safe(1 + even / c)
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d2 = 1 / _safe(1 + odd * d1)
-        c2 = _safe(1 + odd / c1)
-        return [a, b, x, c2, d2, h * d1 * c1 * d2 * c2]
-
-    d = 1 / _safe(1 - (a + b) * x / (a + 1))
-    return _steps([a, b, x, F.lit(1.0), d, d], step)
+    safe = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
+    h = d.copy()
+    for m in range(1, STEPS + 1):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / safe(1 + term * d)
+            c = safe(1 + term / c)
+            h = h * c * d
+    return h
+
+
+def np_betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        front = np.exp(a * np.log(x) + b * np.log1p(-x) - (_np_lgamma(a) + _np_lgamma(b) - _np_lgamma(a + b)))
+        low = x < (a + 1) / (a + b + 2)
+        aa, bb, xx = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+        part = front * _np_fraction(aa, bb, xx) / aa
+        out = np.where(low, part, 1 - part)
+    return np.where(np.isnan(x), np.nan, np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out)))
+
+
+def np_gammaincc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
+    with np.errstate(all="ignore"):
+        front = np.exp(-x + a * np.log(x) - _np_lgamma(a))
+        term = total = 1 / a
+        first = d = h = 1 / (x + 1 - a)
+        c = np.full_like(x, 1e300)
+        for n in range(1, STEPS + 1):
+            term = term * x / (a + n)
+            total = total + term
+            an, b = -n * (n - a), x + 2 * n + 1 - a
+            d = 1 / (an * d + b)
+            c = b + an / c
+            h = h * c * d
+        out = np.where(x < a + 1, 1 - front * total, front * h)
+    return np.where(np.isnan(x), np.nan, np.where(x <= 0, 1.0, out))
+
+
+# 200 rounds of a continued fraction are many times faster on Arrow batches than as nested lambdas
+@F.pandas_udf(T.DoubleType())
+def betainc(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+    """Regularised incomplete beta function."""
+    return pd.Series(np_betainc(a.to_numpy(float), b.to_numpy(float), x.to_numpy(float)))
 
 
-def betainc(a: Column, b: Column, x: Column) -> Column:
-    """Regularised incomplete beta function."""
-    front = F.exp(a * F.log(x) + b * F.log1p(-x) - lbeta(a, b))
-    below = x < (a + 1) / (a + b + 2)
-    value = F.when(below, front * _beta_fraction(a, b, x) / a).otherwise(1 - front * _beta_fraction(b, a, 1 - x) / b)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(value)
+@F.pandas_udf(T.DoubleType())
+def _gamma_upper(a: pd.Series, x: pd.Series) -> pd.Series:
+    return pd.Series(np_gammaincc(a.to_numpy(float), x.to_numpy(float)))
 
 
 def t_sf(t: Column, df: Column) -> Column:
@@ -67,28 +94,6 @@ def t_sf(t: Column, df: Column) -> Column:
     return F.when(t >= 0, tail).otherwise(1 - tail)
 
 
-def _gamma_upper(a: Column, x: Column) -> Column:
-    """Regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
-    front = F.exp(-x + a * F.log(x) - lgamma(a))
-
-    def series(state: list[Column], n: Column) -> list[Column]:
-        a, x, term, total = state
-        term = term * x / (a + n)
-        return [a, x, term, total + term]
-
-    def fraction(state: list[Column], n: Column) -> list[Column]:
-        a, x, c, d, h = state
-        an, b = -n * (n - a), x + 2 * n + 1 - a
-        d = 1 / _safe(an * d + b)
-        c = _safe(b + an / c)
-        return [a, x, c, d, h * d * c]
-
-    low = 1 - front * _steps([a, x, 1 / a, 1 / a], series)
-    first = 1 / (x + 1 - a)
-    high = front * _steps([a, x, F.lit(1e300), first, first], fraction)
-    return F.when(x <= 0, 1.0).when(x < a + 1, low).otherwise(high)
-
-
 def chi2_sf(x: Column, df: Column | int) -> Column:
     df = df if isinstance(df, Column) else F.lit(float(df))
     return _gamma_upper(df / 2, x / 2)

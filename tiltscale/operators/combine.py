@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..sources.store import settle
 
 SNV = ["chrom", "start", "alt"]
 PAIR = ["bad", "ref_count", "alt_count"]
@@ -123,6 +124,7 @@ def fdr(df: DataFrame, column: str, out: str, by: list[str] | None = None, parts
     range, so no task holds all values.
     """
     by = by or []
+    df = settle(df, "fdr")  # ranks meet their rows by the p-value itself, so it must not be computed twice
     p = F.col(column)
     distinct = df.where(p.isNotNull()).groupBy(*by, p.alias("__p")).agg(F.count("*").alias("__n"))
     # ranges by the exponent of p, finer near one
@@ -167,7 +169,7 @@ def roll_up(scored: DataFrame, order: list[str]) -> DataFrame:
     values = ["bad", "scorefile", "ref_count", "alt_count"]
     listed = F.array_sort(F.collect_list(F.struct(*order, *[c for c in values if c not in order])))
     rows = scored.groupBy(*SNV).agg(F.avg("bad").alias("mean_bad"), F.max(F.col("ref_count") + F.col("alt_count")).alias("max_cover"), F.count("*").alias("n_reps"), listed.alias("l"))
-    lists = [F.concat_ws(",", F.transform("l", lambda x, c=c: x[c].cast("string"))).alias(f"{c}s") for c in values if c != "bad"]
+    lists = [F.concat_ws(",", F.col(f"l.{c}").cast("array<string>")).alias(f"{c}s") for c in values if c != "bad"]
     return rows.select(*SNV, "mean_bad", "max_cover", "n_reps", *lists)
 
 

@@ -70,7 +70,7 @@ def truncated(table: DataFrame, keys: list[str], left: int, bounded: bool = Fals
     else:
         sf = F.sum("__in").over(ahead) / F.col("__mass")
         mean = F.sum(F.col("__in") * F.col("x")).over(up) / F.col("__mass")
-    out = rows.withColumn("pmf", F.col("__in") / F.col("__mass")).withColumn("sf", sf).withColumn("mean", mean).withColumn("logpmf", F.col("logpmf") - F.log("__mass"))
+    out = rows.withColumn("pmf", F.col("__in") / F.col("__mass")).withColumn("sf", F.when(F.col("x") == left + 1, 1.0).otherwise(sf)).withColumn("mean", mean).withColumn("logpmf", F.col("logpmf") - F.log("__mass"))
     return out.where(F.col("x") > left).drop("__raw", "__in", "__mass")
 
 

@@ -1,9 +1,9 @@
 """All registered queries over the reference operators."""
 
-from . import ingest
+from . import combine, ingest, score
 from .common import Registry
 
-_MODULES = [ingest]
+_MODULES = [ingest, score, combine]
 
 
 def registry() -> Registry:
