@@ -28,7 +28,7 @@ from . import shared
 #: A null document id is written as the smallest 64-bit integer, and read as null.
 NULL_KEY = -(2**63)
 #: Distinct pre-tokens that a worker remembers.
-MEMORY = 300_000
+MEMORY = 900_000
 
 MANIFEST = "shard int, docs long, tokens long"
 
@@ -58,7 +58,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _word_pattern()
+        self.words, self.spaced_word = _word_pattern(), re.compile(r" [^\W\d_]+").fullmatch
+        self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids of pieces that begin with a space
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.starts[i] = piece[0] == "\u0120"
         self.known: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
@@ -80,11 +83,17 @@ class Encoder:
         if len(known) + len(new) > MEMORY:
             known.clear()
             new = set(words)
+        # words with a space before them are encoded in one string: only their first pieces begin with a space
+        spaced = [w for w in new if self.spaced_word(w)]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.starts[ids]) * self.dtype.itemsize
+        if len(at) == len(spaced):
+            data, at = ids.tobytes(), [*at.tolist(), ids.nbytes]
+            known.update((w, data[a:b]) for w, a, b in zip(spaced, at, at[1:], strict=False))
+            new.difference_update(spaced)
         new = list(new)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.dtype).tobytes()
         return b"".join([known[w] for w in words])
 
 
