@@ -3,8 +3,9 @@
 The model file is read directly. A text is normalised by the longest prefixes that its
 compiled character map holds, and every normalised byte keeps the source byte it came
 from. Byte-pair merges by piece score then give the pieces, whose spans are projected to
-the source. Where no piece has a space mark inside it, merges never cross into a space
-mark, so the normalised text is cut there and each distinct cut is merged once.
+the source. Merges never join characters that no piece holds side by side. So where no
+piece has a space mark inside it the normalised text is cut before space marks, and around
+characters that stand in no longer piece, and each distinct cut is merged once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from . import shared
 
 MARK = "▁"
 #: Cuts whose pieces a worker remembers.
-MEMORY = 300_000
+MEMORY = 600_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
@@ -111,11 +112,17 @@ class Model:
             kinds[kind].setdefault(piece, i)
         self.ids, self.unknown = kinds[NORMAL], next(iter(kinds[UNKNOWN].values()))
         self.bytes = [kinds[BYTE].get(f"<0x{b:02X}>") for b in range(256)] if trainer.get(35, 0) else None
-        self.rank = {p: (-self.scores[i], i) for p, i in self.ids.items()}
+        order = {s: k for k, s in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        self.rank = {p: order[self.scores[i]] for p, i in self.ids.items()}
+        self.none = len(order)
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.cuts = re.compile(".+" if inner else f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
+        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = re.escape("".join(chr(i) for i in range(128) if chr(i) not in joined))
+        apart = f"[{alone}]|" if alone else ""
+        self.cuts = re.compile(".+" if inner else f"{apart}{MARK}*[^{MARK}{alone}]+|{MARK}+", re.S)
+        self.shown_piece = {p: str(i) for p, i in self.ids.items()}
         self.plain = not self.map.units and self.prefix and self.escape and not self.squeeze
-        self.known: dict[str, tuple[str, int, str, list[int], list[tuple[int, int]]]] = {}
+        self.known: dict[str, tuple[str, int, str]] = {}
 
     def normalize(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each of its bytes, and its end, the source byte."""
@@ -160,19 +167,20 @@ class Model:
 
     def merge(self, cut: str) -> list[str]:
         """Byte-pair merges, the best score first and the leftmost of equals."""
-        parts, rank = list(cut), self.rank
-        if len(parts) <= 40:
-            while True:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = rank.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r[0] < best):
-                        best, at = r[0], i
-                if at < 0:
-                    return parts
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, rank, none = list(cut), self.rank, self.none
+        if len(parts) <= 60:
+            ranks = [rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            while ranks and (best := min(ranks)) < none:
+                i = ranks.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+                if i < len(ranks):
+                    ranks[i] = rank.get(parts[i] + parts[i + 1], none)
+            return parts
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap = [(rank[p][0], i, p) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in rank]
+        heap = [(rank[p], i, p) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in rank]
         heapq.heapify(heap)
         while heap:
             _, i, p = heapq.heappop(heap)
@@ -184,7 +192,7 @@ class Model:
                 before[after[j]] = i
             for left in (before[i], i):
                 if left >= 0 and after[left] < len(parts) and (q := parts[left] + parts[after[left]]) in rank:
-                    heapq.heappush(heap, (rank[q][0], left, q))
+                    heapq.heappush(heap, (rank[q], left, q))
         return [p for p in parts if p is not None]
 
     def cut_ids(self, cut: str) -> tuple[list[int], list[tuple[int, int]]]:
@@ -196,8 +204,8 @@ class Model:
         ids, spans, at = [], [], 0
         for part in self.merge(cut):
             data = part.encode()
-            if part in self.rank:
-                ids.append(self.rank[part][1])
+            if part in self.ids:
+                ids.append(self.ids[part])
                 spans.append((at, at + len(data)))
             elif self.bytes:
                 ids += [self.bytes[b] for b in data]
@@ -210,14 +218,17 @@ class Model:
             at += len(data)
         return ids, spans
 
-    def entry(self, cut: str) -> tuple[str, int, str, list[int], list[tuple[int, int]]]:
-        """Ids as text with commas, their number, the decoded text, ids, spans: remembered."""
-        found = self.known.get(cut)
-        if found is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            ids, spans = self.cut_ids(cut)
-            found = self.known[cut] = (",".join(map(str, ids)), len(ids), self.surface(ids), ids, spans)
+    def entry(self, cut: str) -> tuple[str, int, str]:
+        """Ids as text with commas, their number and the decoded text: remembered."""
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        parts, shown = self.merge(cut), self.shown_piece
+        try:  # whole pieces spell the cut itself
+            found = ",".join([shown[p] for p in parts]), len(parts), cut.replace(MARK, " ")
+        except KeyError:
+            ids, _ = self.cut_ids(cut)
+            found = ",".join(map(str, ids)), len(ids), self.surface(ids)
+        self.known[cut] = found
         return found
 
     def surface(self, ids: list[int]) -> str:
@@ -246,9 +257,9 @@ class Model:
         normal, source = self.normalize(text)
         ids, spans, base = [], [], 0
         for cut in self.cuts.findall(normal):
-            entry = self.entry(cut)
-            ids += entry[3]
-            spans += [(source[base + a], source[base + b]) for a, b in entry[4]]
+            new, where = self.cut_ids(cut)
+            ids += new
+            spans += [(source[base + a], source[base + b]) for a, b in where]
             base += len(cut.encode())
         return ids, spans
 
@@ -258,11 +269,8 @@ class Model:
         known, cuts = self.known, self.cuts.findall(normal)
         if not cuts:
             return 0, "", ""
-        try:
-            found = [known[c] for c in cuts]
-        except KeyError:
-            found = [self.entry(c) for c in cuts]
-        texts, counts, decoded, _, _ = zip(*found, strict=True)
+        found = [known.get(c) or self.entry(c) for c in cuts]
+        texts, counts, decoded = zip(*found, strict=True)
         return sum(counts), ",".join(texts), self._first_cut("".join(decoded))
 
 
