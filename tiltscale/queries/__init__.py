@@ -1,9 +1,9 @@
 """All registered queries over the reference operators."""
 
-from . import combine, ingest, score
+from . import combine, diff, ingest, qc, score
 from .common import Registry
 
-_MODULES = [ingest, score, combine]
+_MODULES = [ingest, score, combine, diff, qc]
 
 
 def registry() -> Registry:
