@@ -112,7 +112,7 @@ def test_quality_measures(spark, odd, empty):
     assert op5_quality_rules(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
-def test_boilerplate_lines(spark):
+def test_boilerplate_lines(spark, monkeypatch):
     own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     note = "All  Rights reserved by the house and its heirs"
     rows = [(i, f"{own(i, 20)}\n{note if i % 2 else note.lower()}\nend of {own(i, 3)}", "a") for i in range(30)]
@@ -124,10 +124,12 @@ def test_boilerplate_lines(spark):
     assert got[100].removed_words == 18 and not got[100].kept
     assert got[101].removed_words == 0 and got[101].kept
     assert all(got[200 + i].removed_words == 0 and got[200 + i].kept for i in range(50))
-    left = {r.doc_id: r for r in quality.clean(docs).collect()}
-    assert left.keys() == {r[0] for r in rows} - {100}
-    assert left[3].text == f"{own(3, 20)}\nend of {own(3, 3)}" and left[3].n_chars == len(left[3].text)
-    assert left[101].text == rows[31][1]
+    for bound in (quality.BROADCAST_LINES, -1):  # by broadcast, and by join
+        monkeypatch.setattr(quality, "BROADCAST_LINES", bound)
+        left = {r.doc_id: r for r in quality.clean(docs).collect()}
+        assert left.keys() == {r[0] for r in rows} - {100}
+        assert left[3].text == f"{own(3, 20)}\nend of {own(3, 3)}" and left[3].n_chars == len(left[3].text)
+        assert left[101].text == rows[31][1]
 
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

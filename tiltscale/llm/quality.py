@@ -106,18 +106,19 @@ def _frequent(rows: DataFrame) -> DataFrame:
     return shared.materialize(held.where("texts > limit").select("line"), "frequent-lines")
 
 
-def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with their verdict, and the lines to remove by row."""
-    rows = _measured(docs)
-    lines = _frequent(rows)
-    if lines.count() <= BROADCAST_LINES:
-        lines = F.broadcast(lines)
+def _judged(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The measured rows with their verdict and the lines to remove."""
     held = rows.select("row", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     removed = held.join(lines, "line").groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < KEEP_SHARE * F.col("n_words")
     judged = rows.drop("lines", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted), removed
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+
+
+def _verdict(m: list[int], removed: int) -> bool:
+    words, repeated = m[0], m[4]
+    return words >= MIN_WORDS and 100 * repeated <= MAX_REPEAT * words and words - removed >= KEEP_SHARE * words
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -127,8 +128,15 @@ def judge(docs: DataFrame) -> DataFrame:
     get equal verdicts. An empty table gives no rows; columns but doc_id, text and source
     are ignored.
     """
-    judged, _ = _judged(docs)
-    return judged.select("doc_id", *MEASURES, "base_failed", "removed_words", "kept")
+    rows = _measured(docs)
+    lines = _frequent(rows)
+    if lines.count() <= BROADCAST_LINES:
+        lines = F.broadcast(lines)
+    return _judged(rows, lines).select("doc_id", *MEASURES, "base_failed", "removed_words", "kept")
+
+
+def _without(text: str, host: bytes, gone: set[int]) -> str:
+    return "\n".join(x for x in text.split("\n") if not x.strip() or line_key(host, x.encode()) not in gone)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -136,22 +144,40 @@ def clean(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is one, follows the new text.
     """
-    judged, _ = _judged(docs)
+    rows = _measured(docs)
+    lines = _frequent(rows)
+    out = _clean_by_broadcast(docs, lines) if lines.count() <= BROADCAST_LINES else _clean_by_join(docs, _judged(rows, lines))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def _clean_by_broadcast(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each text is measured again where it is cleaned, so no text is shuffled."""
+    frequent = docs.sparkSession.sparkContext.broadcast({r.line for r in lines.collect()})  # at most BROADCAST_LINES
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), 500):
+                batch, texts, kept = whole.slice(first, 500), [], []
+                for text, source in zip(batch.column("text"), batch.column("source"), strict=True):
+                    text, host = text.as_py(), (source.as_py() or "").encode()
+                    m, held = measure((text or "").encode(), host)
+                    gone = held.keys() & frequent.value
+                    kept.append(_verdict(m, sum(held[k] for k in gone)))
+                    texts.append(_without(text, host, gone) if gone else text)
+                at = batch.schema.get_field_index("text")
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _clean_by_join(docs: DataFrame, judged: DataFrame) -> DataFrame:
     verdicts = judged.where("kept").groupBy(F.col("row_key").alias("__key"), F.col("doc_id").alias("__id")).agg(F.first("removed").alias("__removed"))
     kept = docs.withColumn("__row", _row_key()).join(verdicts, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, source: pd.Series, removed: pd.Series) -> pd.Series:
-        out = []
-        for t, s, gone in zip(text, source, removed, strict=True):
-            if gone is not None and len(gone):
-                host, gone = (s or "").encode(), set(map(int, gone))
-                t = "\n".join(x for x in t.split("\n") if not x.strip() or line_key(host, x.encode()) not in gone)
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(without("text", "source", "__removed"))
-    out = kept.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+        return pd.Series([_without(t, (s or "").encode(), set(map(int, gone))) for t, s, gone in zip(text, source, removed, strict=True)], dtype=object)
+
+    return kept.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(without("text", "source", F.coalesce("__removed", F.array().cast("array<long>")))))

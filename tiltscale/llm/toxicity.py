@@ -34,7 +34,7 @@ NEIGHBOURS, BLOCK = 15, 128
 #: A neighbour at distance d votes with weight 1 / (SMOOTH + d).
 SMOOTH = 0.05
 #: Words whose terms a worker remembers.
-MEMORY = 500_000
+MEMORY = 150_000
 #: Labels are learnt only from ids whose crc32 is not 0 modulo this.
 FOLDS = 5
 
