@@ -155,7 +155,7 @@ def fit_windows(oriented: DataFrame, windows: DataFrame, left: int = 4, estimate
 
         for _ in range(4):
             along(0, 0.2, 2.5)
-            along(1, -4.0, 12.0)
+            along(1, -4.0, 40.0)
             if theta[2] < 1 and estimate_w and bad != 1:
                 along(2, 0.01, 0.99)
             if beta:
