@@ -204,3 +204,9 @@ def mean_effect(fits: DataFrame, keys: list[str]) -> DataFrame:
     pooled = fits.where(F.col("group") == ALL).select(*keys, "allele", F.col("p").alias("p_all"))
     odds = lambda p: p / (1 - p)
     return fits.where(F.col("group") != ALL).join(pooled, [*keys, "allele"]).select(*keys, "allele", "group", (F.log2(odds(F.col("p"))) - F.log2(odds(F.col("p_all")))).alias("es"))
+
+
+def line_adjusted_r(bad: Column, r: Column, w: Column) -> Column:
+    """r scaled by m1 / (w * m1 + (1 - w) * m2), the NB means of both modes; unchanged at BAD 1."""
+    m1, m2 = r * bad, r / bad
+    return F.when(bad != 1, r * m1 / (w * m1 + (1 - w) * m2)).otherwise(r)

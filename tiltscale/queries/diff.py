@@ -75,6 +75,13 @@ R.add("g6_contrast_wald", lambda s, d: op.wald(_fits(s, d)[0], KEYS, "control",
 R.add("g8_whole_group_test", lambda s, d: op.lrt(solved(s, two(s, d), ["bad"])[0], ["bad"]))
 
 
+R.add(
+    "g7_line_adjusted_r",
+    lambda s, d: observed(s, d).select("bad", "alt_count").distinct().select("bad", "alt_count", F.round(op.line_adjusted_r(F.col("bad"), F.col("alt_count") * 1.0, F.lit(0.7)), 7).alias("r")),
+    OBS + "SELECT DISTINCT bad, alt_count, round(CASE WHEN bad <> 1 THEN alt_count * (alt_count * bad) / (0.7::DOUBLE * (alt_count * bad) + 0.3::DOUBLE * (alt_count / bad)) ELSE alt_count END, 7) AS r FROM obs",
+)
+
+
 def difftest(s, d):
     tests = op.alleles_wide(op.wald(_fits(s, d)[0], KEYS, "control", "test"), KEYS, ["n_control", "n_test", "p_control", "p_test", "std_control", "std_test", "pval"])
     for a in ("ref", "alt"):
