@@ -109,6 +109,24 @@ def test_character_map_and_alignment(squeeze):
         assert spans == spans_in_bytes(lib, text), text
 
 
+def test_digests_come_from_aligned_ids_and_decode(monkeypatch):
+    m, calls = pieces.Model(DATA), []
+    aligned, decode = m.aligned, m.decode
+    monkeypatch.setattr(m, "aligned", lambda text: calls.append("aligned") or aligned(text))
+    monkeypatch.setattr(m, "decode", lambda ids: calls.append("decode") or decode(ids))
+    for text in TEXTS * 2:  # cuts met before give the same spans
+        m.digest(text)
+    assert calls == ["aligned", "decode"] * (2 * len(TEXTS))
+    assert all(m.encode(t)[1] == spans_in_bytes(library(), t) for t in TEXTS)
+
+
+def test_plain_alignment_is_that_of_prefixes(monkeypatch):
+    m = pieces.Model(DATA)
+    fast = [m.normalize(t) for t in TEXTS]
+    m.plain = False
+    assert [(t, list(at)) for t, at in fast] == [m.normalize(t) for t in TEXTS]
+
+
 def test_queries(spark, odd, empty):
     lib, auto = library(), wordpiece.automaton(PATH)
     first, later = wordpiece.split_vocabulary(list(pieces.model(PATH).ids))

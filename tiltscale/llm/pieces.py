@@ -14,9 +14,11 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +85,19 @@ class CharMap:
         return found
 
 
+class _Known(dict):
+    """Ids of the cuts met so far, at most ``MEMORY`` of them."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
+        self.make = make
+
+    def __missing__(self, cut: str) -> tuple[int, ...]:
+        if len(self) >= MEMORY:
+            self.clear()
+        found = self[cut] = self.make(cut)
+        return found
+
+
 class Model:
     """A byte-pair model: pieces, normaliser and decoder."""
 
@@ -120,12 +135,38 @@ class Model:
         alone = re.escape("".join(chr(i) for i in range(128) if chr(i) not in joined))
         apart = f"[{alone}]|" if alone else ""
         self.cuts = re.compile(".+" if inner else f"{apart}{MARK}*[^{MARK}{alone}]+|{MARK}+", re.S)
-        self.shown_piece = {p: str(i) for p, i in self.ids.items()}
+        self.shown = [self._shown(i) for i in range(len(self.pieces))]
+        self.id_text = [str(i) for i in range(len(self.pieces))]
         self.plain = not self.map.units and self.prefix and self.escape and not self.squeeze
-        self.known: dict[str, tuple[str, int, str]] = {}
-
-    def normalize(self, text: str) -> tuple[str, list[int]]:
+        #: Bytes of each piece, none for bytes inside a character, and of the character that a byte's piece begins.
+        self.size = np.array([len(p.encode()) if t == NORMAL else int(t == BYTE and self._shown(i) < b"\x80") for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True))])
+        self.lead = np.array([1 + sum(self._shown(i) >= b for b in (b"\xc0", b"\xe0", b"\xf0")) if t == BYTE and self._shown(i) >= b"\xc0" else 0 for i, t in enumerate(self.types)])
+        self.known = _Known(self._ids_of)
+
+    def _shown(self, i: int) -> bytes:
+        """What a piece adds to a decoded sentence."""
+        if self.types[i] == BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        if self.types[i] == UNKNOWN:
+            return " ⁇ ".encode()
+        return self.pieces[i].replace(MARK, " ").encode() if self.types[i] == NORMAL else b""
+
+    def _normalize_plain(self, text: str) -> tuple[str, np.ndarray]:
+        """``normalize`` where no prefix is replaced and spaces stay: each becomes a mark."""
+        if not text:
+            return "", np.zeros(1, np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.arange(len(data))
+        if not text.isascii():  # bytes inside a character come from its start
+            at = np.maximum.accumulate(np.where(data & 0xC0 == 0x80, 0, at))
+        size = len(MARK.encode())
+        source = np.repeat(at, np.where(data == 32, size, 1))
+        return MARK + text.replace(" ", MARK), np.concatenate([np.zeros(size, np.int64), source, [len(data)]])
+
+    def normalize(self, text: str) -> tuple[str, list[int] | np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the source byte."""
+        if self.plain:
+            return self._normalize_plain(text)
         data, out, source, at = text.encode(), bytearray(), [], 0
         mark = MARK.encode() if self.escape else b" "
 
@@ -218,30 +259,13 @@ class Model:
             at += len(data)
         return ids, spans
 
-    def entry(self, cut: str) -> tuple[str, int, str]:
-        """Ids as text with commas, their number and the decoded text: remembered."""
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        parts, shown = self.merge(cut), self.shown_piece
-        try:  # whole pieces spell the cut itself
-            found = ",".join([shown[p] for p in parts]), len(parts), cut.replace(MARK, " ")
-        except KeyError:
-            ids, _ = self.cut_ids(cut)
-            found = ",".join(map(str, ids)), len(ids), self.surface(ids)
-        self.known[cut] = found
-        return found
+    def _ids_of(self, cut: str) -> tuple[int, ...]:
+        found = tuple(map(self.ids.get, self.merge(cut)))
+        return tuple(self.cut_ids(cut)[0]) if None in found else found
 
     def surface(self, ids: list[int]) -> str:
         """The text of pieces inside a sentence."""
-        out = bytearray()
-        for i in ids:
-            if self.types[i] == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif self.types[i] == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif self.types[i] == NORMAL:
-                out += self.pieces[i].replace(MARK, " ").encode()
-        return out.decode("utf-8", "replace")
+        return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
 
     def _first_cut(self, decoded: str) -> str:
         """A decoded sentence without the space that the prefix put first, or any if they are squeezed."""
@@ -252,26 +276,36 @@ class Model:
     def decode(self, ids: list[int]) -> str:
         return self._first_cut(self.surface(ids))
 
+    def span_sizes(self, ids: list[int], cuts: list[str]) -> np.ndarray:
+        """Normalised bytes that each id spans, as ``cut_ids`` gives them; the spans leave no gaps."""
+        at = np.array(ids, np.int64)
+        if (at == self.unknown).any():
+            return np.array([b - a for c in cuts for a, b in self.cut_ids(c)[1]], np.int64)
+        sizes, lead = self.size[at], self.lead[at]
+        if lead.any():  # the last byte's piece has the span of its character
+            first = np.flatnonzero(lead)
+            sizes[first + lead[first] - 1] = lead[first]
+        return sizes
+
+    def aligned(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Ids, and the source bytes where they begin and, last, end."""
+        normal, source = self.normalize(text)
+        cuts = self.cuts.findall(normal)
+        ids = list(chain.from_iterable(map(self.known.__getitem__, cuts)))
+        at = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.span_sizes(ids, cuts), out=at[1:])
+        return ids, np.asarray(source)[at]
+
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids, and the source byte span of each; a prefix mark spans no bytes."""
-        normal, source = self.normalize(text)
-        ids, spans, base = [], [], 0
-        for cut in self.cuts.findall(normal):
-            new, where = self.cut_ids(cut)
-            ids += new
-            spans += [(source[base + a], source[base + b]) for a, b in where]
-            base += len(cut.encode())
-        return ids, spans
+        ids, at = self.aligned(text)
+        at = at.tolist()
+        return ids, list(zip(at, at[1:], strict=False))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and the texts whose hashes the query returns: ids and decoded."""
-        normal = (MARK + text.replace(" ", MARK) if text else "") if self.plain else self.normalize(text)[0]
-        known, cuts = self.known, self.cuts.findall(normal)
-        if not cuts:
-            return 0, "", ""
-        found = [known.get(c) or self.entry(c) for c in cuts]
-        texts, counts, decoded = zip(*found, strict=True)
-        return sum(counts), ",".join(texts), self._first_cut("".join(decoded))
+        ids, at = self.aligned(text)
+        return len(at) - 1, ",".join(map(self.id_text.__getitem__, ids)), self.decode(ids)
 
 
 @lru_cache(4)
