@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tiltscale.llm import decontam, quality, simhash
+from tiltscale.llm import decontam, quality, simhash, similar
 from tiltscale.llm.queries import op3_simhash_bktree, op5_quality_rules, op6_decontamination
 
 from .conftest import ODD, SF
@@ -86,6 +86,47 @@ def test_links_of_crowded_codes(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def plain_similar(texts):
+    """Smallest reachable index of each text over 5-word Jaccard of 0.8, by comparing all."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if 5 * len(s & t) >= 4 * len(s | t):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("sample", [similar.SAMPLE, 1])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    rng = np.random.default_rng(3)
+    texts = [d.text for d in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    for base in list(texts[:3]):  # near copies, about the limit, and one passage that all hold
+        for _ in range(40):
+            words = base.split()[:120]
+            for at in rng.integers(0, len(words), rng.integers(1, 6)):
+                words[at] = f"new{rng.integers(0, 1000)}"
+            texts.append(" ".join(words))
+    texts += [f"{' '.join(texts[5].split()[:30])} own{i} words{i} of{i}" for i in range(40)] + ["few words", "Few  WORDS", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_similar(texts)
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(want)
+    assert len({(plain_fingerprint(t)) for t in texts}) > len(set(want)) + 50  # not copies only
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(edges).collect()

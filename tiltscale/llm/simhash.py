@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, similar
 
 WORDS, RADIUS, BITS = 3, 2, 64
 #: Members of a shard tree, on average; a band value held by more is split by further bands.
@@ -203,12 +203,12 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS, shard
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component.
+    """``docs`` with one document, that of the smallest id, of each component of ``similar.near_duplicates``.
 
     Of several rows with the kept id one stays. Rows without an id cannot be told apart
     by id and stay.
     """
-    found = near_duplicates(docs)
+    found = similar.near_duplicates(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     joined = docs.join(kept, F.col("doc_id") == F.col("__id"))
     once = joined.where("__n = 1").select(docs.columns)
