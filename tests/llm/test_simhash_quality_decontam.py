@@ -173,6 +173,20 @@ def test_boilerplate_lines(spark, monkeypatch):
         assert left[101].text == rows[31][1]
 
 
+def test_long_lines_on_a_hot_host(spark):
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    passage, short, half = own("p", 50), own("s", 49), own("h", 25)
+    more = {0: [passage, short], 1: [passage, short], 2: [passage], 3: [passage], 4: [passage], 5: [passage.upper().replace(" ", "  ")]}
+    more |= {10 + i: [own("q", 60)] for i in range(5)} | {20 + i: [half, half] for i in range(6)}
+    rows = [(i, "\n".join([own(i, 70), *more.get(i, [])]), "hot") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.removed_words for r in quality.judge(docs).collect()}
+    # six texts hold the passage; five the other one; a short line, repeated or not, has the host's share
+    assert {i: n for i, n in got.items() if n} == dict.fromkeys(range(6), 50)
+    left = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert left[5] == own(5, 70) and left[0] == f"{own(0, 70)}\n{short}" and len(left) == 394  # repeating halves fail the base rules
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

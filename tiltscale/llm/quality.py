@@ -1,8 +1,8 @@
 """Quality rules, with the document frequency of lines per host.
 
 One pass over the texts takes each document's measures and the hashes of its normalised
-lines. Lines that more distinct texts of a host hold than the host's limit are
-boilerplate: they are removed, and a document that they made up most of is rejected.
+lines. Lines that more distinct texts of a host hold than the host's limit, or than a
+small fixed one if they are long, are boilerplate: they are removed, and a document that they made up most of is rejected.
 Copies of one text count once, so a text is not boilerplate because it was copied.
 """
 
@@ -21,6 +21,8 @@ from . import shared
 
 #: A line is above its host's limit if more texts hold it than both of these allow.
 MIN_TEXTS, MAX_SHARE = 5, 0.05
+#: A line of so many words is seldom equal by chance: it is above if more texts of the host, however large, hold it.
+LONG_WORDS, LONG_TEXTS = 50, 5
 #: A document that keeps a smaller share of its words is depleted.
 KEEP_SHARE = 0.3
 #: Base rules: fewest words, and the largest percentage of words in repeated 5-word windows.
@@ -30,7 +32,7 @@ BROADCAST_LINES = 1_000_000
 
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, source string, row_key long, text_key long, " + ", ".join(f"{m} long" for m in MEASURES) + ", lines array<long>, line_words array<long>"
+SCHEMA = "doc_id long, source string, row_key long, text_key long, " + ", ".join(f"{m} long" for m in MEASURES) + ", lines array<long>, line_words array<long>, long_lines array<long>"
 
 
 def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
@@ -59,17 +61,20 @@ def line_key(host: bytes, line: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def measure(text: bytes, host: bytes) -> tuple[list[int], dict[int, int]]:
-    """The measures, and the words of each line key."""
+def measure(text: bytes, host: bytes) -> tuple[list[int], dict[int, int], set[int]]:
+    """The measures, the words of each line key, and the keys of long lines."""
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip(_SPACE)]
     found: dict[int, int] = {}
+    long = set()
     for line in lines:
-        key = line_key(host, line)
-        found[key] = found.get(key, 0) + len(line.split())
+        key, size = line_key(host, line), len(line.split())
+        found[key] = found.get(key, 0) + size
+        if size >= LONG_WORDS:
+            long.add(key)
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
     chars = len(text.translate(None, _SPACE).decode("utf-8", "replace"))
-    return [len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)], found
+    return [len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)], found, long
 
 
 def _row_key() -> Column:
@@ -79,17 +84,20 @@ def _row_key() -> Column:
 def _measured(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, keys, counts, ends = [], [], [], [0]
+            numbers, keys, counts, ends, long, long_ends = [], [], [], [0], [], [0]
             for text, source in zip(batch.column("text"), batch.column("source"), strict=True):
-                m, lines = measure(text.as_py() or b"", (source.as_py() or "").encode())
+                m, lines, some = measure(text.as_py() or b"", (source.as_py() or "").encode())
                 numbers.append(m)
                 keys += lines
                 counts += lines.values()
                 ends.append(len(keys))
+                long += some
+                long_ends.append(len(long))
             m = np.array(numbers, np.int64).reshape(-1, len(MEASURES))
             at = pa.array(ends, pa.int32())
             columns = [batch.column(c) for c in ("doc_id", "source", "row_key", "text_key")] + [pa.array(m[:, i]) for i in range(len(MEASURES))]
             columns += [pa.ListArray.from_arrays(at, pa.array(x, pa.int64())) for x in (keys, counts)]
+            columns.append(pa.ListArray.from_arrays(pa.array(long_ends, pa.int32()), pa.array(long, pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _row_key().alias("row_key"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
@@ -103,7 +111,8 @@ def _frequent(rows: DataFrame) -> DataFrame:
     limits = texts.groupBy("host").agg(F.greatest(F.lit(MIN_TEXTS).cast("double"), F.count("*") * MAX_SHARE).alias("limit"))
     once = rows.join(texts.join(limits, "host").select("row", "limit"), "row")
     held = once.select(F.explode("lines").alias("line"), "limit").groupBy("line").agg(F.count("*").alias("texts"), F.max("limit").alias("limit"))
-    return shared.materialize(held.where("texts > limit").select("line"), "frequent-lines")
+    long = once.select(F.explode("long_lines").alias("line")).groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > LONG_TEXTS)
+    return shared.materialize(held.where("texts > limit").select("line").union(long.select("line")).distinct(), "frequent-lines")
 
 
 def _judged(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -112,7 +121,7 @@ def _judged(rows: DataFrame, lines: DataFrame) -> DataFrame:
     removed = held.join(lines, "line").groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < KEEP_SHARE * F.col("n_words")
-    judged = rows.drop("lines", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    judged = rows.drop("lines", "line_words", "long_lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
@@ -162,7 +171,7 @@ def _clean_by_broadcast(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 batch, texts, kept = whole.slice(first, 500), [], []
                 for text, source in zip(batch.column("text"), batch.column("source"), strict=True):
                     text, host = text.as_py(), (source.as_py() or "").encode()
-                    m, held = measure((text or "").encode(), host)
+                    m, held, _ = measure((text or "").encode(), host)
                     gone = held.keys() & frequent.value
                     kept.append(_verdict(m, sum(held[k] for k in gone)))
                     texts.append(_without(text, host, gone) if gone else text)
