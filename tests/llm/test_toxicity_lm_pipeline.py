@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -13,30 +14,75 @@ from .conftest import ODD, SF
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def plain_nearest(index, examples, counts, k, skip):
-    """Neighbours by the cosine with every example."""
-    t, q = index.vector(counts)
-    query = dict(zip(t.tolist(), q.tolist(), strict=True))
-    found = []
-    for row, e in enumerate(examples):
-        s = sum(query.get(int(a), 0.0) * b for a, b in zip(*index.vector(e[2]), strict=True))
-        if s > 0 and row != skip:
-            found.append((-s, row))
-    return sorted(found)[:k]
+def plain_index(examples):
+    """Weight of every word, and the unit vectors of the examples, as plain dictionaries."""
+    p, n = sum(y for _, y, _ in examples), sum(1 - y for _, y, _ in examples)
+    weight = {}
+    for w in {w for e in examples for w in e[2]}:
+        a, b = sum(w in e[2] for e in examples if e[1]), sum(w in e[2] for e in examples if not e[1])
+        spread = (a + b) * (p + n - a - b) * p * n
+        chi = (p + n) * (a * (n - b) - b * (p - a)) ** 2 / spread if spread else 0.0
+        weight[w] = (math.log((1 + p + n) / (1 + a + b)) + 1) * max((chi / (chi + toxicity.SHRINK)) ** 2, 1e-6)
+    return weight, [(e, plain_vector(weight, e[2])) for e in examples if e[2]]
 
 
-def test_block_max_search_is_exact():
+def plain_vector(weight, counts):
+    v = {w: (1 + math.log(c)) * weight[w] for w, c in counts.items() if w in weight}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {w: x / norm for w, x in v.items()} if v else {}
+
+
+def plain_near(vectors, q, skip=None):
+    """Cosine and example of all examples that share a word, the nearest first."""
+    found = [(sum(q.get(w, 0.0) * x for w, x in v.items()), e) for e, v in vectors if e != skip]
+    return sorted((f for f in found if f[0] > 0), key=lambda f: -f[0])
+
+
+def plain_vote(vectors, q, totals, sizes, skip=None):
+    near = plain_near(vectors, q, skip)[: toxicity.NEIGHBOURS]
+    base = totals[1] / (totals[0] + totals[1])
+    top, low = base, 1.0
+    for s, e in near:
+        w = totals[e[1]] / sizes[e[1]] / (toxicity.SMOOTH + max(0.0, 1 - s))
+        top, low = top + w * e[1], low + w
+    return top / low
+
+
+def toy_examples():
     rng = random.Random(4)
-    terms = [f"t{i}" for i in range(40)]
-    examples = sorted((i, rng.randint(0, 1), {rng.randrange(40): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}) for i in range(700))
-    index = toxicity.build(terms, examples, {0: 5000, 1: 300})
-    for n in range(60):
-        counts = {rng.randrange(40): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
-        skip = n if n % 2 else -1
-        rows, scores = index.nearest(counts, skip)
-        want = plain_nearest(index, examples, counts, toxicity.NEIGHBOURS, skip)
-        assert scores == pytest.approx([-s for s, _ in want])
-        assert {r for r, s in zip(rows, scores, strict=True) if s > scores[-1] + 1e-9} == {r for s, r in want if -s > -want[-1][0] + 1e-9}
+    return sorted((i, rng.randint(0, 1), Counter({f"t{min(rng.randrange(400), rng.randrange(400))}": rng.randint(1, 4) for _ in range(rng.randint(0, 9))})) for i in range(700))
+
+
+def test_block_max_search_is_exact():
+    examples, rng = toy_examples(), random.Random(5)
+    index, (_, vectors) = toxicity.build(examples, {0: 5000, 1: 300}), plain_index(examples)
+    weight = plain_index(examples)[0]
+    assert dict(zip(index.terms, index.weight, strict=True)) == pytest.approx(weight)
+    for _ in range(60):
+        counts = Counter({f"t{rng.randrange(420)}": rng.randint(1, 3) for _ in range(rng.randint(1, 8))})
+        rows, scores = index.nearest(*index.vector(counts))
+        want = plain_near(vectors, plain_vector(weight, counts))[: toxicity.NEIGHBOURS]
+        assert scores == pytest.approx([s for s, _ in want])
+        if want:
+            last = want[-1][0]
+            assert {int(index.ids[r]) for r, s in zip(rows, scores, strict=True) if s > last + 1e-6} == {e[0] for s, e in want if s > last + 1e-6}
+
+
+def test_scores_match_a_plain_implementation(spark):
+    docs, labels = marked(120)
+    docs += [(1000, "", "x"), (1001, None, "x"), (1002, "unheard", "x")]
+    d, l = spark.createDataFrame(docs, "doc_id long, text string, words string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, l)).collect()}
+    truth = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 5}
+    examples = [(i, truth[i], Counter(t.split())) for i, t, _ in docs if i in truth]
+    totals = sizes = {y: sum(v == y for v in truth.values()) for y in (0, 1)}
+    weight, vectors = plain_index(examples)
+    votes = [plain_vote(vectors, v, totals, sizes, skip=e) for e, v in vectors]
+    index = toxicity.Index(*[None] * 9, base=0.0)
+    toxicity.calibrate(index, np.array(votes), np.array([e[1] for e, _ in vectors], float), np.ones(len(vectors)))
+    for i, text, _ in docs:
+        want = index.calibrated(plain_vote(vectors, plain_vector(weight, Counter((text or "").split())), totals, sizes))
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5), i
 
 
 def marked(n):
@@ -68,7 +114,11 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert left.columns == d.columns and left.count() == sum(1 - r.predicted for r in got)
     assert toxicity.score(odd, index).count() == len(ODD) and toxicity.score(empty, index).count() == 0
     nothing = toxicity.fit(d, l.limit(0))
-    assert {(r.score < 0.01, r.predicted) for r in toxicity.score(odd, nothing).collect()} == {(True, 0)}
+    assert {(r.score < 0.01, r.predicted, len(r.evidence)) for r in toxicity.score(odd, nothing).collect()} == {(True, 0, 0)}
+    assert toxicity.fit(d.limit(0), l).base == pytest.approx(0.25, abs=0.05)
+    kept = toxicity.drop_toxic(odd, index)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - sum(r.predicted for r in toxicity.score(odd, index).collect())
+    assert toxicity.drop_toxic(empty, index).count() == 0
 
 
 def test_base_score_matches_brute_force(spark, odd, empty):

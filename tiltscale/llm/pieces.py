@@ -14,7 +14,8 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 MARK = "▁"
-#: Cuts whose pieces a worker remembers.
-MEMORY = 600_000
+#: Bytes that a task spends on remembering the ids of cuts.
+MEMORY = 48_000_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
@@ -85,19 +86,6 @@ class CharMap:
         return found
 
 
-class _Known(dict):
-    """Ids of the cuts met so far, at most ``MEMORY`` of them."""
-
-    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
-        self.make = make
-
-    def __missing__(self, cut: str) -> tuple[int, ...]:
-        if len(self) >= MEMORY:
-            self.clear()
-        found = self[cut] = self.make(cut)
-        return found
-
-
 class Model:
     """A byte-pair model: pieces, normaliser and decoder."""
 
@@ -141,7 +129,11 @@ class Model:
         #: Bytes of each piece, none for bytes inside a character, and of the character that a byte's piece begins.
         self.size = np.array([len(p.encode()) if t == NORMAL else int(t == BYTE and self._shown(i) < b"\x80") for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True))])
         self.lead = np.array([1 + sum(self._shown(i) >= b for b in (b"\xc0", b"\xe0", b"\xf0")) if t == BYTE and self._shown(i) >= b"\xc0" else 0 for i, t in enumerate(self.types)])
-        self.known = _Known(self._ids_of)
+        self.known = self.memory()
+
+    def memory(self) -> shared.Memo:
+        """Ids of the cuts met lately."""
+        return shared.Memo(self._ids_of, MEMORY)
 
     def _shown(self, i: int) -> bytes:
         """What a piece adds to a decoded sentence."""
@@ -314,6 +306,16 @@ def model(path: str) -> Model:
         return Model(f.read())
 
 
+@contextmanager
+def remembering(path: str) -> Iterator[Model]:
+    """The model for one task: what it remembers of texts ends with the task."""
+    m = model(path)
+    try:
+        yield m
+    finally:
+        m.known = m.memory()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text"))
 
@@ -326,29 +328,34 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for batch in batches:
-            for first in range(0, len(batch), 200):  # small batches: the lists are many times the text
-                part = batch.slice(first, 200)
-                found = [m.encode(t.as_py()) for t in part.column("text")]
-                lists = [[ids for ids, _ in found], [[a for a, _ in s] for _, s in found], [[b for _, b in s] for _, s in found]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.list_(pa.int32())) for x in lists]], ["doc_id", "ids", "begins", "ends"])
+        with remembering(path) as m:
+            for batch in batches:
+                for first in range(0, len(batch), 200):  # small batches: the lists are many times the text
+                    part = batch.slice(first, 200)
+                    found = [m.encode(t.as_py()) for t in part.column("text")]
+                    lists = [[ids for ids, _ in found], [[a for a, _ in s] for _, s in found], [[b for _, b in s] for _, s in found]]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.list_(pa.int32())) for x in lists]], ["doc_id", "ids", "begins", "ends"])
 
     return _texts(docs).mapInArrow(scan, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what ``encode`` and ``decode`` give."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what ``encode`` and ``decode`` give.
+
+    A null or empty text has no ids and decodes to an empty text. Texts of any length are
+    encoded whole. Repeated rows give equal digests; an empty table gives no rows; columns
+    but doc_id and text are ignored.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for text in batch.column("text"):
-                n, a, b = m.digest(text.as_py())
-                counts.append(n)
-                ids.append(hashlib.sha256(a.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with remembering(path) as m:
+            for batch in batches:
+                counts, ids, decoded = [], [], []
+                for text in batch.column("text"):
+                    n, a, b = m.digest(text.as_py())
+                    counts.append(n)
+                    ids.append(hashlib.sha256(a.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(b.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs).mapInArrow(scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

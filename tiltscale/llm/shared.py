@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,29 @@ def text_or_empty(text: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Memo(dict):
+    """What ``make`` gave for the keys met lately, within about ``room`` bytes.
+
+    There are two generations: when the younger has filled half the room it becomes the
+    older, and what was not met since is forgotten. Use one per task, so that a reused
+    worker gives the memory back.
+    """
+
+    #: Of a dictionary's entry, besides its key and value.
+    ENTRY = 104
+
+    def __init__(self, make: Callable, room: int = 16_000_000) -> None:
+        self.make, self.room, self.used, self.old = make, room // 2, 0, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self.used += sys.getsizeof(key) + sys.getsizeof(found) + self.ENTRY
+        if self.used > self.room:
+            self.old, self.used = dict(self), 0
+            self.clear()
+        self[key] = found
+        return found

@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine.
 
-A bounded number of labelled documents of each class are the examples. Their terms are
-the letter n-grams of words that tell the classes apart (chi-squared, and many times as
-frequent in toxic examples). The examples' TF-IDF vectors are held in an inverted index
+A bounded number of labelled documents of each class are the examples. All their words
+are terms. A term's weight is its TF-IDF, times its relevance: chi-squared of the term and
+the label, shrunk smoothly to between 0 and 1, so that no term is left out and those that
+tell the classes apart count most. The examples' vectors are held in an inverted index
 whose postings are cut into blocks of examples, each with its largest weight: a query
 visits blocks by their upper bound and stops when none left can reach its k-th best
 neighbour, so the neighbours are exact. Neighbours vote with weights that fall with
@@ -25,20 +26,16 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Labelled examples of each class, at most; those of the smallest id hash are taken.
-EXAMPLES = 2000
-#: Terms, their lengths in letters, and how many times likelier they are in toxic examples.
-TERMS, GRAMS, RATIO = 512, (3, 4, 5, 6), 20
-#: Fewest toxic examples with the term, and its least chi-squared: below it, chance explains it.
-MIN_EXAMPLES, CHI = 8, 60.0
-NEIGHBOURS, BLOCK = 15, 128
+EXAMPLES = 1000
+#: Relevance of a term: (x / (x + SHRINK)) squared, for the chi-squared x of term and label.
+SHRINK = 30.0
+NEIGHBOURS, BLOCK = 15, 256
 #: A neighbour at distance d votes with weight 1 / (SMOOTH + d).
 SMOOTH = 0.05
-#: Words whose terms a worker remembers.
-MEMORY = 150_000
 #: Labels are learnt only from ids whose crc32 is not 0 modulo this.
 FOLDS = 5
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -46,45 +43,48 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def grams(word: str) -> set[str]:
-    w = f"<{word}>"
-    return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
+def words_of(text: str) -> Counter[str]:
+    return Counter(_WORD.findall(text.lower()))
 
 
 @dataclass
 class Index:
-    """Inverted index of the examples; its size is bounded by EXAMPLES and TERMS."""
+    """Inverted index of the examples: as large as the vocabulary of at most 2 * EXAMPLES texts."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    ids: np.ndarray  # of the indexed examples: those with a term
+    weight: np.ndarray  # of terms: idf times relevance
+    ids: np.ndarray  # of the examples that have words
     toxic: np.ndarray
-    weight: np.ndarray  # documents of its class that an example stands for
+    stands: np.ndarray  # labelled documents of its class that an example stands for
     start: np.ndarray  # postings of term t in block b: start[t, b] to start[t, b + 1]
-    rows: np.ndarray
+    rows: np.ndarray  # within the block
     values: np.ndarray
     top: np.ndarray  # largest weight of term t in block b
-    base: float  # toxic share among documents without a term
+    base: float  # toxic share of the labelled documents
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[x] for x in t])) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+    def vector(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights, of length one; words that no example holds have no part in it."""
+        get = self.terms.get
+        at = np.array([get(w, -1) for w in counts], np.int64)
+        tf = np.array(list(counts.values()), float)[at >= 0]
+        at = at[at >= 0]
+        w = (1 + np.log(tf)) * self.weight[at]
+        return at, w / max(math.sqrt(w @ w), 1e-300)
 
-    def nearest(self, counts: dict[int, int], skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, q: np.ndarray, skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the ``k`` nearest examples, ties by row; ``skip`` leaves one out."""
-        terms, q = self.vector(counts)
         bound = q @ self.top[terms]
         rows, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
+            if bound[b] <= 0 or bound[b] < least - 1e-6:
                 break
-            found = np.zeros(BLOCK)
-            for t, w in zip(terms, q, strict=True):
-                part = slice(self.start[t, b], self.start[t, b + 1])
-                found[self.rows[part] - b * BLOCK] += w * self.values[part]
+            begin = self.start[terms, b]
+            size = self.start[terms, b + 1] - begin
+            ends = np.cumsum(size)
+            at = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
+            found = np.bincount(self.rows[at], self.values[at] * np.repeat(q, size), BLOCK)
             new = np.flatnonzero(found)
             new = new[new + b * BLOCK != skip]
             rows, scores = np.concatenate([rows, new + b * BLOCK]), np.concatenate([scores, found[new]])
@@ -93,40 +93,62 @@ class Index:
             least = scores[-1] if len(scores) == k else 0.0
         return rows, scores
 
-    def vote(self, counts: dict[int, int], skip: int = -1) -> tuple[float, np.ndarray]:
-        """The distance-weighted toxic share, and the neighbours."""
-        if not counts:
-            return self.base, np.empty(0, np.int64)
-        rows, scores = self.nearest(counts, skip)
-        w = self.weight[rows] / (SMOOTH + np.maximum(0, 1 - scores))
+    def vote(self, terms: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
+        """The distance-weighted toxic share, and the neighbours; one vote more is the base share's."""
+        rows, scores = self.nearest(terms, q, skip) if len(terms) else (np.empty(0, np.int64), np.empty(0))
+        w = self.stands[rows] / (SMOOTH + np.maximum(0, 1 - scores))
         return float((w @ self.toxic[rows] + self.base) / (w.sum() + 1)), rows
 
     def calibrated(self, vote: float) -> float:
         p = min(max(vote, 1e-6), 1 - 1e-6)
         return 1 / (1 + math.exp(-(self.slope * math.log(p / (1 - p)) + self.shift)))
 
-
-def build(terms: list[str], examples: list[tuple[int, int, dict[int, int]]], totals: dict[int, int]) -> Index:
-    """Index of examples (id, toxic, term counts); ``totals``: labelled documents of each class."""
+    def judge(self, text: str) -> tuple[float, np.ndarray]:
+        """Score and neighbours of a text."""
+        vote, rows = self.vote(*self.vector(words_of(text)))
+        return self.calibrated(vote), rows
+
+
+def term_weights(examples: list[tuple[int, int, Counter[str]]]) -> dict[str, float]:
+    """idf times relevance of every word of the examples (id, toxic, word counts)."""
+    held = Counter(), Counter()
+    for _, y, counts in examples:
+        held[y].update(counts.keys())
+    words = sorted(held[0].keys() | held[1].keys())
+    b, a = (np.array([side[w] for w in words], float) for side in held)
+    n, p = (float(sum(e[1] == y for e in examples)) for y in (0, 1))
+    spread = (a + b) * (p + n - a - b) * p * n
+    chi = (p + n) * (a * (n - b) - b * (p - a)) ** 2 / np.where(spread > 0, spread, np.inf)
+    # a word that is as frequent in both classes keeps a trace, so that every word finds neighbours
+    relevance = np.maximum((chi / (chi + SHRINK)) ** 2, 1e-6)
+    idf = np.log((1 + p + n) / (1 + a + b)) + 1
+    return dict(zip(words, (idf * relevance).tolist(), strict=True))
+
+
+def build(examples: list[tuple[int, int, Counter[str]]], totals: dict[int, int]) -> Index:
+    """Index of examples (id, toxic, word counts); ``totals``: labelled documents of each class."""
     share = {y: totals.get(y, 0) / max(1, sum(e[1] == y for e in examples)) for y in (0, 1)}
-    without = Counter(e[1] for e in examples if not e[2])
-    mass = sum(without[y] * share[y] for y in (0, 1))
-    base = without[1] * share[1] / mass if mass else (0.0 if not totals else totals.get(1, 0) / sum(totals.values()))
-    indexed = sorted(e for e in examples if e[2])
-    n, blocks = len(indexed), -(-len(indexed) // BLOCK)
-    df = Counter(t for e in indexed for t in e[2])
-    idf = np.array([math.log((1 + n) / (1 + df[t])) + 1 for t in range(len(terms))])
-    index = Index(
-        {t: i for i, t in enumerate(terms)}, idf, np.array([e[0] for e in indexed], np.int64), np.array([e[1] for e in indexed], float),
-        np.array([share[e[1]] for e in indexed]), np.zeros((len(terms), blocks + 1), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(terms), blocks)), base,
-    )
-    postings = sorted((int(t), row, w) for row, e in enumerate(indexed) for t, w in zip(*index.vector(e[2]), strict=True))
-    index.rows, index.values = np.array([p[1] for p in postings], np.int64), np.array([p[2] for p in postings], float)
-    if postings:
-        place = np.array([p[0] for p in postings]) * blocks + index.rows // BLOCK
-        edges = np.searchsorted(place, np.arange(len(terms) * blocks + 1))
+    weights = term_weights(examples)
+    terms = {w: i for i, w in enumerate(weights)}
+    index = Index(terms, np.array(list(weights.values())), *[np.empty(0)] * 7, base=totals.get(1, 0) / max(1, sum(totals.values())))
+    vectors = [(e, *index.vector(e[2])) for e in examples if e[2]]
+    # examples that share their weightiest term stand together, so that bounds tell blocks apart
+    vectors.sort(key=lambda v: (int(v[1][np.argmax(v[2])]), v[0][0], v[0][1]))
+    n, blocks = len(vectors), -(-len(vectors) // BLOCK)
+    index.ids, index.toxic = np.array([e[0] for e, _, _ in vectors], np.int64), np.array([e[1] for e, _, _ in vectors], float)
+    index.stands = np.array([share[e[1]] for e, _, _ in vectors], float)
+    joined = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
+    term, value = joined([t for _, t, _ in vectors], np.int64), joined([w for _, _, w in vectors], float)
+    row = np.repeat(np.arange(n), [len(t) for _, t, _ in vectors])
+    place = term * max(blocks, 1) + row // BLOCK
+    order = np.argsort(place, kind="stable")
+    index.rows, index.values = (row % BLOCK)[order].astype(np.int32), value[order]
+    edges = np.searchsorted(place[order], np.arange(len(terms) * blocks + 1))
+    index.start = np.zeros((len(terms), blocks + 1), np.int64)
+    index.top = np.zeros((len(terms), blocks))
+    if blocks and terms:
         index.start[:, :-1], index.start[:, -1] = edges[:-1].reshape(-1, blocks), edges[blocks::blocks]
-        np.maximum.at(index.top.reshape(-1), place, index.values)
+        np.maximum.at(index.top.reshape(-1), place, value)
     return index
 
 
@@ -136,32 +158,13 @@ def calibrate(index: Index, votes: np.ndarray, toxic: np.ndarray, weight: np.nda
     x = np.column_stack([np.log(p / (1 - p)), np.ones(len(p))])
     beta, w = np.array([1.0, 0.0]), weight / weight.mean()
     for _ in range(rounds):
-        mu = 1 / (1 + np.exp(-x @ beta))
+        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
         grad = x.T @ (w * (toxic - mu)) - (beta - [1.0, 0.0])
         beta = beta + np.linalg.solve((x * (w * mu * (1 - mu))[:, None]).T @ x + np.eye(2), grad)
     if np.isfinite(beta).all() and beta[0] > 0:
         index.slope, index.shift = map(float, beta)
 
 
-class Reader:
-    """Term counts of texts, remembering the terms of each word."""
-
-    def __init__(self, terms: dict[str, int]) -> None:
-        self.terms, self.known = terms, {}
-
-    def counts(self, text: str) -> dict[int, int]:
-        known, terms, out = self.known, self.terms, Counter()
-        for w in _WORD.findall(text.lower()):
-            found = known.get(w)
-            if found is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                found = known[w] = tuple(terms[g] for g in grams(w) if g in terms)
-            if found:
-                out.update(found)
-        return out
-
-
 def _examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """The examples' id, text and label, written; and the labelled documents of each class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -173,89 +176,51 @@ def _examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataF
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * per_class ids are broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    return shared.materialize(texts.dropDuplicates(["text", "toxic"]), "examples"), totals
-
-
-def _terms(examples: DataFrame) -> list[str]:
-    """The terms that tell toxic from clean examples, best first; at most TERMS."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = ({}, {}), {}
-        for batch in batches:
-            for text, y in zip(batch.column("text"), batch.column("toxic"), strict=True):
-                words = set(_WORD.findall(text.as_py().lower()))
-                for g in set().union(*(known.get(w) or known.setdefault(w, grams(w)) for w in words)):
-                    side = found[y.as_py()]
-                    side[g] = side.get(g, 0) + 1
-            known.clear()
-        for y, side in enumerate(found):
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(side.keys(), pa.string()), "toxic": pa.array([y] * len(side), pa.int32()), "n": pa.array(side.values(), pa.int64())})
-
-    sizes = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    p, n = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    if not p or not n:
-        return []
-    held = examples.mapInArrow(count, "gram string, toxic int, n long").groupBy("gram").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double").alias("b")
-    )
-    a, b = F.col("a"), F.col("b")
-    chi = (p + n) * F.pow(a * (n - b) - b * (p - a), 2) / ((a + b) * (p + n - a - b) * p * n)
-    told = held.where((a >= MIN_EXAMPLES) & (a / p > RATIO * b / n)).withColumn("chi", chi).where(F.col("chi") >= CHI)
-    return [r.gram for r in told.orderBy(F.col("chi").desc(), "gram").limit(TERMS).collect()]
+    return shared.materialize(texts.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")), "examples"), totals
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES) -> Index:
-    """Learn from the labelled documents outside fold 0."""
+    """Learn from the labelled documents outside fold 0.
+
+    A label that is null or neither 0 nor 1 is none; a document with both labels is toxic;
+    one text under both labels is two examples, several documents of one text and label are
+    one. Empty tables give an index without examples, whose base share is that of the labels.
+    """
     examples, totals = _examples(docs, labels, per_class)
-    terms = _terms(examples)
-    reader_terms = {t: i for i, t in enumerate(terms)}
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(reader_terms)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(reader.counts(t.as_py()).items()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int64()))],
-                ["doc_id", "toxic", "terms", "counts"],
-            )
-
-    held = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<long>")
-    rows = [(r.doc_id, r.toxic, dict(zip(r.terms, r.counts, strict=True))) for r in held.collect()]  # bounded by per_class
-    index = build(terms, sorted(rows, key=lambda r: (r[0], r[1])), totals)
-    if len(index.ids):
-        spark, order = docs.sparkSession, sorted(r for r in rows if r[2])
-        listed = [(i, list(r[2]), [int(x) for x in r[2].values()]) for i, r in enumerate(order)]
+            found = [words_of(t.as_py()) for t in batch.column("text")]
+            words, counts = (pa.array([list(x) for x in xs], pa.list_(kind)) for xs, kind in (((c.keys() for c in found), pa.string()), ((c.values() for c in found), pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), words, counts], ["doc_id", "toxic", "words", "counts"])
 
-        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [index.vote(dict(zip(r["t"], r["c"], strict=True)), r["i"])[0] for r in batch.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found)], ["i", "vote"])
-
-        table = spark.createDataFrame(listed, "i long, t array<int>, c array<long>").repartition(min(12, shared.partitions(spark)))
-        votes = {r.i: r.vote for r in table.mapInArrow(left_out, "i long, vote double").collect()}
-        calibrate(index, np.array([votes[i] for i in range(len(order))]), index.toxic, index.weight)
+    held = examples.mapInArrow(count, "doc_id long, toxic int, words array<string>, counts array<long>").toArrow()  # bounded by per_class
+    rows = [(r["doc_id"], r["toxic"], Counter(dict(zip(r["words"], r["counts"], strict=True)))) for r in held.to_pylist()]
+    index = build(sorted(rows, key=lambda r: (r[0], r[1], sorted(r[2].items())[:1])), totals)
+    if len(index.ids):
+        row_of = {(i, y): row for row, (i, y) in enumerate(zip(index.ids.tolist(), index.toxic.tolist(), strict=True))}
+        at = np.array([row_of[e[0], e[1]] for e in rows if e[2]])
+        votes = np.array([index.vote(*index.vector(e[2]), skip=row)[0] for e, row in zip((e for e in rows if e[2]), at, strict=True)])
+        calibrate(index, votes, index.toxic[at], index.stands[at])
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the neighbours), per row of ``docs``.
 
-    A null or empty text has no terms and gets the share of toxic among examples without
-    terms, as does every text where nothing is labelled (then zero). Repeated rows score
-    alike; an empty table gives no rows; columns but doc_id and text are ignored.
+    A null or empty text, or one of unknown words only, has no neighbours and gets the
+    calibrated share of toxic labels (zero where nothing is labelled). Texts of any length
+    are read whole. Repeated rows score alike; an empty table gives no rows; columns but
+    doc_id and text are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        reader = Reader(index.terms)
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column("text"):
-                vote, rows = index.vote(reader.counts(text.as_py()))
-                scores.append(index.calibrated(vote))
-                evidence.append(index.ids[rows].tolist())
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
+            found = [index.judge(t.as_py()) for t in batch.column("text")]
+            scores, evidence = [s for s, _ in found], [index.ids[rows].tolist() for _, rows in found]
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), shared.text_or_empty().alias("text"))
@@ -263,14 +228,17 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, index: Index) -> DataFrame:
-    """``docs`` without the documents predicted toxic; all columns stay."""
+    """``docs`` without the documents predicted toxic; all columns stay.
+
+    Null and empty texts score as in ``score``; repeated rows stay or go together; an empty
+    table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = held.value
-        reader = Reader(index.terms)
         for batch in texts:
-            yield pa.array([index.calibrated(index.vote(reader.counts(t.as_py() or ""))[0]) >= 0.5 for t in batch], pa.bool_())
+            yield pa.array([index.judge(t.as_py() or "")[0] >= 0.5 for t in batch], pa.bool_())
 
     toxic = F.arrow_udf(predict, "boolean", F.ArrowUDFType.SCALAR_ITER)
     return docs.where(~toxic("text"))

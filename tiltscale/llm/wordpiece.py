@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import pieces, shared
 
-#: Distinct words whose counts a worker remembers.
-MEMORY = 500_000
+#: Bytes that a task spends on remembering the counts of words.
+MEMORY = 48_000_000
 #: Of a word that the vocabulary cannot spell.
 UNKNOWN = -1
 
@@ -85,32 +85,23 @@ def automaton(path: str) -> Automaton:
     return Automaton(*split_vocabulary(list(m.ids)))
 
 
-_counts: dict[str, dict[bytes, int]] = {}
-
-
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown (words), one row per row of ``docs``.
 
     Words are what ASCII white space separates; a word that the vocabulary cannot spell is
-    one unknown token. A null or empty text has no words; repeated rows count alike; an
-    empty table gives no rows; columns but doc_id and text are ignored.
+    one unknown token. A null or empty text has no words; texts of any length are counted
+    whole; repeated rows count alike; an empty table gives no rows; columns but doc_id and
+    text are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto, known = automaton(path), _counts.setdefault(path, {})
+        auto = automaton(path)
+        known = shared.Memo(lambda w: auto.count(w.decode()), MEMORY)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
                 words = text.as_py().split()
-                try:
-                    found = [known[w] for w in words]
-                except KeyError:
-                    new = {w for w in words if w not in known}
-                    if len(known) + len(new) > MEMORY:
-                        known.clear()
-                        new = set(words)
-                    known.update((w, auto.count(w.decode())) for w in new)
-                    found = [known[w] for w in words]
+                found = list(map(known.__getitem__, words))
                 unknown = found.count(UNKNOWN)
                 rows.append((len(words), sum(found) + 2 * unknown, unknown))
             columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3
