@@ -220,3 +220,36 @@ def test_decontamination(spark, odd, empty):
     assert 20 not in left and 8 not in left
     assert left[5].text == "A plain text a plain text."
     assert op6_decontamination(spark, SF).where("contaminated").count() > 0
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 900, 40_000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        for share in (0.0, 0.5, 1.0):
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(-(2**63), 2**63 - 1, n // 2 + 1)]))
+            most = similar.most_shared(similar.sketch(a), similar.sketch(b))
+            assert most >= len(np.intersect1d(a, b))
+        assert n < 100 or similar.most_shared(similar.sketch(a), similar.sketch(rng.integers(-(2**63), 2**63 - 1, n))) < 0.8 * n or n > 32_000
+    same = np.full(1000, 64, np.int64)  # counts above 255 stand for any
+    assert similar.most_shared(similar.sketch(same), similar.sketch(same)) >= 1000
+
+
+def test_verbatim_reposts_count_as_documents(spark):
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    note = "subscribe to our letter below"
+    # seven texts of a host hold the note; one is posted 40 times, so 46 documents of 546 do
+    rows = [(i, f"{own(0, 20)}\n{note}", "h") for i in range(40)] + [(100 + i, f"{own(i + 1, 20)}\n{note}", "h") for i in range(6)]
+    rows += [(200 + i, own(i + 50, 20), "h") for i in range(500)]
+    rows += [rows[0]] * 5  # a repeated row is no further document
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got if r.removed_words} == {*range(40), *range(100, 106)} and all(r.kept for r in got)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for stage in (quality.clean, simhash.drop_near_duplicates, lambda d: decontam.clean(d, benchmark)):
+        assert stage(empty).count() == 0 and stage(empty).columns == odd.columns and stage(odd).columns == odd.columns
+    wide = spark.createDataFrame([(i, f" 　\n{' '.join(f'w{i}x{k}' for k in range(20))}", "h") for i in range(30)], "doc_id long, text string, source string")
+    cleaned = [r.text for r in quality.clean(wide).collect()]  # a line of other than ASCII white space is a word
+    assert len(cleaned) == 30 and all("　" not in t for t in cleaned)

@@ -139,47 +139,128 @@ def test_base_score_matches_brute_force(spark, odd, empty):
     assert lm_score.score(empty, BPE).count() == 0
 
 
+def softmax(x):
+    e = np.exp(x - x.max())
+    return e / e.sum()
+
+
+def plain_class_distribution(model, before):
+    """Distribution of the next class after the classes ``before``, the last unit's and those of the unit before it."""
+    lo = max(0, ((len(before) - 1) // lm_score.UNIT - 1) * lm_score.UNIT)
+    c = np.array(before[lo:])
+    score = np.array([model.query[c[-1]] @ model.key[x] / np.sqrt(lm_score.WIDTH) + model.near[len(c) - 1 - j] for j, x in enumerate(c)])
+    rows = [softmax((model.own if j == len(c) - 1 else model.value)[x]) for j, x in enumerate(c)]
+    return softmax(score) @ np.array(rows)
+
+
+def random_model(seed):
+    rng = np.random.default_rng(seed)
+    k = lm_score.CLASSES
+    return lm_score.Attention.of(rng.standard_normal(lm_score.Attention.new(np.full(k, 1 / k)).flat().shape))
+
+
 def test_attention_is_causal_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    model = lm_score.Attention.of(rng.standard_normal(lm_score.Attention.new().flat().shape))
+    rng, model = np.random.default_rng(0), random_model(0)
     k, unit = lm_score.CLASSES, lm_score.UNIT
     lengths = np.array([1, unit, 3 * unit + 5])
     targets = rng.integers(0, k, lengths.sum())
-    inputs = np.concatenate([[k], targets[:-1]])
-    inputs[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = k
-    lp = lm_score.class_scores(model, inputs, targets, lengths)
-    # by hand: each place attends to the places of its text from the unit before its own
+    lp, opening = lm_score.class_scores(model, targets, lengths)
     start = 1 + unit
+    before = [k, *targets[start:]]
     for place in (0, 7, unit, 2 * unit + 3, 3 * unit + 4):
-        lo = max(0, (place // unit - 1) * unit)
-        c = inputs[start + lo : start + place + 1]
-        s = model.query[c[-1]] @ model.key[c].T / np.sqrt(lm_score.WIDTH) + model.near[np.arange(len(c))[::-1]]
-        a = np.exp(s - s.max())
-        z = (a / a.sum()) @ model.value[c] + model.last[c[-1]]
-        assert lp[start + place] == pytest.approx(z[targets[start + place]] - np.log(np.exp(z).sum()), abs=1e-3)
+        p = plain_class_distribution(model, before[: place + 1])
+        assert p.sum() == pytest.approx(1)
+        assert lp[start + place] == pytest.approx(np.log(p[targets[start + place]]), abs=1e-3)
+        assert opening[start + place] == pytest.approx(np.log(p[lm_score.opens()].sum()), abs=1e-3)
     # whoever changes the future leaves the past's scores alone
     later = targets.copy()
     later[-5:] = (later[-5:] + 1) % k
-    moved = np.concatenate([[k], later[:-1]])
-    moved[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = k
-    assert np.allclose(lm_score.class_scores(model, moved, later, lengths)[:-5], lp[:-5])
-    texts = [np.arange(200) % 7 for _ in range(40)]
-    fresh = lm_score.Attention.new()
-    flat = lm_score.train(fresh.flat(), texts, batch=8, rate=0.1)
-    joined = np.concatenate(texts)
-    before = np.concatenate([[k], joined[:-1]])
-    before[::200] = k
-    mean = lambda m: lm_score.class_scores(m, before, joined, np.full(40, 200)).mean()
-    assert mean(lm_score.Attention.of(flat)) > mean(fresh) + 2
+    assert np.allclose(lm_score.class_scores(model, later, lengths)[0][:-5], lp[:-5])
+    joined, sizes = np.tile(np.arange(200) % 7, 400), np.full(400, 200)
+    flat = lm_score.Attention.new(np.full(k, 1 / k)).flat()
+    mean = lambda flat: lm_score.class_scores(lm_score.Attention.of(flat), joined, sizes)[0].mean()
+    assert mean(lm_score.train(flat, joined, sizes, rate=0.3)) > mean(flat) + 2
+
+
+def test_gradient_follows_the_likelihood():
+    rng, k = np.random.default_rng(2), lm_score.CLASSES
+    lengths = np.array([40, 23])
+    targets, model = rng.integers(0, 12, 63), random_model(3)
+    flat, steps = model.flat(), {}
+    lm_score.train(flat, targets, lengths, rate=1.0)
+    moved = lm_score.train(flat, targets, lengths, rate=1.0) - flat  # the first Adam step is the gradient's sign
+    loss = lambda f: lm_score.class_scores(lm_score.Attention.of(f), targets, lengths)[0].astype(float).sum()
+    for at in [*rng.integers(0, len(flat), 12), 3 * lm_score.WIDTH, 2 * (k + 1) * lm_score.WIDTH + 2]:
+        up, down = flat.copy(), flat.copy()
+        up[at] += 0.05
+        down[at] -= 0.05
+        steps[at] = loss(up) - loss(down)
+        assert abs(steps[at]) < 2e-3 or np.sign(steps[at]) == np.sign(moved[at])
+    assert any(abs(x) > 2e-3 for x in steps.values())
+
+
+def plain_score(language, sub, counts, text):
+    """Natural log probability of one text, word by word."""
+    model, words = lm_score.Attention.of(language.flat), text.encode().lower().split()
+    ids = [sub.ids(w) for w in words]
+    before, total = [lm_score.CLASSES], 0.0
+
+    def place():
+        p = plain_class_distribution(model, before)
+        return np.log(p), np.log(p[lm_score.opens()].sum())
+
+    for w, pieces_of in zip([*words, None], [*ids, (sub.end,)], strict=True):
+        lp, opening = place()
+        first = pieces_of[0]
+        total += lp[language.class_of[first]] + language.inside[first] - opening
+        before.append(language.class_of[first])
+        if w is None:
+            return total
+        rest = 0.0
+        for i in pieces_of[1:]:
+            rest += place()[0][language.class_of[i]] + language.inside[i]
+            before.append(language.class_of[i])
+        rest += place()[1]
+        n, kinds = language.total[first], language.kinds[first]
+        total += np.log((counts[w] + kinds * np.exp(rest)) / (n + kinds)) if n + kinds else rest
+
+
+def test_scores_match_a_plain_implementation_of_the_model(spark, monkeypatch, odd):
+    learnt, fit = [], lm_score._fit
+    monkeypatch.setattr(lm_score, "_fit", lambda *a: learnt.append(fit(*a)) or learnt[-1])
+    monkeypatch.setattr(lm_score, "CHUNK", 5000)
+    texts = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows = [(r.doc_id, r.text[:900]) for r in texts] + [(9001, ""), (9002, None), (9003, "Unheard-of zzyzx \u00c9t\u00e9 \u65e5\u672c\u8a9e"), (9004, texts[0].text[:900])]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), BPE).collect()}
+    sub, language = lm_score.subwords(BPE), learnt[0]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    words = {i: (t or "").encode().lower().split() for i, t in rows}
+    counts = Counter(w for i, ws in words.items() if not held[i] for w in ws)
+    firsts = Counter(sub.ids(w)[0] for w in counts)
+    assert {i: int(n) for i, n in enumerate(language.kinds) if n} == firsts
+    assert language.total.sum() == sum(counts.values())
+    for i, t in rows[::6] + rows[-4:]:
+        assert got[i].score == pytest.approx(plain_score(language, sub, counts, t or "") / np.log(10), rel=1e-4), i
 
 
 def test_counts_within_classes_are_probabilities():
     rng = np.random.default_rng(1)
     class_of = rng.integers(0, lm_score.CLASSES, 500)
-    table = lm_score.within(rng.poisson(1.0, (lm_score.CLASSES + 1, 500)).astype(float), class_of)
-    for row in np.exp(table.astype(float)):
-        sums = np.bincount(class_of, row, lm_score.CLASSES)
-        assert np.allclose(sums[np.bincount(class_of, minlength=lm_score.CLASSES) > 0], 1, atol=1e-4)
+    p = np.exp(lm_score.within(rng.poisson(1.0, 500).astype(float), class_of))
+    sums = np.bincount(class_of, p, lm_score.CLASSES)
+    assert np.allclose(sums[np.bincount(class_of, minlength=lm_score.CLASSES) > 0], 1)
+
+
+def test_classes_tell_ids_by_their_surroundings():
+    rng = np.random.default_rng(4)
+    profiles = rng.dirichlet(np.full(2 * lm_score.BUCKETS, 0.3), 5)
+    kind = rng.integers(0, 5, 900)
+    around = np.array([rng.multinomial(400, profiles[x] / profiles[x].sum()) for x in kind] + [[50] * (2 * lm_score.BUCKETS)], float)
+    first = np.r_[np.arange(900) % 2 == 0, False]
+    found = lm_score.classes(around, first, 900)
+    assert found[900] == 0 and set(found[:900][first[:900]]) <= set(np.flatnonzero(lm_score.opens())) and not lm_score.opens()[found[:900][~first[:900]]].any()
+    for c in set(found[:900]):  # a class hardly mixes kinds
+        assert np.bincount(kind[found[:900] == c]).max() > 0.8 * (found[:900] == c).sum()
 
 
 def test_pipeline_stages(spark):
