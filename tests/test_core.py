@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -43,9 +44,11 @@ def test_combination_of_one_none_and_underflow(spark):
 
 def test_truncated_distributions_sum_to_one(spark):
     par = spark.createDataFrame([(1, 8.0, 0.6, 40.0), (2, 3.0, 0.5, 25.0)], "id int, r double, p double, k double")
-    for table in (score.nb_tails(par, ["id"], 4, 600), score.mcnb(par, ["id"], 4, 300)):
-        for r in table.groupBy("id").agg(F.sum("pmf").alias("s"), F.max("sf").alias("t")).collect():
-            assert r.s == pytest.approx(1) and r.t == 1.0
+    xs = par.withColumn("x", F.explode(F.sequence(F.lit(5), F.lit(400))))
+    tables = [score.with_tails(xs, 4, dist).withColumn("pmf", F.exp("logpmf")) for dist in ("nb", "betanb")] + [score.mcnb(xs, ["id"], 4)]
+    for i, table in enumerate(tables):
+        for r in table.groupBy("id").agg(F.sum("pmf").alias("s"), F.max("sf").alias("t"), F.min("sf").alias("u")).collect():
+            assert r.s == pytest.approx(1, abs=1e-3 if i == 1 else 1e-9) and r.t == 1.0 and r.u >= 0
     counts = spark.createDataFrame([(1.0, 10, 10), (2.0, 30, 6)], "bad double, ref_count int, alt_count int")
     got = {r.bad: r for r in score.binomial_test(counts).collect()}
     ways = [math.comb(20, i) for i in range(5, 16)]
@@ -54,6 +57,86 @@ def test_truncated_distributions_sum_to_one(spark):
     assert {r.bad: r.ref_pval for r in swapped} == pytest.approx({b: r.alt_pval for b, r in got.items()})
 
 
+def nb_tail(r, p, x, left):
+    """P(X >= x | X > left) and the mean in exact fractions; r whole."""
+    p = Fraction(p)
+    pmf = lambda i: math.comb(i + r - 1, i) * p**i * (1 - p) ** r
+    mass = 1 - sum(pmf(i) for i in range(left + 1))
+    return (1 - sum(pmf(i) for i in range(x))) / mass, (r * p / (1 - p) - sum(i * pmf(i) for i in range(left + 1))) / mass
+
+
+def test_scores_of_large_counts(spark):
+    cases = [(5.0, 200, 600), (5.0, 200, 750), (5.0, 200, 994), (1.0, 300, 700), (2.0, 5, 990), (1.0, 990, 5), (3.0, 40, 400), (1.5, 6, 701), (1.0, 60, 900)]
+    pairs = spark.createDataFrame([(b, "ref", s, x) for b, s, x in cases], "bad double, allele string, slice int, x int")
+    got = {(r.bad, r.slice, r.x): r for r in score.mixture_scores(pairs, score.conservative(pairs)).collect()}
+    assert got.keys() == set(cases)  # no pair is lost
+    for (b, s, x), r in got.items():
+        tail, mean = nb_tail(s, b / (b + 1), x, 4)
+        assert r.pval == pytest.approx(float(tail), rel=1e-8) and r.es == pytest.approx(math.log2(x) - math.log2(mean), abs=1e-9), (b, s, x)
+    assert got[5.0, 200, 600].pval > 0.999 and 0 < got[1.0, 60, 900].pval < 1e-100
+    with pytest.raises(Exception, match="no parameters"):
+        score.mixture_scores(pairs, score.conservative(pairs.where("slice < 300"))).collect()
+    beta = score.conservative(pairs).withColumn("k", F.lit(1e7))
+    close = {(r.bad, r.slice, r.x): r for r in score.mixture_scores(pairs, beta, dist="betanb").collect()}
+    for key, r in close.items():  # a large concentration is the negative binomial
+        assert r.pval == pytest.approx(got[key].pval, rel=0.05, abs=1e-250) and r.es == pytest.approx(got[key].es, abs=1e-3), key
+
+
+def test_beta_nb_tail_and_mean(spark):
+    r, p, k = 7.0, 0.6, 12.0
+    a, b = p * k, (1 - p) * k
+    lbeta = lambda u, v: math.lgamma(u) + math.lgamma(v) - math.lgamma(u + v)
+    pmf = [math.exp(math.lgamma(i + r) - math.lgamma(r) - math.lgamma(i + 1) + lbeta(a + i, b + r) - lbeta(a, b)) for i in range(400_000)]
+    mass, rows = math.fsum(pmf[5:]), spark.createDataFrame([(x, r, p, k) for x in (5, 6, 40, 300, 2000)], "x int, r double, p double, k double")
+    for row in score.with_tails(rows, 4, "betanb").collect():
+        assert row.sf == pytest.approx(math.fsum(pmf[row.x :]) / mass, rel=2e-3) and math.exp(row.logpmf) == pytest.approx(pmf[row.x] / mass)
+        assert row.mean == pytest.approx(math.fsum(i * q for i, q in enumerate(pmf) if i > 4) / mass, rel=1e-3)
+
+
+def test_combination_of_zero_p_values(spark):
+    rows = [("two", p) for p in (0.0, 0.5, 0.5)] + [("alone", 0.0), ("alone", 1.0), ("plain", 0.2)]
+    df = spark.createDataFrame(rows, "alt string, ref_pval double").withColumns({"alt_pval": F.lit(0.5), "ref_es": F.lit(1.0), "alt_es": F.lit(-1.0)})
+    combined = combine.combine(df, by=["alt"])
+    assert {r.alt: r.ref_comb_pval for r in combined.collect()} == {"two": 0.0, "alone": 0.0, "plain": 0.2}
+    replaced = combine.replace_zero(combined, ["ref_comb_pval"], 1.0)
+    assert {r.alt: r.ref_comb_pval for r in replaced.collect()} == {"two": 0.2, "alone": 0.2, "plain": 0.2}
+    empty = combine.combine(df.limit(0), by=["alt"])
+    assert empty.count() == 0 and combine.replace_zero(empty, ["ref_comb_pval"]).count() == 0
+
+
+def test_significance_of_an_empty_table(spark):
+    df = spark.createDataFrame([(0.01, 0.2), (0.5, None)], "ref_fdr double, alt_fdr double")
+    assert tuple(combine.significance(df).first()) == (1, 0, 0, 1, 2, 50.0)
+    assert tuple(combine.significance(df.limit(0)).first()) == (0, 0, 0, 0, 0, None)
+
+
+def test_wald_with_undefined_and_zero_variances(spark):
+    nan = float("nan")
+    cases = {"a": (0.01, 0.01), "null": (None, 0.01), "both": (None, None), "nan": (nan, 0.01), "zero": (0.0, 0.0), "one": (0.0, 0.01), "wide": (float("inf"), 0.01)}
+    rows = [(k, "ref", g, 9, p, v) for k, (u, w) in cases.items() for g, p, v in (("c", 0.6, u), ("t", 0.4, w))]
+    fits = spark.createDataFrame(rows, "k string, allele string, group string, n long, p double, var double")
+    got = {r.k: r.pval for r in diff.wald(fits, ["k"], "c", "t").collect()}
+    two = lambda z: math.erfc(z / math.sqrt(2))
+    assert {k for k, p in got.items() if p == 1.0} == {"null", "both", "nan", "zero"}
+    assert got["a"] == pytest.approx(two(0.2 / math.sqrt(0.02))) and got["one"] == pytest.approx(two(2.0)) and got["wide"] == pytest.approx(two(0.2 / math.sqrt(0.17)))
+    logit = {r.k: r.pval for r in diff.wald(fits, ["k"], "c", "t", logit=True).collect()}
+    assert logit["null"] == logit["both"] == logit["zero"] == 1.0 and logit["a"] == pytest.approx(two(2 * math.log(1.5) / math.sqrt(0.02 * (1 / 0.24) ** 2)))
+    assert diff.wald(fits.limit(0), ["k"], "c", "t").count() == 0
+    near_one = {r.k: r.pval for r in diff.wald(fits.withColumn("p", F.lit(1 - 1e-12)), ["k"], "c", "t", contrast=(0.0, 0.0, 0.0)).collect()}
+    assert set(near_one.values()) == {1.0}
+
+
+def test_entropy_moments_have_no_cap():
+    r = np.array([5.0, 60.0])
+    for p in (0.5, 0.9, 0.99, 0.999, 0.9999):
+        first, var = diff._log2_moments(p, r, 4)
+        gamma = np.random.default_rng(0).gamma(r[:, None], size=(2, 200_000)) * p / (1 - p)
+        x = np.log2(np.maximum(np.random.default_rng(1).poisson(gamma), 1))
+        keep = np.random.default_rng(1).poisson(gamma) > 4
+        for i in range(2):
+            assert first[i] == pytest.approx(x[i][keep[i]].mean(), abs=0.02) and var[i] == pytest.approx(x[i][keep[i]].var(), abs=0.03)
+
+
 def test_weight_correction(spark):
     row = spark.range(1).select(*[score.corrected_weight(F.lit(w), F.lit(a), F.lit(b), c).alias(n) for n, w, a, b, c in (("x", 0.5, -1.0, -2.0, "single"), ("y", 0.5, -1.0, -2.0, "hard"), ("z", 1.0, -9.0, -1.0, "single"), ("u", 0.5, 0.0, -5000.0, "single"))]).first()
     assert row.x == pytest.approx(math.e / (1 + math.e)) and (row.y, row.z, row.u) == (1.0, 1.0, 1.0)

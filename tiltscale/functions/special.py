@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 #: Lanczos coefficients for g = 7, nine terms.
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
-STEPS = 200
+#: Most steps of a continued fraction or series; it ends when no value moves.
+STEPS = 20_000
 
 
 def lgamma(x: Column) -> Column:
@@ -45,6 +46,8 @@ def _np_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / safe(1 + term * d)
             c = safe(1 + term / c)
             h = h * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
+            break
     return h
 
 
@@ -65,18 +68,22 @@ def np_gammaincc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         term = total = 1 / a
         first = d = h = 1 / (x + 1 - a)
         c = np.full_like(x, 1e300)
+        below = x < a + 1
         for n in range(1, STEPS + 1):
-            term = term * x / (a + n)
+            term = np.where(below, term * x / (a + n), 0.0)
             total = total + term
             an, b = -n * (n - a), x + 2 * n + 1 - a
             d = 1 / (an * d + b)
             c = b + an / c
             h = h * c * d
-        out = np.where(x < a + 1, 1 - front * total, front * h)
+            moved = np.where(below, term / total, c * d - 1)
+            if not (np.abs(moved) > 1e-15).any():
+                break
+        out = np.where(below, 1 - front * total, front * h)
     return np.where(np.isnan(x), np.nan, np.where(x <= 0, 1.0, out))
 
 
-# 200 rounds of a continued fraction are many times faster on Arrow batches than as nested lambdas
+# many rounds of a continued fraction are many times faster on Arrow batches than as nested lambdas
 @F.pandas_udf(T.DoubleType())
 def betainc(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     """Regularised incomplete beta function."""

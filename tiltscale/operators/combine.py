@@ -81,10 +81,12 @@ def logit_pvalue(total: Column, k: Column, one: Column, fisher: Column) -> Colum
     """Combined p of ``k`` p-values below one, from total = sum(-ln p + ln(1 - p)).
 
     Without any it is one; of one it is that p; a tail of zero falls back to Fisher's sum.
+    Both sums are infinite if a p is zero, and the combined p is then zero.
     """
     df = 5 * k + 4
-    t = special.t_sf(total * F.sqrt(3 * df / (k * math.pi**2 * (df - 2))), df.cast("double"))
-    return F.when(k == 0, 1.0).when(k == 1, one).otherwise(F.when(t > 0, t).otherwise(fisher))
+    some = F.greatest(k, F.lit(1))
+    t = special.t_sf(total * F.sqrt(3 * df / (some * math.pi**2 * (df - 2))), df.cast("double"))
+    return F.when(k == 0, 1.0).when(k == 1, one).when(F.isnan(total) | (total == float("inf")), 0.0).otherwise(F.when(t > 0, t).otherwise(fisher))
 
 
 def combine(scored: DataFrame, uniform: bool = True, by: list[str] | None = None) -> DataFrame:
@@ -93,11 +95,11 @@ def combine(scored: DataFrame, uniform: bool = True, by: list[str] | None = None
     aggs, out = [], []
     for a in ("ref", "alt"):
         p, es = F.col(f"{a}_pval"), F.col(f"{a}_es")
-        below = p < 1
+        below, minus_log = p < 1, F.when(p > 0, -F.log(p)).otherwise(float("inf"))
         weight = F.when(p > 0, -F.log10(p))
         aggs += [
-            F.sum(F.when(below, -F.log(p) + F.log1p(-p))).alias(f"{a}_t"), F.count(F.when(below, 1)).alias(f"{a}_k"), F.max(F.when(below, p)).alias(f"{a}_one"),
-            F.sum(F.when(below, -2 * F.log(p))).alias(f"{a}_fisher"), F.avg(es).alias(f"{a}_mean"), F.sum(weight * es).alias(f"{a}_wes"), F.sum(weight).alias(f"{a}_w"),
+            F.sum(F.when(below, minus_log + F.log1p(-p))).alias(f"{a}_t"), F.count(F.when(below, 1)).alias(f"{a}_k"), F.max(F.when(below, p)).alias(f"{a}_one"),
+            F.sum(F.when(below, 2 * minus_log)).alias(f"{a}_fisher"), F.avg(es).alias(f"{a}_mean"), F.sum(weight * es).alias(f"{a}_wes"), F.sum(weight).alias(f"{a}_w"),
         ]
         fisher = special.chi2_sf_even(F.col(f"{a}_fisher"), F.col(f"{a}_k"))
         out.append(logit_pvalue(F.col(f"{a}_t"), F.col(f"{a}_k"), F.col(f"{a}_one"), fisher).alias(f"{a}_comb_pval"))
@@ -157,10 +159,10 @@ def preferred(df: DataFrame, fields: list[str], pval: str = "pval") -> DataFrame
 
 
 def significance(df: DataFrame, alpha: float = 0.05, ref: str = "ref_fdr", alt: str = "alt_fdr") -> DataFrame:
-    """SNVs below ``alpha`` by ref, alt, both and either, all of them, and the percentage."""
+    """SNVs below ``alpha`` by ref, alt, both and either, all of them, and the percentage (null without any)."""
     r, a = F.col(ref) < alpha, F.col(alt) < alpha
     return df.agg(F.count_if(r).alias("ref"), F.count_if(a).alias("alt"), F.count_if(r & a).alias("both"), F.count_if(r | a).alias("either"), F.count("*").alias("tested")).withColumn(
-        "percent", F.round(100 * F.col("either") / F.col("tested"), 4)
+        "percent", F.round(F.try_divide(100 * F.col("either"), F.col("tested")), 4)
     )
 
 

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
+from . import score
 
 ALL = "__all__"
+#: Largest support that moments are summed over.
+WIDE = 50_000
 SNV = ["chrom", "start", "alt"]
 
 
@@ -130,20 +133,26 @@ def logit_delta(p: Column, var: Column) -> tuple[Column, Column]:
 
 
 def wald(fits: DataFrame, keys: list[str], control: str, test: str, contrast: tuple[float, float, float] = (1, -1, 0), var: str = "var", logit: bool = False) -> DataFrame:
-    """Two-sided normal test of a * p_control + b * p_test + c; an undefined test gives 1."""
+    """Two-sided normal test of a * p_control + b * p_test + c.
+
+    A variance is at most (1 - p) squared. Where one is undefined, or both are zero, there
+    is no test and p is 1.
+    """
     a, b, c = contrast
     sides = []
     for g, name in ((control, "control"), (test, "test")):
         p, v = F.col("p"), F.col(var)
-        v = F.least(F.greatest(v, F.lit(0.0)), F.pow(1 - p, 2))
+        v = F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(0.0)), F.pow(1 - p, 2)))
+        raw = v
         if logit:
             p, v = logit_delta(p, v)
-        sides.append(fits.where(F.col("group") == g).select(*keys, "allele", F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"), p.alias(f"v_{name}"), v.alias(f"var_{name}")))
+        sides.append(fits.where(F.col("group") == g).select(*keys, "allele", F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"), p.alias(f"v_{name}"), v.alias(f"var_{name}"), raw.alias(f"raw_{name}")))
     both = sides[0].join(sides[1], [*keys, "allele"])
-    z = F.abs(a * F.col("v_control") + b * F.col("v_test") + c) / F.sqrt(a * a * F.col("var_control") + b * b * F.col("var_test"))
-    pval = 2 * special.norm_sf(z)
-    pval = F.when(pval.isNull() | F.isnan(pval), 1.0).otherwise(pval)
-    return both.select(*keys, "allele", "n_control", "n_test", "p_control", "p_test", F.sqrt("var_control").alias("std_control"), F.sqrt("var_test").alias("std_test"), pval.alias("pval"))
+    spread = a * a * F.col("var_control") + b * b * F.col("var_test")
+    z = F.try_divide(F.abs(a * F.col("v_control") + b * F.col("v_test") + c), F.sqrt(spread))
+    sound = (F.col("raw_control") + F.col("raw_test") > 0) & z.isNotNull() & ~F.isnan(z)
+    pval = F.when(sound, 2 * special.norm_sf(F.coalesce(z, F.lit(0.0)))).otherwise(1.0)
+    return both.select(*keys, "allele", "n_control", "n_test", "p_control", "p_test", F.sqrt("raw_control").alias("std_control"), F.sqrt("raw_test").alias("std_test"), pval.alias("pval"))
 
 
 def alleles_wide(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -172,27 +181,40 @@ def anova_wide(tests: DataFrame, pairs: DataFrame, keys: list[str], groups: list
     return out.join(per, keys)
 
 
-def entropy_effect(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4, top: int = 400) -> DataFrame:
+def _log2_moments(p: float, r: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of log2 X given X > left, for each r; X is negative binomial (r, p).
+
+    The support is summed to 40 standard deviations above the largest mean. Means above
+    ``WIDE`` have the gamma limit's moments, whose error is below 1 / WIDE.
+    """
+    mean, sd = r * p / (1 - p), np.sqrt(r * p) / (1 - p)
+    top = int(np.ceil((mean + 40 * sd).max())) + left + 50
+    if top > WIDE:
+        y = np.linspace(-40, 12, 20_000)  # log of a unit gamma variate
+        lw = r[:, None] * y - np.exp(y)
+        w = np.exp(lw - lw.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+        first = w @ y
+        return (first + np.log(p / (1 - p))) / np.log(2), (w @ y**2 - first**2) / np.log(2) ** 2
+    x = np.arange(left + 1, top + 1, dtype=float)
+    lp = np.cumsum(np.log(p * (np.arange(top) + r[:, None]) / (np.arange(top) + 1)), axis=1)[:, left:]
+    w = np.exp(lp - lp.max(axis=1, keepdims=True))
+    w /= w.sum(axis=1, keepdims=True)
+    first = w @ np.log2(x)
+    return first, w @ np.log2(x) ** 2 - first**2
+
+
+def entropy_effect(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4) -> DataFrame:
     """Mean over observations of E[log2 X] under the group's p less that under all groups' p, and its variance."""
     pooled = fits.where(F.col("group") == ALL).select(*keys, "allele", F.col("p").alias("p_all"))
     rows = cells.where(F.col("group") != ALL).join(fits.select(*keys, "allele", "group", "p"), [*keys, "allele", "group"]).join(pooled, [*keys, "allele"])
-    x = np.arange(left + 1, top + 1, dtype=float)
-    logs = np.log2(x)
-
-    def moments(p: float, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        steps = np.log(p * (np.arange(top) + r[:, None]) / (np.arange(top) + 1))
-        lp = np.cumsum(steps, axis=1)[:, left:] + r[:, None] * np.log1p(-p)
-        w = np.exp(lp - lp.max(axis=1, keepdims=True))
-        w /= w.sum(axis=1, keepdims=True)
-        first = w @ logs
-        return first, w @ logs**2 - first**2
 
     @F.pandas_udf("es double, es_var double")
     def effect(c: pd.Series, p: pd.Series, q: pd.Series) -> pd.DataFrame:
         out = []
         for cells, a, b in zip(c, p, q, strict=True):
             r, n = np.array([[v["r"], v["n"]] for v in cells], float).T
-            (m1, v1), (m2, v2) = moments(min(max(a, 1e-6), 1 - 1e-6), r), moments(min(max(b, 1e-6), 1 - 1e-6), r)
+            (m1, v1), (m2, v2) = (_log2_moments(min(max(z, 1e-12), 1 - 1e-12), r, left) for z in (a, b))
             out.append(((n @ (m1 - m2)) / n.sum(), (n @ (v1 + v2)) / n.sum() ** 2))
         return pd.DataFrame(out, columns=["es", "es_var"])
 
@@ -206,7 +228,7 @@ def mean_effect(fits: DataFrame, keys: list[str]) -> DataFrame:
     return fits.where(F.col("group") != ALL).join(pooled, [*keys, "allele"]).select(*keys, "allele", "group", (F.log2(odds(F.col("p"))) - F.log2(odds(F.col("p_all")))).alias("es"))
 
 
-def line_adjusted_r(bad: Column, r: Column, w: Column) -> Column:
-    """r scaled by m1 / (w * m1 + (1 - w) * m2), the NB means of both modes; unchanged at BAD 1."""
-    m1, m2 = r * bad, r / bad
+def line_adjusted_r(bad: Column, r: Column, w: Column, left: int = 4) -> Column:
+    """r scaled by m1 / (w * m1 + (1 - w) * m2), the truncated NB means of both modes; unchanged at BAD 1."""
+    m1, m2 = score.nb_mean(r, bad / (bad + 1), left), score.nb_mean(r, 1 / (bad + 1), left)
     return F.when(bad != 1, r * m1 / (w * m1 + (1 - w) * m2)).otherwise(r)

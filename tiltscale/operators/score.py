@@ -1,8 +1,10 @@
 """Left-truncated count distributions, mixture scores and binomial tests.
 
-A support table lists a distribution's log probabilities by a running sum of log ratios;
-tails are sums from the far end, so small tails keep their digits. Scores depend only on
-distinct (bad, counts), so these tables stay small however many observations there are.
+Tails of the negative binomial are incomplete beta functions, so they hold for counts of
+any size and small tails keep their digits. The other distributions have a support table:
+log probabilities by a running sum of log ratios, as far as the largest count needs. Scores
+depend only on distinct (bad, counts), so all this stays small however many observations
+there are.
 """
 
 from __future__ import annotations
@@ -51,45 +53,107 @@ def support(params: DataFrame, keys: list[str], dist: str, top: int | Column) ->
     return rows.withColumn("ratio", log_ratio(dist, F.col("x"))).withColumn("logpmf", log_start(dist) + F.coalesce(F.sum("ratio").over(w), F.lit(0.0))).drop("ratio")
 
 
-def truncated(table: DataFrame, keys: list[str], left: int, bounded: bool = False, heavy: bool = False) -> DataFrame:
-    """Given x > left: pmf, logpmf, sf = P(X >= x) and the mean.
+def truncated(table: DataFrame, keys: list[str], left: int, bounded: bool = False) -> DataFrame:
+    """Given x > left: pmf, logpmf and sf = P(X >= x), and for a bounded support the mean.
 
-    ``bounded``: the support is finite and is summed whole. ``heavy``: the tail falls too
-    slowly for a finite table, so sf is one less the lower sum and the mean is left null.
+    ``bounded``: the table holds the whole support, and tails are sums from its far end.
+    Else sf is one less the lower sum, wherever the table ends.
     """
     up = Window.partitionBy(*keys)
     ahead = up.orderBy("x").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     before = up.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     raw = F.exp("logpmf")
-    inside = F.when(F.col("x") > left, raw).otherwise(0.0)
-    rows = table.withColumn("__raw", raw).withColumn("__in", inside)
-    rows = rows.withColumn("__mass", F.sum("__in").over(up) if bounded else 1 - F.sum(F.when(F.col("x") <= left, F.col("__raw")).otherwise(0.0)).over(up))
-    if heavy:
-        sf = 1 - F.coalesce(F.sum("__in").over(before), F.lit(0.0)) / F.col("__mass")
-        mean = F.lit(None).cast("double")
-    else:
+    rows = table.withColumn("__raw", raw).withColumn("__in", F.when(F.col("x") > left, raw).otherwise(0.0))
+    if bounded:
+        rows = rows.withColumn("__mass", F.sum("__in").over(up))
+        rows = rows.withColumn("mean", F.sum(F.col("__in") * F.col("x")).over(up) / F.col("__mass"))
         sf = F.sum("__in").over(ahead) / F.col("__mass")
-        mean = F.sum(F.col("__in") * F.col("x")).over(up) / F.col("__mass")
-    out = rows.withColumn("pmf", F.col("__in") / F.col("__mass")).withColumn("sf", F.when(F.col("x") == left + 1, 1.0).otherwise(sf)).withColumn("mean", mean).withColumn("logpmf", F.col("logpmf") - F.log("__mass"))
+    else:
+        rows = rows.withColumn("__mass", 1 - F.sum(F.when(F.col("x") <= left, F.col("__raw")).otherwise(0.0)).over(up))
+        sf = F.greatest(1 - F.coalesce(F.sum("__in").over(before), F.lit(0.0)) / F.col("__mass"), F.lit(0.0))
+    out = rows.withColumn("pmf", F.col("__in") / F.col("__mass")).withColumn("sf", F.when(F.col("x") == left + 1, 1.0).otherwise(sf)).withColumn("logpmf", F.col("logpmf") - F.log("__mass"))
     return out.where(F.col("x") > left).drop("__raw", "__in", "__mass")
 
 
-def nb_tails(params: DataFrame, keys: list[str], left: int = 4, top: int = 700, dist: str = "nb") -> DataFrame:
-    return truncated(support(params, keys, dist, top), keys, left, heavy=dist == "betanb")
+def nb_head(r: Column, p: Column, left: int) -> tuple[Column, Column]:
+    """Probability of x <= left under the negative binomial, and the sum of x times it."""
+    term = head = F.exp(r * F.log1p(-p))
+    first = F.lit(0.0)
+    for i in range(left):
+        term = term * p * (r + i) / (i + 1)
+        head, first = head + term, first + term * (i + 1)
+    return head, first
+
+
+def nb_mean(r: Column, p: Column, left: int) -> Column:
+    """Mean of the negative binomial given x > left."""
+    head, first = nb_head(r, p, left)
+    return (r * p / (1 - p) - first) / (1 - head)
+
+
+def with_tails(rows: DataFrame, left: int = 4, dist: str = "nb", p: str = "p", suffix: str = "") -> DataFrame:
+    """``rows`` (x, r, the column ``p``, for betanb k) with logpmf, sf = P(X >= x) and mean, given x > left.
+
+    Counts of any size are scored; for x <= left sf is one and logpmf null.
+    """
+    out = [f"{c}{suffix}" for c in ("logpmf", "sf", "mean")]
+    if dist == "betanb":
+        return _beta_nb_tails(rows, left, p, out)
+    x, r, q = F.col("x").cast("double"), F.col("r"), F.col(p)
+    mass = special.betainc(F.lit(left + 1.0), r, q)
+    logpmf = special.lgamma(x + r) - special.lgamma(r) - special.lgamma(x + 1) + x * F.log(q) + r * F.log1p(-q)
+    first = nb_head(r, q, left)[1]
+    rows = rows.withColumn("__mass", mass).withColumn("__sf", special.betainc(F.greatest(x, F.lit(1.0)), r, q))
+    inside = F.col("x") > left
+    return rows.withColumns({
+        out[0]: F.when(inside, logpmf - F.log("__mass")),
+        out[1]: F.when(F.col("x") > left + 1, F.least(F.col("__sf") / F.col("__mass"), F.lit(1.0))).otherwise(1.0),
+        out[2]: (r * q / (1 - q) - first) / F.col("__mass"),
+    }).drop("__mass", "__sf")
+
+
+def _beta_nb_tails(rows: DataFrame, left: int, p: str, out: list[str]) -> DataFrame:
+    """Each distinct (r, p, k) has one support table, twice as long as its largest x.
+
+    A tail is one less the lower sum; where that has few digits it is the sum above, with
+    the power law's remainder beyond the table.
+    """
+    keys = ["r", "p", "k"]
+    tops = rows.groupBy("r", F.col(p).alias("p"), "k").agg(F.greatest(F.max("x"), F.lit(left + 1)).alias("top"))
+    table = support(tops, keys, "betanb", 2 * F.col("top") + 100).drop("n")
+    up = Window.partitionBy(*keys)
+    raw, a, b = F.exp("logpmf"), F.col("p") * F.col("k"), (1 - F.col("p")) * F.col("k")
+    inside, low = F.col("x") > left, F.when(F.col("x") <= left, raw).otherwise(0.0)
+    beyond = F.max_by(raw * F.col("x"), F.col("x")).over(up) / b
+    table = table.withColumn("__head", F.sum(low).over(up)).withColumn("__first", F.sum(low * F.col("x")).over(up)).withColumn("__beyond", beyond)
+    in_order = up.orderBy("x")
+    lower = F.coalesce(F.sum(F.when(inside, raw).otherwise(0.0)).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    upper = F.sum(raw).over(in_order.rowsBetween(Window.currentRow, Window.unboundedFollowing)) + F.col("__beyond")
+    mass = 1 - F.col("__head")
+    sf = F.when(1 - lower / mass > 1e-6, 1 - lower / mass).otherwise(F.least(upper / mass, F.lit(1e-6)))
+    mean = F.when(b > 1, (F.col("r") * a / (b - 1) - F.col("__first")) / mass).otherwise(float("inf"))
+    table = table.select(
+        F.col("r").alias("__r"), F.col("p").alias("__p"), F.col("k").alias("__k"), F.col("x").alias("__x"),
+        F.when(inside, F.col("logpmf") - F.log(mass)).alias(out[0]), F.when(F.col("x") > left + 1, sf).otherwise(1.0).alias(out[1]), mean.alias(out[2]),
+    )
+    met = (F.col("r") == F.col("__r")) & (F.col(p) == F.col("__p")) & (F.col("k") == F.col("__k")) & (F.col("x") == F.col("__x"))
+    return rows.join(table, met, "left").drop("__r", "__p", "__k", "__x")
 
 
-def mcnb(params: DataFrame, keys: list[str], left: int = 4, top: int = 300) -> DataFrame:
-    """Left-truncated marginalised compound negative binomial, for whole ``r``.
+def mcnb(rows: DataFrame, keys: list[str], left: int = 4) -> DataFrame:
+    """Left-truncated marginalised compound negative binomial at ``rows`` (keys, x, whole r, p): pmf and sf.
 
     x given m is negative binomial (m, p) and m is binomial (r, 1 - p) without zero; a
     definition recalled from the literature, so no claim of equality with another program.
     """
-    latent = params.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("r").cast("int"))))
+    latent = rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("r").cast("int")))).withColumn("m", F.col("m").cast("double"))
     logw = special.lgamma(F.col("r") + 1) - special.lgamma(F.col("m") + 1.0) - special.lgamma(F.col("r") - F.col("m") + 1) + F.col("m") * F.log1p(-F.col("p")) + (F.col("r") - F.col("m")) * F.log("p")
-    latent = latent.withColumn("weight", F.exp(logw) / (1 - F.pow(F.col("p"), F.col("r")))).withColumn("r", F.col("m").cast("double"))
-    parts = support(latent, [*keys, "m"], "nb", top)
-    mixed = parts.groupBy(*keys, "x").agg(F.log(F.sum(F.col("weight") * F.exp("logpmf"))).alias("logpmf"))
-    return truncated(mixed, keys, left)
+    x, m, p = F.col("x").cast("double"), F.col("m"), F.col("p")
+    logpmf = special.lgamma(x + m) - special.lgamma(m) - special.lgamma(x + 1) + x * F.log(p) + m * F.log1p(-p)
+    parts = latent.withColumn("__sf", special.betainc(F.greatest(x, F.lit(1.0)), m, p)).withColumn("__mass", special.betainc(F.lit(left + 1.0), m, p)).withColumn("__w", F.exp(logw))
+    mixed = parts.groupBy(*keys, "x").agg(*[F.sum(F.col("__w") * v).alias(n) for n, v in (("__pmf", F.exp(logpmf)), ("__tail", F.col("__sf")), ("__total", F.col("__mass")))])
+    inside = F.col("x") > left
+    return mixed.select(*keys, "x", F.when(inside, F.col("__pmf") / F.col("__total")).otherwise(0.0).alias("pmf"), F.when(F.col("x") > left + 1, F.col("__tail") / F.col("__total")).otherwise(1.0).alias("sf"))
 
 
 def conservative(pairs: DataFrame) -> DataFrame:
@@ -111,23 +175,23 @@ def override(params: DataFrame, stats: DataFrame, gof: float | None, min_n: int)
     return joined.withColumns({c: F.when(bad, v).otherwise(F.col(c)) for c, v in swap.items()}).drop("n", "rmsea")
 
 
-def mixture_scores(pairs: DataFrame, params: DataFrame, left: int = 4, top: int = 700, correction: str = "single", dist: str = "nb") -> DataFrame:
+def mixture_scores(pairs: DataFrame, params: DataFrame, left: int = 4, correction: str = "single", dist: str = "nb") -> DataFrame:
     """pval and es of each (bad, allele, x, slice) under w * D(p1) + (1 - w) * D(p2).
 
     ``correction`` moves the weight by the pair's own likelihoods: none, hard or single.
+    Every pair is scored: one whose slice has no parameters is an error, so take the
+    nearest slice's (``qc.nearest_params``) or ``conservative`` ones where some are missing.
     """
     keys = ["bad", "allele", "slice"]
-    want = pairs.select(*keys, "x").distinct()
-    out = want.join(params.select(*keys, "w"), keys)
+    wanted = ["r", "w", "p1", "p2", *(["k"] if dist == "betanb" else [])]
+    rows = pairs.select(*keys, "x").distinct().join(params.select(*keys, *wanted), keys, "left")
+    missing = F.raise_error(F.concat(F.lit("no parameters for "), F.to_json(F.struct(*keys))))
+    rows = rows.withColumn("r", F.when(F.col("r").isNull(), missing.cast("double")).otherwise(F.col("r")))
     for side in ("1", "2"):
-        extra = [c for c in ("k",) if c in params.columns]
-        tails = nb_tails(params.select(*keys, "r", F.col(f"p{side}").alias("p"), *extra), keys, left, top, dist)
-        out = out.join(tails.select(*keys, "x", F.col("sf").alias(f"sf{side}"), F.col("logpmf").alias(f"lp{side}"), F.col("mean").alias(f"mean{side}")), [*keys, "x"])
-    w = corrected_weight(F.col("w"), F.col("lp1"), F.col("lp2"), correction)
-    out = out.withColumn("w", w)
-    pval = F.col("w") * F.col("sf1") + (1 - F.col("w")) * F.col("sf2")
-    mean = F.col("w") * F.col("mean1") + (1 - F.col("w")) * F.col("mean2")
-    return out.select(*keys, "x", "w", pval.alias("pval"), (F.log2("x") - F.log2(mean)).alias("es"))
+        rows = with_tails(rows, left, dist, f"p{side}", side)
+    rows = rows.withColumn("w", corrected_weight(F.col("w"), F.col("logpmf1"), F.col("logpmf2"), correction))
+    both = lambda c: F.when(F.col("w") == 1, F.col(f"{c}1")).when(F.col("w") == 0, F.col(f"{c}2")).otherwise(F.col("w") * F.col(f"{c}1") + (1 - F.col("w")) * F.col(f"{c}2"))
+    return rows.select(*keys, "x", "w", both("sf").alias("pval"), (F.log2("x") - F.log2(both("mean"))).alias("es"))
 
 
 def corrected_weight(w: Column, lp1: Column, lp2: Column, correction: str) -> Column:

@@ -171,7 +171,7 @@ def main_pipeline(s, d):
     """create, fit (conservative), test, combine and export: one row per tested SNV."""
     obs = observed(s, d)
     pairs = ingest.orient(ingest.count_table(obs)).select("bad", "allele", "slice", "x")
-    wide = settle(score.wide(score.mixture_scores(pairs, score.conservative(pairs), 4, 700)), "scores")
+    wide = settle(score.wide(score.mixture_scores(pairs, score.conservative(pairs))), "scores")
     scored = settle(op.gate_any(op.with_scores(obs, wide), op.coverage_thresholds(wide)), "scored")
     comb = op.replace_zero(op.combine(scored), ["ref_comb_pval", "alt_comb_pval"], 1.0)
     for a in ("ref", "alt"):

@@ -75,10 +75,17 @@ R.add("g6_contrast_wald", lambda s, d: op.wald(_fits(s, d)[0], KEYS, "control",
 R.add("g8_whole_group_test", lambda s, d: op.lrt(solved(s, two(s, d), ["bad"])[0], ["bad"]))
 
 
+def _nb_mean_sql(p: str) -> str:
+    """Mean of NB(alt_count, p) given more than four, from its first five terms."""
+    raw = [f"exp(lgamma({i} + r) - lgamma(r) - lgamma({i + 1}.0) + {i} * ln({p}) + r * ln(1 - {p}))" for i in range(5)]
+    return f"((r * {p} / (1 - {p}) - ({' + '.join(f'{i} * {t}' for i, t in enumerate(raw))})) / (1 - ({' + '.join(raw)})))"
+
+
 R.add(
     "g7_line_adjusted_r",
     lambda s, d: observed(s, d).select("bad", "alt_count").distinct().select("bad", "alt_count", F.round(op.line_adjusted_r(F.col("bad"), F.col("alt_count") * 1.0, F.lit(0.7)), 7).alias("r")),
-    OBS + "SELECT DISTINCT bad, alt_count, round(CASE WHEN bad <> 1 THEN alt_count * (alt_count * bad) / (0.7::DOUBLE * (alt_count * bad) + 0.3::DOUBLE * (alt_count / bad)) ELSE alt_count END, 7) AS r FROM obs",
+    OBS + f""", c AS (SELECT DISTINCT bad, alt_count, alt_count::DOUBLE AS r FROM obs), m AS (SELECT *, {_nb_mean_sql('(bad / (bad + 1))')} AS m1, {_nb_mean_sql('(1 / (bad + 1))')} AS m2 FROM c)
+    SELECT bad, alt_count, round(CASE WHEN bad <> 1 THEN r * m1 / (0.7::DOUBLE * m1 + 0.3::DOUBLE * m2) ELSE r END, 7) AS r FROM m""",
 )
 
 

@@ -82,16 +82,25 @@ _PARAMS = _PAIRS + f"SELECT bad, allele, slice, unnest(['r', 'w', 'p1', 'p2']) A
 R.add("a8_export_params", lambda s, d: _written(s, _params_long(s, d), ["bad", "allele"]).select(F.col("bad").cast("double").alias("bad"), "allele", "slice", "name", F.col("est").cast("double").alias("est")), _PARAMS)
 
 
+def _significant(c):
+    """Six significant digits, as chi-squared of unlikely cells is huge."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(c)))
+    return F.when(c > 0, F.round(c / unit + 3e-9, 5) * unit).otherwise(c)
+
+
+_SIX = "CASE WHEN {0} > 0 THEN round({0} / pow(10.0, floor(log10({0}))) + 3e-9, 5) * pow(10.0, floor(log10({0}))) ELSE {0} END"
+
+
 def _stats(s, d):
-    tails = score.nb_tails(score.conservative(oriented(s, d)).select(*KEYS, "r", F.col("p1").alias("p")), KEYS)
-    out = qc.fit_stats(oriented(s, d), tails)
-    return out.withColumns({c: F.round(F.col(c) + 3e-11, 5) for c in ("chi2", "rmsea")})
+    rows = oriented(s, d).select(*KEYS, "x").join(score.conservative(oriented(s, d)).select(*KEYS, "r", F.col("p1").alias("p")), KEYS)
+    out = qc.fit_stats(oriented(s, d), score.with_tails(rows).withColumn("pmf", F.exp("logpmf")))
+    return out.withColumns({c: _significant(F.col(c)) for c in ("chi2", "rmsea")})
 
 
 _STATS = (
     _PAIRS + f", s1 AS {_pmf_table(P1)}, o AS (SELECT bad, 'ref' AS allele, alt_count AS slice, ref_count AS x, n FROM counts UNION ALL SELECT bad, 'alt', ref_count, alt_count, n FROM counts), tot AS (SELECT bad, allele, slice, sum(n) AS total FROM o GROUP BY ALL), "
     "m AS (SELECT bad, allele, slice, total, sum(pow(n - pmf * total, 2) / (pmf * total)) + max(total) - sum(pmf * total) AS chi2, count(*) AS cells FROM o JOIN s1 USING (bad, allele, slice, x) JOIN tot USING (bad, allele, slice) GROUP BY bad, allele, slice, total) "
-    "SELECT bad, allele, slice, CAST(total AS BIGINT) AS n, round(chi2 + 3e-11, 5) + 0 AS chi2, round(sqrt(greatest(chi2 / greatest(cells, 1) - 1, 0) / greatest(total - 1, 1)) + 3e-11, 5) + 0 AS rmsea FROM m"
+    f"SELECT bad, allele, slice, n, {_SIX.format('chi2')} AS chi2, {_SIX.format('rmsea')} AS rmsea FROM (SELECT bad, allele, slice, CAST(total AS BIGINT) AS n, chi2, sqrt(greatest(chi2 / greatest(cells, 1) - 1, 0) / greatest(total - 1, 1)) AS rmsea FROM m)"
 )
 R.add("d24_fit_indices", _stats, _STATS)
 R.add("a9_export_fit_indices", lambda s, d: _written(s, _stats(s, d), ["bad", "allele"]).select(F.col("bad").cast("double").alias("bad"), "allele", "slice", F.col("n").cast("long").alias("n"), F.col("chi2").cast("double").alias("chi2"), F.col("rmsea").cast("double").alias("rmsea")), _STATS)
@@ -124,7 +133,24 @@ def _upserted(s, d):
 
 
 R.add("a16_stage_upsert", _upserted, OBS + "SELECT CASE WHEN bad = 3 THEN 'first' ELSE 'second' END AS subname, bad, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE bad IN (2, 3) GROUP BY ALL")
-R.add("a18_foreign_params", lambda s, d: score.mixture_scores(oriented(s, d).where("slice % 2 = 0"), score.conservative(ingest.orient(ingest.count_table(observed(s, d).where("orderkey % 2 = 1"))))).groupBy("bad", "allele").agg(F.count("*").alias("n")), OBS + ", par AS (SELECT DISTINCT bad, 'ref' AS allele, alt_count AS slice FROM obs WHERE orderkey % 2 = 1 UNION SELECT DISTINCT bad, 'alt', ref_count FROM obs WHERE orderkey % 2 = 1), o AS (SELECT bad, 'ref' AS allele, alt_count AS slice, ref_count AS x FROM counts UNION ALL SELECT bad, 'alt', ref_count, alt_count FROM counts) SELECT bad, allele, count(*) AS n FROM o JOIN par USING (bad, allele, slice) WHERE slice % 2 = 0 GROUP BY ALL")
+
+
+def _foreign(s, d):
+    """Scores by the parameters of another project, here that of odd orders and every third slice: the nearest slice's."""
+    other = score.conservative(ingest.orient(ingest.count_table(observed(s, d).where("orderkey % 2 = 1")))).where("slice % 3 = 0")
+    near = qc.nearest_params(oriented(s, d), other.withColumn("fit_order", F.col("slice")))
+    return score.mixture_scores(oriented(s, d), near).withColumns({c: F.round(F.col(c) + 3e-11, 7) for c in ("pval", "es")}).drop("w")
+
+
+R.add(
+    "a18_foreign_params",
+    _foreign,
+    _PAIRS
+    + f""", known AS (SELECT DISTINCT bad, 'ref' AS allele, alt_count AS slice FROM obs WHERE orderkey % 2 = 1 UNION SELECT DISTINCT bad, 'alt', ref_count FROM obs WHERE orderkey % 2 = 1),
+    near AS (SELECT p.bad, p.allele, p.slice, arg_min(k.slice, (abs(k.slice - p.slice), k.slice))::DOUBLE AS r FROM par p JOIN known k ON p.bad = k.bad AND p.allele = k.allele WHERE k.slice % 3 = 0 GROUP BY ALL),
+    par2 AS (SELECT * FROM near), s1 AS {_pmf_table(P1).replace('FROM par, xs', 'FROM par2, xs')}
+    SELECT DISTINCT bad, allele, slice, x, round(sf + 3e-11, 7) + 0 AS pval, round(log2(x) - log2(mean) + 3e-11, 7) + 0 AS es FROM pairs JOIN s1 USING (bad, allele, slice, x)""",
+)
 R.add("d23_qc_outliers", lambda s, d: qc.outliers(qc.scorefile_qc(observed(s, d)), 1.0).withColumn("bias", F.round(F.col("bias") + 3e-11, 7)), OBS + ", q AS (SELECT scorefile, avg((ref_count > alt_count)::INT) AS bias FROM obs GROUP BY scorefile) SELECT scorefile, round(bias + 3e-11, 7) AS bias FROM q WHERE abs(bias - (SELECT avg(bias) FROM q)) > (SELECT stddev_pop(bias) FROM q)")
 R.add("d21_heat_map", lambda s, d: qc.heat_map(counted(s, d), 40).withColumn("value", F.round("value", 7)), OBS + "SELECT *, round(log10(1 + n), 7) AS value FROM counts WHERE ref_count < 40 AND alt_count < 40")
 R.add("d22_slice_histogram", lambda s, d: qc.slice_histogram(oriented(s, d)).withColumn("share", F.round(F.col("share") + 3e-11, 7)), _O + "SELECT *, round(n / sum(n) OVER (PARTITION BY bad, allele, slice) + 3e-11, 7) AS share FROM o")
