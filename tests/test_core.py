@@ -2,6 +2,7 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tiltscale.functions import special
@@ -164,15 +165,33 @@ def test_headers_and_masks():
     assert combine.mask_regex("a*[!b]?.tsv") == "a.*[^b].\\.tsv"
 
 
+def cells_of(problems):
+    kind = pa.list_(pa.struct([("x", pa.int32()), ("r", pa.float64()), ("n", pa.int64())]))
+    return diff.Cells(pa.array([[{"x": x, "r": r, "n": n} for x, r, n in p] for p in problems], kind))
+
+
 def test_mle_recovers_p():
     rng = np.random.default_rng(1)
     r = rng.integers(5, 40, 4000).astype(float)
-    x = rng.negative_binomial(r, 1 - 0.6).astype(float)
-    keep = x > 4
-    p, value, var, sandwich = diff.mle(x[keep], r[keep], np.ones(keep.sum()), 4)
-    assert abs(p - 0.6) < 4 * math.sqrt(var) and abs(var / sandwich - 1) < 0.3
-    grid = np.linspace(p - 0.02, p + 0.02, 401)
-    assert value <= diff.nll(grid, x[keep], r[keep], np.ones(keep.sum()), 4).min() + 1e-6
+    x = rng.negative_binomial(r, 1 - 0.6)
+    many = [(int(a), float(b), 1) for a, b in zip(x, r, strict=True) if a > 4]
+    cells = cells_of([many, [(9, 7.0, 3)], many[:50]])
+    p, value, var, sandwich = cells.mle(4)
+    assert abs(p[0] - 0.6) < 4 * math.sqrt(var[0]) and abs(var[0] / sandwich[0] - 1) < 0.3
+    for i, one in enumerate(([*many], [(9, 7.0, 3)], many[:50])):  # each problem as if it were alone
+        alone = cells_of([one])
+        assert [a[i] for a in (p, value, var, sandwich)] == pytest.approx([float(a[0]) for a in alone.mle(4)], nan_ok=True)
+        least = min(float(alone.nll(np.array([q]), 4)[0]) for q in np.linspace(max(p[i] - 0.02, 1e-3), p[i] + 0.02, 401))
+        assert value[i] <= least + 1e-6
+
+
+def test_problems_with_fitted_r(spark):
+    obs = spark.createDataFrame([("c", 1, "A", 2.0, "g", 9, 12), ("c", 1, "A", 2.0, "h", 20, 12)], "chrom string, start int, alt string, bad double, group string, ref_count int, alt_count int")
+    params = spark.createDataFrame([(2.0, a, s, s * 0.5 + 1) for a in ("ref", "alt") for s in (9, 12, 20)], "bad double, allele string, slice int, r double")
+    got = {(r.allele, r.group): [tuple(c) for c in r.cells] for r in diff.problems(obs, [*diff.SNV, "bad"], params).collect()}
+    assert got["ref", "g"] == [(9, 7.0, 1)] and got["alt", diff.ALL] == [(12, 5.5, 1), (12, 11.0, 1)]
+    with pytest.raises(Exception, match="no parameters"):
+        diff.problems(obs, ["bad"], params.where("slice < 15")).collect()
 
 
 def test_binomial_estimate_recovers_p(spark):
@@ -185,15 +204,62 @@ def test_binomial_estimate_recovers_p(spark):
     assert fit.estimate_binomial(cells, "p", objective="kl").first().est == pytest.approx(0.62, abs=0.03)
 
 
-def test_window_fit_recovers_the_line(spark):
-    rng = np.random.default_rng(3)
-    s = rng.integers(5, 40, 20_000)
-    x = rng.negative_binomial(2.0 + 0.8 * s, 0.5)
-    rows = [(1.0, "ref", int(b), int(a), 1) for a, b in zip(x, s, strict=True) if a > 4]
-    cells = spark.createDataFrame(rows, "bad double, allele string, slice int, x int, n int").groupBy("bad", "allele", "slice", "x").agg(F.sum("n").alias("n"))
-    window = cells.groupBy("bad", "allele").agg(F.lit(0).alias("centre"), F.min("slice").alias("lo"), F.max("slice").alias("hi"))
-    got = {r.name: r for r in fit.fit_windows(cells, window).collect()}
-    assert got["b"].est == pytest.approx(0.8, abs=0.06) and got["mu"].est == pytest.approx(2.0, abs=1.2) and got["w"].est == 1.0
+def drawn(seed, n, b, mu, w, bad, k=None):
+    """Cells of a mixture of truncated distributions with r = mu + b * slice."""
+    rng = np.random.default_rng(seed)
+    s = rng.integers(5, 40, n)
+    p = np.where(rng.random(n) < w, bad / (bad + 1), 1 / (bad + 1))
+    x = np.zeros(n, np.int64)
+    while (low := x <= 4).any():  # each mode is truncated by itself
+        q = rng.beta(p[low] * k, (1 - p[low]) * k) if k else p[low]
+        x[low] = rng.negative_binomial(mu + b * s[low], 1 - q)
+    pairs, count = np.unique(np.column_stack([x, s]), axis=0, return_counts=True)
+    return fit.WindowCells(pairs[:, 0].astype(float), pairs[:, 1].astype(float), count.astype(float), 4)
+
+
+def test_fits_recover_parameters():
+    cells = drawn(3, 20_000, 0.8, 2.0, 1.0, 1.0)
+    est, std, _ = fit.fit_cells(cells, 1.0)
+    assert abs(est["b"] - 0.8) < 4 * std["b"] < 0.2 and abs(est["mu"] - 2) < 4 * std["mu"] and est["w"] == 1.0 and std["w"] == 0.0
+    assert std["mu"] > 1.5 / math.sqrt(fit._derivatives(lambda v: cells.nll(est | {"mu": float(v[0])}), np.array([est["mu"]]), np.array([1e-3]))[2][0, 0])  # the correlation counts
+    for w in (0.25, 0.7):
+        est, std, nll = fit.fit_cells(drawn(4, 30_000, 1.1, 1.0, w, 3.0), 3.0)
+        assert abs(est["w"] - w) < 4 * std["w"] < 0.1 and abs(est["b"] - 1.1) < 4 * std["b"] and abs(est["mu"] - 1) < 4 * std["mu"]
+    est, _, _ = fit.fit_cells(drawn(5, 30_000, 1.0, 0.0, 0.6, 2.0), 2.0, estimate_p=True)
+    assert est["p1"] == pytest.approx(2 / 3, abs=0.04) and est["p2"] == pytest.approx(1 / 3, abs=0.04)
+    fixed, std, _ = fit.fit_cells(drawn(5, 5000, 1.0, 0.0, 0.6, 2.0), 2.0, fixed={"b": 1.0, "mu": 0.0})
+    assert (fixed["b"], fixed["mu"], std["b"]) == (1.0, 0.0, 0.0) and fixed["w"] == pytest.approx(0.6, abs=0.05)
+
+
+def test_beta_fits_and_their_prior():
+    cells = drawn(6, 30_000, 1.0, 1.0, 1.0, 1.0, k=25.0)
+    est, _, nll = fit.fit_cells(cells, 1.0, beta=True)
+    at = lambda t: t["mu_k"] + t["b_k"] * 20
+    assert at(est) == pytest.approx(25, rel=0.25) and nll < fit.fit_cells(cells, 1.0)[2] - 50
+    for prior in ("laplace", "normal"):
+        assert at(fit.fit_cells(cells, 1.0, beta=True, alpha=1.0, prior=prior)[0]) > at(est) * 1.05  # it asks for a large k
+    mean = lambda p, r, k: r * p * k / ((1 - p) * k - 1)
+    r, k = np.array([7.0]), np.array([30.0])
+    assert mean(0.6, fit.transformed_r(r, 0.6, k, "NB"), k) == pytest.approx(7 * 1.5) and mean(0.6, fit.transformed_r(r, 0.6, k, "mean"), k) == pytest.approx(7)
+    assert fit.transformed_r(r, 0.6, None, "NB") == pytest.approx(7) and fit.transformed_r(r, 0.6, None, "mean") * 1.5 == pytest.approx(7)
+
+
+def test_windows_are_fitted_and_scored(spark):
+    rows = [(b, "ref", int(s), int(x), int(n)) for b, seed, size in ((1.0, 3, 9000), (2.0, 4, 400)) for x, s, n in zip(*(lambda c: (c.x, c.s, c.n))(drawn(seed, size, 0.8, 2.0, 0.7, b)), strict=True)]
+    cells = spark.createDataFrame(rows, "bad double, allele string, slice int, x int, n int")
+    fits = fit.fit_project(cells, fit.line_window(cells), small=1000).cache()
+    got = {(r.bad, r.name): r.est for r in fits.collect()}
+    assert (got[2.0, "b"], got[2.0, "mu"], got[2.0, "w"]) == (1.0, 0.0, 1.0)  # too small to fit
+    assert got[1.0, "b"] == pytest.approx(0.8, abs=0.1)
+    params = fit.scoring_params(fits, cells)
+    assert params.count() == cells.select("bad", "allele", "slice").distinct().count()
+    for r in params.collect():
+        assert r.r == pytest.approx(r.slice if r.bad == 2.0 else max(got[1.0, "mu"] + got[1.0, "b"] * r.slice, fit.LEAST)) and r.w == 1.0
+    assert score.mixture_scores(cells, params).where("pval BETWEEN 0 AND 1").count() == cells.select("bad", "allele", "slice", "x").distinct().count()
+    single = fit.fit_windows(cells.where("bad = 1"), fit.slice_window(cells.where("bad = 1")), fixed={"b": 1.0}).where("name = 'mu'").count()
+    assert single == cells.where("bad = 1").select("slice").distinct().count()
+    loose = fit.fit_project(cells.where("bad = 2"), fit.line_window(cells), small=1000, small_strategy="fixed_r")
+    assert 0 < {r.name: r.est for r in loose.collect()}["w"] < 1
 
 
 def test_symmetrify_is_stable(spark):
@@ -207,6 +273,11 @@ def test_slice_windows_are_clipped(spark):
     cells = spark.createDataFrame([(1.0, "ref", s, 10) for s in range(5)], "bad double, allele string, slice int, n long")
     got = {r.centre: (r.lo, r.hi, r.n) for r in qc.slice_windows(cells, 30, 1).collect()}
     assert got == {0: (0, 2, 30), 1: (0, 2, 30), 2: (1, 3, 30), 3: (2, 4, 30), 4: (2, 4, 30)}
+    right = {r.centre: (r.lo, r.hi) for r in qc.slice_windows(cells, 30, 1, right=True).collect()}
+    assert right == {0: (0, 2), 1: (1, 3), 2: (2, 4), 3: (2, 4), 4: (2, 4)}
+    thin = cells.withColumn("n", F.when(F.col("slice") == 3, 4).otherwise(F.col("n")))
+    assert sorted(r.centre for r in qc.slice_windows(thin, 30, 1, stop_slice_n=5).collect()) == [0, 1, 2]
+    assert {(r.lo, r.hi) for r in qc.slice_windows(cells, 10_000, 1).collect()} == {(0, 4)} and qc.slice_windows(cells.limit(0), 5, 1).count() == 0
 
 
 def test_registry_is_sound():

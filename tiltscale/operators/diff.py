@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,56 +53,97 @@ def group_counts(grouped: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("n")).withColumn("group", F.coalesce("group", F.lit(ALL)))
 
 
-def problems(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, allele, group and the distinct cells (x, r, n) of each problem, and of all groups together."""
-    sides = F.array(*[F.struct(F.lit(a).alias("allele"), F.col(f"{a}_count").alias("x"), F.col(f"{b}_count").alias("r")) for a, b in (("ref", "alt"), ("alt", "ref"))])
-    rows = grouped.select(*keys, "group", F.inline(sides))
+def problems(grouped: DataFrame, keys: list[str], params: DataFrame | None = None) -> DataFrame:
+    """keys, allele, group and the distinct cells (x, r, n) of each problem, and of all groups together.
+
+    r is the fixed allele's count, or that of ``params`` (bad, allele, slice, r), which must
+    have every slice; ``fit.scoring_params`` gives such a table.
+    """
+    sides = F.array(*[F.struct(F.lit(a).alias("allele"), F.col(f"{a}_count").alias("x"), F.col(f"{b}_count").alias("slice")) for a, b in (("ref", "alt"), ("alt", "ref"))])
+    rows = grouped.select(*dict.fromkeys([*keys, "bad"]), "group", F.inline(sides))
+    if params is None:
+        rows = rows.withColumn("r", F.col("slice").cast("double"))
+    else:
+        missing = F.raise_error(F.concat(F.lit("no parameters for "), F.to_json(F.struct("bad", "allele", "slice"))))
+        rows = rows.join(params.select("bad", "allele", "slice", F.col("r").alias("__r")), ["bad", "allele", "slice"], "left")
+        rows = rows.withColumn("r", F.when(F.col("__r").isNull(), missing.cast("double")).otherwise(F.col("__r")))
     both = rows.withColumn("group", F.explode(F.array("group", F.lit(ALL))))
     cells = both.groupBy(*keys, "allele", "group", "x", "r").agg(F.count("*").alias("n"))
     return cells.groupBy(*keys, "allele", "group").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("x", "r", "n"))).alias("cells"))
 
 
-def nll(p: np.ndarray, x: np.ndarray, r: np.ndarray, n: np.ndarray, left: int) -> np.ndarray:
-    """Negative log likelihood at each p of left-truncated NB cells, without terms free of p."""
-    p = np.clip(p, 1e-12, 1 - 1e-12)[:, None]
-    head = term = (1 - p) ** r
-    for i in range(left):
-        term = term * p * (r + i) / (i + 1)
-        head = head + term
-    ll = x * np.log(p) + r * np.log1p(-p) - np.log(np.maximum(1 - head, 1e-300))
-    return -(ll * n).sum(axis=1)
-
-
-def mle(x: np.ndarray, r: np.ndarray, n: np.ndarray, left: int) -> tuple[float, float, float, float]:
-    """p, its negative log likelihood, variance by Fisher information and by the sandwich."""
-    grid = np.linspace(0.01, 0.99, 10)
-    best = int(np.argmin(nll(grid, x, r, n, left)))
-    lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 9)]
-    for _ in range(12):
-        grid = np.linspace(lo, hi, 9)
-        best = int(np.argmin(nll(grid, x, r, n, left)))
-        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 8)]
-    p = (lo + hi) / 2
-    h = min(1e-4, p / 4, (1 - p) / 4)
-    around = np.array([p - h, p, p + h])
-    each = np.array([nll(around, x[i : i + 1], r[i : i + 1], np.ones(1), left) for i in range(len(x))])
-    slope, bend = (each[:, 2] - each[:, 0]) / (2 * h), (each[:, 2] - 2 * each[:, 1] + each[:, 0]) / h**2
-    info = float((n * bend).sum())
-    fisher = 1 / info if info > 0 else np.nan
-    return float(p), float(nll(np.array([p]), x, r, n, left)[0]), fisher, float((n * slope**2).sum() / info**2) if info > 0 else np.nan
+class Cells:
+    """The cells of many problems, one after the other."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        self.sizes = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        self.x, self.r, self.n = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "r", "n"))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def spread(self, p: np.ndarray) -> np.ndarray:
+        return np.repeat(p, self.sizes)
+
+    def total(self, each: np.ndarray) -> np.ndarray:
+        """Sums by problem; every problem has a cell."""
+        return np.add.reduceat(each, self.starts) if len(each) else np.zeros(len(self.sizes))
+
+    def losses(self, p: np.ndarray, left: int) -> np.ndarray:
+        """Negative log likelihood of each cell, seen once, at its problem's p, without terms free of p.
+
+        Cells are left-truncated negative binomials.
+        """
+        p = self.spread(np.clip(p, 1e-12, 1 - 1e-12))
+        head = term = (1 - p) ** self.r
+        for i in range(left):
+            term = term * p * (self.r + i) / (i + 1)
+            head = head + term
+        return np.log(np.maximum(1 - head, 1e-300)) - self.x * np.log(p) - self.r * np.log1p(-p)
+
+    def nll(self, p: np.ndarray, left: int) -> np.ndarray:
+        return self.total(self.n * self.losses(p, left))
+
+    def mle(self, left: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """p of each problem, its nll, its variance by Fisher information and by the sandwich.
+
+        All problems search at once: a grid of ten points, then ever finer grids about the
+        best. Variances are null (nan) where the information is not positive.
+        """
+        grid = np.linspace(0.01, 0.99, 10)
+        best = np.argmin([self.nll(np.full(len(self.sizes), g), left) for g in grid], axis=0)
+        lo, hi = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, 9)]
+        for _ in range(rounds):
+            points = lo + (hi - lo) * np.linspace(0, 1, 9)[:, None]
+            best = np.argmin([self.nll(q, left) for q in points], axis=0)
+            at = np.arange(len(lo))
+            lo, hi = points[np.maximum(best - 1, 0), at], points[np.minimum(best + 1, 8), at]
+        p = (lo + hi) / 2
+        h = np.minimum(1e-4, np.minimum(p / 4, (1 - p) / 4))
+        low, mid, high = (self.losses(q, left) for q in (p - h, p, p + h))
+        wide = self.spread(h)
+        slope, bend = (high - low) / (2 * wide), (high - 2 * mid + low) / wide**2
+        info = self.total(self.n * bend)
+        sound = info > 0
+        info = np.where(sound, info, 1)
+        return p, self.total(self.n * mid), np.where(sound, 1 / info, np.nan), np.where(sound, self.total(self.n * slope**2) / info**2, np.nan)
+
+
+def _with_columns(batch: pa.RecordBatch, drop: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """``batch`` without one column and with new ones; nan is null."""
+    kept = [c for c in batch.schema.names if c != drop]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(v, from_pandas=True) for v in columns.values()]], [*kept, *columns])
 
 
 def fit_p(table: DataFrame, left: int = 4) -> DataFrame:
     """``problems`` with p, nll, var and var_sandwich instead of the cells."""
-    keys = [c for c in table.columns if c != "cells"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != "cells") + ", p double, nll double, var double, var_sandwich double"
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [mle(*np.array([[c["x"], c["r"], c["n"]] for c in cells], float).T, left) for cells in pdf["cells"]]
-            yield pdf[keys].assign(**dict(zip(("p", "nll", "var", "var_sandwich"), map(list, zip(*found, strict=True)), strict=True))) if found else pdf[keys].assign(p=[], nll=[], var=[], var_sandwich=[])
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Cells(batch.column("cells")).mle(left)
+            yield _with_columns(batch, "cells", dict(zip(("p", "nll", "var", "var_sandwich"), found, strict=True)))
 
-    return table.mapInPandas(solve, schema)
+    return table.mapInArrow(solve, schema)
 
 
 def lrt(fits: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,13 +160,15 @@ def pairwise(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4)
     """Each group's own p against the p of all groups, on the group's cells; an undefined test gives 1."""
     pooled = fits.where(F.col("group") == ALL).select(*keys, "allele", F.col("p").alias("p_all"))
     rows = cells.where(F.col("group") != ALL).join(fits.select(*keys, "allele", "group", "p", F.col("nll").alias("own")), [*keys, "allele", "group"]).join(pooled, [*keys, "allele"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "cells") + ", at double"
 
-    @F.pandas_udf("double")
-    def at(c: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([float(nll(np.array([q]), *np.array([[v["x"], v["r"], v["n"]] for v in x], float).T, left)[0]) for x, q in zip(c, p, strict=True)])
+    def at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pooled = batch.column("p_all").to_numpy(zero_copy_only=False)
+            yield _with_columns(batch, "cells", {"at": Cells(batch.column("cells")).nll(pooled, left)})
 
-    stat = F.greatest(2 * (at("cells", "p_all") - F.col("own")), F.lit(0.0))
-    return rows.select(*keys, "allele", "group", "n", "p", "p_all", F.coalesce(special.chi2_sf(stat, 1), F.lit(1.0)).alias("pval"))
+    stat = F.greatest(2 * (F.col("at") - F.col("own")), F.lit(0.0))
+    return rows.mapInArrow(at, schema).select(*keys, "allele", "group", "n", "p", "p_all", F.coalesce(special.chi2_sf(stat, 1), F.lit(1.0)).alias("pval"))
 
 
 def logit_delta(p: Column, var: Column) -> tuple[Column, Column]:

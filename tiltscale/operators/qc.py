@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,22 +35,45 @@ def slice_histogram(oriented: DataFrame) -> DataFrame:
     return oriented.withColumn("share", F.col("n") / F.sum("n").over(w))
 
 
-def slice_windows(oriented: DataFrame, window_size: int, min_slices: int) -> DataFrame:
-    """bad, allele, centre, lo, hi, n: each slice's smallest symmetric window of enough observations and slices.
+def slice_windows(oriented: DataFrame, window_size: int, min_slices: int, stop_slice_n: int = 0, right: bool = False) -> DataFrame:
+    """bad, allele, centre, lo, hi, n: each slice's smallest window of enough observations and slices.
 
-    Windows count slices present, are clipped at both ends, and end at the full range. The
-    windows here run over distinct slices, a few hundred rows at most.
+    Windows count slices present. They grow both ways, clipped at both ends, or with
+    ``right`` to the right, and to the left only where the right end is too early; the full
+    range always does. Centres start at the lowest slice and stop before the first with
+    fewer than ``stop_slice_n`` observations. The smallest radius is found by bisection on
+    running sums, held as one array per (BAD, allele): a few hundred slices.
     """
     per = oriented.groupBy(*ALLELE, "slice").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*ALLELE).orderBy("slice")
-    ranked = per.withColumn("i", F.row_number().over(w)).withColumn("cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("m", F.count("*").over(Window.partitionBy(*ALLELE)))
-    tries = ranked.withColumn("radius", F.explode(F.sequence(F.lit(0), F.col("m")))).withColumn("a", F.greatest(F.col("i") - F.col("radius"), F.lit(1))).withColumn("b", F.least(F.col("i") + F.col("radius"), F.col("m")))
-    low = ranked.select(*ALLELE, F.col("i").alias("a"), F.col("slice").alias("lo"), (F.col("cum") - F.col("n")).alias("before"))
-    high = ranked.select(*ALLELE, F.col("i").alias("b"), F.col("slice").alias("hi"), F.col("cum").alias("upto"))
-    sized = tries.drop("n", "cum").join(low, [*ALLELE, "a"]).join(high, [*ALLELE, "b"]).withColumn("n", F.col("upto") - F.col("before"))
-    enough = ((F.col("n") >= window_size) & (F.col("b") - F.col("a") + 1 >= min_slices)) | (F.col("radius") == F.col("m"))
-    best = sized.where(enough).groupBy(*ALLELE, "slice").agg(F.min_by(F.struct("lo", "hi", "n"), "radius").alias("w"))
-    return best.select(*ALLELE, F.col("slice").alias("centre"), "w.lo", "w.hi", "w.n")
+    one = per.groupBy(*ALLELE).agg(F.sort_array(F.collect_list(F.struct("slice", "n"))).alias("s"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                slices, n = (np.array([c[f] for c in row["s"]], np.int64) for f in ("slice", "n"))
+                m, cum = len(n), np.concatenate([[0], np.cumsum(n)])
+                i = np.arange(m)
+
+                def ends(radius: np.ndarray, i: np.ndarray = i, m: int = m) -> tuple[np.ndarray, np.ndarray]:
+                    if right:  # what does not fit on the right goes to the left
+                        b = np.minimum(i + radius, m - 1)
+                        return np.maximum(i - (radius - (b - i)), 0), b
+                    return np.maximum(i - radius, 0), np.minimum(i + radius, m - 1)
+
+                low, high = np.zeros(m, np.int64), np.full(m, m)
+                while (low < high).any():
+                    mid = (low + high) // 2
+                    a, b = ends(mid)
+                    enough = (cum[b + 1] - cum[a] >= window_size) & (b - a + 1 >= min_slices)
+                    high, low = np.where(enough, mid, high), np.where(enough, low, np.minimum(mid + 1, high))
+                a, b = ends(high)
+                stop = int(np.argmax(n < stop_slice_n)) if (n < stop_slice_n).any() else m
+                yield pa.RecordBatch.from_pydict({
+                    "bad": pa.array([row["bad"]] * stop, pa.float64()), "allele": pa.array([row["allele"]] * stop, pa.string()), "centre": pa.array(slices[:stop], pa.int32()),
+                    "lo": pa.array(slices[a][:stop], pa.int32()), "hi": pa.array(slices[b][:stop], pa.int32()), "n": pa.array((cum[b + 1] - cum[a])[:stop], pa.int64()),
+                })
+
+    return one.mapInArrow(windows, "bad double, allele string, centre int, lo int, hi int, n long")
 
 
 def nearest_params(wanted: DataFrame, params: DataFrame) -> DataFrame:

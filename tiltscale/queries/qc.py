@@ -188,15 +188,34 @@ R.add("f10_estimate_k", lambda s, d: fit.estimate_binomial(oriented(s, d), "k"))
 R.add("f11_inverse_kl", lambda s, d: fit.estimate_binomial(oriented(s, d), "p", objective="kl"))
 
 
-def _line(s, d):
-    return oriented(s, d).groupBy("bad", "allele").agg(F.lit(0).alias("centre"), F.min("slice").alias("lo"), F.max("slice").alias("hi"))
+def _windows(s, d):
+    return qc.slice_windows(oriented(s, d), 3000, 7)
 
 
-R.add("f12_fit_windows", lambda s, d: fit.fit_windows(oriented(s, d), qc.slice_windows(oriented(s, d), 3000, 7).where("centre % 6 = 0")))
-R.add("f18_fit_line", lambda s, d: fit.fit_windows(oriented(s, d), _line(s, d)))
-R.add("f13_beta_nb_prior", lambda s, d: fit.fit_windows(oriented(s, d), _line(s, d), prior=1.0, beta=True))
-R.add("f15_symmetric_fit", lambda s, d: fit.fit_windows(ingest.orient(ingest.symmetrify(counted(s, d))).select(*KEYS, "x", "n"), _line(s, d)))
-R.add("f16_standard_errors", lambda s, d: fit.fit_windows(oriented(s, d), _line(s, d)).where("name <> 'w'").select("bad", "allele", "name", "std"))
+R.add("f12_fit_windows", lambda s, d: fit.fit_windows(oriented(s, d), _windows(s, d)))
+R.add("f18_fit_line", lambda s, d: fit.fit_windows(oriented(s, d), fit.line_window(oriented(s, d))))
+R.add("f18_fit_slices", lambda s, d: fit.fit_windows(oriented(s, d), fit.slice_window(oriented(s, d))))
+R.add("f13_beta_nb_prior", lambda s, d: fit.fit_windows(oriented(s, d), fit.line_window(oriented(s, d)), beta=True, alpha=1.0))
+
+
+def _symmetric(s, d):
+    counts = ingest.symmetrify(counted(s, d))
+    o = ingest.orient(counts).select(*KEYS, "x", "n").where("n > 0")
+    return fit.fit_windows(o, fit.line_window(o), transform="NB", beta=True)
+
+
+R.add("f15_symmetric_fit", _symmetric)
+R.add("f16_standard_errors", lambda s, d: fit.fit_windows(oriented(s, d), fit.line_window(oriented(s, d))).where("name IN ('b', 'mu', 'w')").select("bad", "allele", "name", "std"))
+R.add("f19_estimate_p", lambda s, d: fit.fit_windows(oriented(s, d), fit.line_window(oriented(s, d)), estimate_p=True))
+
+
+def _project(s, d):
+    """Fitted windows of large BADs, the strategy's of small ones, at every slice."""
+    o = oriented(s, d)
+    return fit.scoring_params(store.settle(fit.fit_project(o, _windows(s, d), small=7200), "fits"), o)
+
+
+R.add("c8_fitted_params", _project)
 
 
 def _snvs(s, d):
