@@ -1,9 +1,10 @@
 """Quality rules, with the document frequency of lines per host.
 
 One pass over the texts takes each document's measures and the hashes of its normalised
-lines. Lines that more distinct texts of a host hold than the host's limit, or than a
-small fixed one if they are long, are boilerplate: they are removed, and a document that they made up most of is rejected.
-Copies of one text count once, so a text is not boilerplate because it was copied.
+lines. Lines that more documents of a host hold than the host's limit are boilerplate, as
+are long lines above a small fixed one: they are removed, and a document that they made up
+most of is rejected. A line must also stand in several different texts, so that a text is
+not boilerplate only because it was copied: its copies are near-duplicates.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: A line is above its host's limit if more texts hold it than both of these allow.
+#: A line is above its host's limit if more than this share of the host's documents, and more texts than MIN_TEXTS, hold it.
 MIN_TEXTS, MAX_SHARE = 5, 0.05
 #: A line of so many words is seldom equal by chance: it is above if more texts of the host, however large, hold it.
 LONG_WORDS, LONG_TEXTS = 50, 5
@@ -105,14 +106,20 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def _frequent(rows: DataFrame) -> DataFrame:
-    """line: the keys above their host's limit."""
+    """line: the keys above their host's limit.
+
+    A document is a doc_id; rows that repeat one with the same text count once. Copies of
+    a text are counted before its lines are dealt out.
+    """
     host = F.coalesce("source", F.lit("")).alias("host")
-    texts = rows.groupBy(host, "text_key").agg(F.min("row").alias("row"))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(MIN_TEXTS).cast("double"), F.count("*") * MAX_SHARE).alias("limit"))
-    once = rows.join(texts.join(limits, "host").select("row", "limit"), "row")
-    held = once.select(F.explode("lines").alias("line"), "limit").groupBy("line").agg(F.count("*").alias("texts"), F.max("limit").alias("limit"))
+    unique = rows.groupBy(host, "text_key", "doc_id").agg(F.min("row").alias("row"))
+    texts = unique.groupBy("host", "text_key").agg(F.min("row").alias("row"), F.count("*").alias("documents"))
+    limits = texts.groupBy("host").agg((F.sum("documents") * MAX_SHARE).alias("limit"))
+    once = rows.join(texts.join(limits, "host").select("row", "documents", "limit"), "row")
+    held = once.select(F.explode("lines").alias("line"), "documents", "limit").groupBy("line").agg(F.count("*").alias("texts"), F.sum("documents").alias("documents"), F.max("limit").alias("limit"))
     long = once.select(F.explode("long_lines").alias("line")).groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > LONG_TEXTS)
-    return shared.materialize(held.where("texts > limit").select("line").union(long.select("line")).distinct(), "frequent-lines")
+    above = held.where((F.col("documents") > F.col("limit")) & (F.col("texts") > MIN_TEXTS))
+    return shared.materialize(above.select("line").union(long.select("line")).distinct(), "frequent-lines")
 
 
 def _judged(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -145,13 +152,15 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def _without(text: str, host: bytes, gone: set[int]) -> str:
-    return "\n".join(x for x in text.split("\n") if not x.strip() or line_key(host, x.encode()) not in gone)
+    return "\n".join(x for x in text.split("\n") if not x.encode().strip(_SPACE) or line_key(host, x.encode()) not in gone)
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents, without the lines above the limits; all columns stay.
 
-    ``n_chars``, where there is one, follows the new text.
+    ``n_chars``, where there is one, follows the new text. Null, empty and wordless texts
+    fail the rules and go; repeated rows go or stay together; texts of any length are read
+    whole; a null source is a host of its own; an empty table stays empty.
     """
     rows = _measured(docs)
     lines = _frequent(rows)
@@ -163,16 +172,18 @@ def clean(docs: DataFrame) -> DataFrame:
 
 def _clean_by_broadcast(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Each text is measured again where it is cleaned, so no text is shuffled."""
-    frequent = docs.sparkSession.sparkContext.broadcast({r.line for r in lines.collect()})  # at most BROADCAST_LINES
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(lines.toArrow().column("line").to_numpy()))  # at most BROADCAST_LINES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
         for whole in batches:
             for first in range(0, len(whole), 500):
                 batch, texts, kept = whole.slice(first, 500), [], []
                 for text, source in zip(batch.column("text"), batch.column("source"), strict=True):
                     text, host = text.as_py(), (source.as_py() or "").encode()
                     m, held, _ = measure((text or "").encode(), host)
-                    gone = held.keys() & frequent.value
+                    keys = np.fromiter(held, np.int64, len(held))
+                    gone = set(keys[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys].tolist()) if len(known) else set()
                     kept.append(_verdict(m, sum(held[k] for k in gone)))
                     texts.append(_without(text, host, gone) if gone else text)
                 at = batch.schema.get_field_index("text")

@@ -129,11 +129,13 @@ WITH d AS (
 ), repeated AS (
   SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r
 ), line AS (
-  SELECT r, host, text, array_to_string(regexp_extract_all({_LOWER.format('x')}, '[^\x20\x09-\x0D]+'), ' ') AS line FROM (SELECT r, host, text, unnest(lines) AS x FROM d)
+  SELECT r, doc_id, host, text, array_to_string(regexp_extract_all({_LOWER.format('x')}, '[^\x20\x09-\x0D]+'), ' ') AS line FROM (SELECT r, doc_id, host, text, unnest(lines) AS x FROM d)
 ), limits AS (
-  SELECT host, greatest({quality.MIN_TEXTS}, count(DISTINCT text) * {quality.MAX_SHARE}) AS lim FROM d GROUP BY host
+  SELECT host, count(DISTINCT {{'i': doc_id, 't': text}}) * {quality.MAX_SHARE} AS lim FROM d GROUP BY host
 ), frequent AS (
-  SELECT host, line FROM line JOIN limits USING (host) GROUP BY host, line HAVING count(DISTINCT text) > any_value(lim)
+  SELECT host, line FROM line JOIN limits USING (host) GROUP BY host, line
+  HAVING count(DISTINCT {{'i': doc_id, 't': text}}) > any_value(lim) AND count(DISTINCT text) > {quality.MIN_TEXTS}
+    OR len(string_split(line, ' ')) >= {quality.LONG_WORDS} AND count(DISTINCT text) > {quality.LONG_TEXTS}
 ), removed AS (
   SELECT r, sum(len(string_split(line, ' '))) AS removed_words FROM line JOIN frequent USING (host, line) GROUP BY r
 ), m AS (
