@@ -26,6 +26,8 @@ from . import shared, similar
 WORDS, RADIUS, BITS = 3, 2, 64
 #: Members of a shard tree, on average; a band value held by more is split by further bands.
 SHARD_NODES = 4096
+#: Most ids of dropped documents that are broadcast; above it they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Shingles hashed at a time, and queries searched at a time.
 CHUNK, QUERIES = 200_000, 512
 
@@ -205,12 +207,21 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, radius: int = RADIUS, shard
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component of ``similar.near_duplicates``.
 
-    Of several rows with the kept id one stays. Rows without an id cannot be told apart
-    by id and stay.
+    Of several rows with the kept id one stays, that of the smallest text hash. Rows
+    without an id cannot be told apart by id and stay; an empty table stays empty. The ids
+    that go are broadcast up to ``BROADCAST_IDS`` of them, so no text is shuffled.
     """
-    found = similar.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    joined = docs.join(kept, F.col("doc_id") == F.col("__id"))
-    once = joined.where("__n = 1").select(docs.columns)
-    again = joined.where("__n > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = shared.materialize(similar.near_duplicates(docs), "components").where(F.col("doc_id").isNotNull())
+    rows = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n"))
+    apart = shared.materialize(rows.where("n <> 1").select(F.col("doc_id").alias("__id"), "n"), "losers")
+    sizes = apart.agg(F.count("*").alias("ids"), F.count_if(F.col("n") > 1).alias("again")).first()
+
+    def ids(which: DataFrame) -> DataFrame:
+        return F.broadcast(which.select("__id")) if sizes.ids <= BROADCAST_IDS else which.select("__id")
+
+    out = docs.join(ids(apart), F.col("doc_id") == F.col("__id"), "left_anti")
+    if sizes.again:
+        several = docs.join(ids(apart.where("n > 1")), F.col("doc_id") == F.col("__id"), "left_semi")
+        one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row"))
+        out = out.unionByName(one.select("__row.*"))
+    return out
