@@ -10,6 +10,7 @@ so a repeated task replaces what an earlier attempt left.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -27,8 +28,8 @@ from . import shared
 
 #: A null document id is written as the smallest 64-bit integer, and read as null.
 NULL_KEY = -(2**63)
-#: Distinct pre-tokens that a worker remembers.
-MEMORY = 900_000
+#: Bytes that a worker spends on remembering pre-tokens, and of an entry besides its ids and letters.
+MEMORY, ENTRY = 96_000_000, 210
 
 MANIFEST = "shard int, docs long, tokens long"
 
@@ -48,7 +49,8 @@ class Encoder:
 
     Pre-tokens are independent of each other, so each distinct one is encoded by the
     library once and remembered. A text beyond Latin-1, or with a special token's string,
-    is encoded by the library whole.
+    is encoded by the library whole; so is every text if the tokenizer file names another
+    normalizer or pre-tokenizer than the plain byte-level one.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,11 +65,14 @@ class Encoder:
         for piece, i in self.tokenizer.get_vocab().items():
             self.starts[i] = piece[0] == "\u0120"
         self.known: dict[str, bytes] = {}
+        self.used, self.cuts = 0, _is_byte_level(path)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.cuts:
+            return self.library(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -80,9 +85,10 @@ class Encoder:
         except KeyError:
             pass
         new = {w for w in words if w not in known}
-        if len(known) + len(new) > MEMORY:
+        if self.used > MEMORY:
             known.clear()
-            new = set(words)
+            self.used, new = 0, set(words)
+        self.used += sum(map(len, new)) * (1 + self.dtype.itemsize) + ENTRY * len(new)
         # words with a space before them are encoded in one string: only their first pieces begin with a space
         spaced = [w for w in new if self.spaced_word(w)]
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, self.dtype)
@@ -97,6 +103,16 @@ class Encoder:
         return b"".join([known[w] for w in words])
 
 
+def _is_byte_level(path: str) -> bool:
+    """Whether the tokenizer cuts texts by the pattern of ``_word_pattern`` and changes nothing before or after."""
+    with open(path, "rb") as f:
+        found = json.load(f)
+    cut, model = found.get("pre_tokenizer") or {}, found["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+    added = all(t.get("special") and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") for t in found.get("added_tokens") or [])
+    return plain and added and not found.get("normalizer") and not found.get("truncation") and not found.get("padding") and not model.get("dropout") and not model.get("ignore_merges")
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -145,7 +161,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> Da
 
     One manifest row per partition: shard, docs, tokens, base (tokens before it). Every
     document ends with ``end_id``. A null text is empty, a null doc_id comes first; equal
-    ids are ordered by text. An empty table writes nothing. Only doc_id and text are read.
+    ids are ordered by the text's hash, then by text. Texts of any length are encoded whole,
+    repeated rows are all written. An empty table writes nothing. Only doc_id and text are read.
     """
     spark = docs.sparkSession
 
@@ -170,7 +187,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> Da
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": [len(lens)], "tokens": [sum(lens)]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange(shared.partitions(spark), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # ranges are sampled by id and hash, as whole texts are too much for the driver
+    place = [F.col("doc_id").asc_nulls_first(), "text_key"]
+    ordered = rows.withColumn("text_key", F.xxhash64("text")).repartitionByRange(shared.partitions(spark), *place).sortWithinPartitions(*place, "text").drop("text_key")
     manifest = shared.materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -192,7 +211,11 @@ def write_offsets(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def read_ids(manifest: DataFrame, path: str, tokenizer: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, read from the memory-mapped files."""
+    """doc_id, start, n_tokens and ids_crc32, read from the memory-mapped files.
+
+    One row per written document, in no order; a null doc_id reads back as null, an empty
+    text as the end id alone, and an empty index gives no rows.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, dtype = Store(path), encoder(tokenizer).dtype
