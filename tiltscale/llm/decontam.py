@@ -1,9 +1,10 @@
 """Benchmark decontamination, with DataFrame functions only.
 
-The windows of all benchmark items are hashed; the set of hashes is bounded by
-``HASH_SET`` and goes to every task with the plan. A document's windows are hashed from
-its word hashes and looked up in the set; only windows found there are built as text and
-verified by a join with the benchmark's windows. A larger benchmark is joined by a shuffle.
+The windows of all benchmark items are hashed. A document's windows are hashed from its
+word hashes and looked up in the set of these hashes; only windows found there are built
+as text and verified by a join with the benchmark's windows. Up to ``HASH_SET`` hashes go
+to every task with the plan; more are a broadcast table up to ``BROADCAST_WINDOWS``, and a
+shuffled one above. In each case only the hashes of a document's windows meet the set.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from . import shared
 WINDOW = 10
 #: Largest benchmark, in distinct windows, whose hashes go to every task.
 HASH_SET = 200_000
+#: Largest benchmark whose hashes are a broadcast table.
+BROADCAST_WINDOWS = 2_000_000
+#: Most hit words (and eight a document) that are broadcast to the documents they go from.
+BROADCAST_HITS = 10_000_000
 #: A document is dropped if more than this share of its words is hit; else the hit words go.
 MAX_SHARE = 0.5
 
@@ -41,6 +46,9 @@ def _starts(count: Column, size: Column | int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
+_SPANS = "array<struct<start:int,n:int>>"
+
+
 def _hash(words: Column) -> Column:
     return F.xxhash64(words)
 
@@ -56,8 +64,25 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
+def _looked_up(rows: DataFrame, known: DataFrame, sizes: list[int], few: bool) -> DataFrame:
+    """``rows`` with ``maybe``, the windows whose hash is among the benchmark's; only hashes are dealt out."""
+
+    def cut(n: int) -> Column:
+        return F.transform(F.array("h"), lambda h: F.transform(_starts(F.size(h), n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), _hash(F.slice(h, i + 1, n)).alias("hash"))))[0]
+
+    dealt = rows.select("doc_id", "text_key", F.inline(F.concat(*[cut(n) for n in sizes])))
+    wanted = known.select("hash", "n").distinct()
+    met = dealt.join(F.broadcast(wanted) if few else wanted, ["hash", "n"])
+    hits = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("start", "n")).alias("maybe"))
+    hits = shared.materialize(hits, "candidates")
+    if (hits.agg(F.sum(F.size("maybe") + 8)).first()[0] or 0) <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left").drop("__id", "__key")
+    return joined.withColumn("maybe", F.coalesce("maybe", F.array().cast(_SPANS)))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, hash_set: int = HASH_SET) -> DataFrame:
-    """doc_id, text_key, n_words, spans (array of start and n, in words) and items (sorted ids).
+    """doc_id, text_key, n_words, spans (array of start and n, in words) and items (sorted ids), however large the benchmark.
 
     One row per row of ``docs``. A null text has no words and no spans; an item without
     words is never found, one of fewer than ``size`` words is a single window; a null
@@ -68,23 +93,26 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, hash_set: in
     small = known.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()  # at most ``size`` rows
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _words(F.col("text")).alias("w"))
     rows = words.select("doc_id", "text_key", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    listed = sum(r.k for r in small) <= hash_set
+    listed, few = (sum(r.k for r in small) <= most for most in (hash_set, BROADCAST_WINDOWS))
     hashes = [r.hash for r in known.select("hash").distinct().collect()] if listed and small else []
 
     def found(n: int) -> Column:
         def among(h: Column) -> Column:
-            starts = _starts(F.size(h), n)
-            return F.filter(starts, lambda i: _hash(F.slice(h, i + 1, n)).isin(hashes)) if listed else starts
+            return F.filter(_starts(F.size(h), n), lambda i: _hash(F.slice(h, i + 1, n)).isin(hashes))
 
         # the array is a lambda's argument, so that it is made once and not once a window
         return F.transform(F.flatten(F.transform(F.array("h"), among)), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n")))
 
-    spans = F.concat(*[found(r.n) for r in small]) if small else F.array().cast("array<struct<start:int,n:int>>")
-    marked = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "w", spans.alias("maybe"))
+    if listed or not small:
+        spans = F.concat(*[found(r.n) for r in small]) if small else F.array().cast(_SPANS)
+        rows = rows.withColumn("maybe", spans)
+    else:
+        rows = _looked_up(rows, known, [r.n for r in small], few)
+    marked = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "w", "maybe")
     texts = F.flatten(F.transform(F.array("w"), lambda w: F.transform("maybe", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.array_join(F.slice(w, s["start"] + 1, s["n"]), " ").alias("text")))))
     candidates = marked.select("row", "doc_id", "text_key", "n_words", F.explode_outer(texts).alias("c"))
     known = known.select("window_text", "items")
-    hit = candidates.join(F.broadcast(known) if listed else known, F.col("c.text") == F.col("window_text"), "left")
+    hit = candidates.join(F.broadcast(known) if few else known, F.col("c.text") == F.col("window_text"), "left")
     span = F.when(F.col("window_text").isNotNull(), F.struct(F.col("c.start").alias("start"), F.col("c.n").alias("n")))
     return hit.groupBy("row", "doc_id", "text_key", "n_words").agg(
         F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
@@ -100,11 +128,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_share:
     """``docs`` without the hit words, and without documents that have too many of them.
 
     A hit word goes with the separators before it. ``n_chars``, where there is one,
-    follows the new text; all columns stay.
+    follows the new text; all columns stay. Null and empty texts stay as they are; rows of
+    equal id and text are treated alike; a document that nothing hits keeps its text
+    exactly; an empty table stays empty. Hits are few, and broadcast up to
+    ``BROADCAST_HITS`` hit words, so that no text is shuffled.
     """
     hits = find(docs, benchmark, size).where(F.size("spans") > 0)
     gone = hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), hit_words(F.col("spans")).alias("__gone"), "n_words").distinct()
-    gone = gone.withColumn("__drop", F.size("__gone") > max_share * F.col("n_words")).drop("n_words")
+    gone = shared.materialize(gone.withColumn("__drop", F.size("__gone") > max_share * F.col("n_words")).drop("n_words"), "hits")
+    if (gone.agg(F.sum(F.size("__gone") + 8)).first()[0] or 0) <= BROADCAST_HITS:
+        gone = F.broadcast(gone)
     joined = docs.withColumn("__text", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left")
     left = joined.where(~F.coalesce("__drop", F.lit(False)))
     pieces = F.regexp_extract_all("text", F.lit(f"{_SEPARATOR}*{_WORD}+"), F.lit(0))
