@@ -1,10 +1,12 @@
 import hashlib
 import itertools
+import json
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tiltscale.llm import chat, shards, token_files
 from tiltscale.llm.queries import op1_token_files, op8_hilbert_shards, op9_chat_format
@@ -38,6 +40,26 @@ def test_token_files_of_odd_rows(spark, odd, empty, tmp_path):
     assert token_files.read_ids(index, f"file://{tmp_path}/b", TOKENIZER).count() == 0
 
 
+def test_other_tokenizers_are_the_librarys(spark, tmp_path):
+    with open(TOKENIZER, "rb") as f:
+        plain = json.load(f)
+    assert token_files._is_byte_level(TOKENIZER)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**plain["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(plain | change))
+        enc, library = token_files.Encoder(str(path)), Tokenizer.from_file(str(path))
+        assert not enc.cuts
+        for text in ("A plain Text, it's 12 ", " x  y", ""):
+            assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    enc, room = token_files.Encoder(TOKENIZER), token_files.MEMORY
+    token_files.MEMORY = 2000  # forgets often
+    try:
+        for text in ("one two three", "four five one", "six seven eight " * 9, "one two"):
+            assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    finally:
+        token_files.MEMORY = room
+
+
 def test_hilbert_curve_is_a_walk_through_the_grid(spark):
     for dims, bits in ((2, 3), (3, 2)):
         points = spark.createDataFrame(list(itertools.product(range(1 << bits), repeat=dims)), [f"x{i}" for i in range(dims)])
@@ -65,9 +87,33 @@ def test_shards_hold_the_rows_law(spark, odd, empty):
 
 
 def test_shard_files_prune(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    shards.write_shards(docs, shards.shard_documents(docs, 8), str(tmp_path / "out"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("size", F.octet_length("text"))
+    shards.write_shards(docs, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+    docs.repartition(8).write.parquet(str(tmp_path / "plain"))
+
+    def touched(folder, column, low, high):
+        """The share of files whose statistics do not rule a range out."""
+        files = sorted((tmp_path / folder).rglob("*.parquet"))
+        met = 0
+        for f in files:
+            meta = pq.ParquetFile(f).metadata
+            at = [meta.schema.column(i).name for i in range(meta.num_columns)].index(column)
+            stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+            met += any(x.min <= high and x.max >= low for x in stats)
+        return met / len(files)
+
+    for column, low, high in (("lang", "fr", "fr"), ("source", "src3", "src3"), ("size", 0, 300)):
+        assert touched("out", column, low, high) < touched("plain", column, low, high), column
+
+
+def test_shard_files_keep_odd_rows(spark, odd, empty, tmp_path):
+    shards.write_shards(odd, str(tmp_path / "odd"))
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert Counter(map(str, back.select(odd.columns).collect())) == Counter(map(str, odd.collect()))
+    assert back.select("shard").distinct().count() == 8
+    shards.write_shards(empty, str(tmp_path / "empty"))
+    assert not list((tmp_path / "empty").rglob("*.parquet"))
 
 
 def turns_of(rows):

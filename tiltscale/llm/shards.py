@@ -67,21 +67,28 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
 
 
-def numeric_bin(value: Column, bits: int) -> Column:
-    """Logarithmic bins, eight per doubling; null and negative values go to bin 0."""
-    top = (1 << bits) - 1
-    return F.least(F.lit(top), F.floor(8 * F.log2(F.greatest(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(0.0)) + 1))).cast("int")
+def numeric_bin(df: DataFrame, value: Column, bits: int) -> Column:
+    """Logarithmic bins of equal width between the table's least and largest value; null and negative values go to bin 0.
+
+    Two numbers reach the driver.
+    """
+    top, scale = 1 << bits, F.log2(F.greatest(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(0.0)) + 1)
+    low, high = df.agg(F.min(scale), F.max(scale)).first()
+    if low is None or low == high:
+        return F.lit(0)
+    return F.least(F.lit(top - 1), F.floor((scale - low) / (high - low) * top)).cast("int")
 
 
 def category_bin(df: DataFrame, column: str, bits: int) -> Column:
-    """The value's rank if the column has fewer than 2**bits values, else a hash bin; null: bin 0.
+    """The value's rank, spread over the bins, if the column has fewer than 2**bits values, else a hash bin; null: bin 0.
 
-    At most 2**bits values reach the driver.
+    Spread ranks differ in their high bits, which part the curve first. At most 2**bits
+    values reach the driver.
     """
     room = 1 << bits
     values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(room).collect()]
     if len(values) < room:
-        ranks = {v: i + 1 for i, v in enumerate(sorted(values))}
+        ranks = {v: (i + 1) * room // (len(values) + 1) for i, v in enumerate(sorted(values))}
         if not ranks:
             return F.lit(0)
         pairs = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
@@ -118,29 +125,39 @@ def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     )
 
 
+def _on_curve(docs: DataFrame, bits: int, columns: list[str]) -> DataFrame:
+    """``columns`` with size (UTF-8 bytes plus one, a null text has none), text_crc32 and hilbert."""
+    text = shared.text_or_empty()
+    rows = docs.select(
+        *columns,
+        (F.octet_length(text) + 1).cast("long").alias("__size"),
+        F.crc32(text.cast("binary")).cast("long").alias("__crc"),
+    )
+    dims = [category_bin(docs, "source", bits), category_bin(docs, "lang", bits), numeric_bin(rows, F.col("__size"), bits)]
+    return rows.withColumn("__hilbert", hilbert_index(dims, bits))
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 8) -> DataFrame:
     """One row per document: doc_id, source, lang, size, text_crc32, hilbert, shard, slot.
 
-    Dimensions: source, lang and size (UTF-8 bytes plus one, a null text has none). Rows
-    that tie on the curve follow doc_id, then the text's checksum; null ids come first.
-    Repeated rows each get a slot. An empty table gives no rows. Other columns of ``docs``
-    are ignored.
+    Dimensions: source, lang and size. Rows that tie on the curve follow doc_id, then the
+    text's checksum; null ids come first. Repeated rows each get a slot; texts of any
+    length count by their size. An empty table gives no rows. Other columns of ``docs`` are
+    ignored.
     """
-    text = shared.text_or_empty()
-    rows = docs.select(
-        "doc_id", "source", "lang",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-    )
-    dims = [category_bin(docs, "source", bits), category_bin(docs, "lang", bits), numeric_bin(F.col("size"), bits)]
-    return cut_runs(rows.withColumn("hilbert", hilbert_index(dims, bits)), ["hilbert", "doc_id", "text_crc32"], shards)
+    rows = _on_curve(docs, bits, ["doc_id", "source", "lang"])
+    placed = cut_runs(rows, ["__hilbert", "doc_id", "__crc"], shards)
+    return placed.withColumnsRenamed({"__size": "size", "__crc": "text_crc32", "__hilbert": "hilbert"})
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write whole documents as one folder of Parquet files per shard, in slot order.
+def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = 8) -> None:
+    """Write whole documents as one folder of Parquet files per shard, in curve order.
 
-    ``key`` must be unique here; documents meet their place by a shuffle join.
+    All columns but ``shard`` are those of ``docs``; a column of that name is replaced.
+    Whole rows are sorted once and cut where they lie, so rows of null or repeated ids are
+    written as they are. An empty table writes no shard.
     """
-    joined = docs.join(placed.select(key, "shard", "slot", "hilbert"), key)
+    rows = cut_runs(_on_curve(docs, bits, [c for c in docs.columns if c not in ("shard", "slot")]), ["__hilbert", "doc_id", "__crc"], shards)
     n = shared.partitions(docs.sparkSession)
-    joined.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    ordered = rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select(*[c for c in docs.columns if c in rows.columns and c not in ("shard", "slot")], "shard").write.partitionBy("shard").parquet(path)
