@@ -203,13 +203,15 @@ def plain_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
-def test_decontamination(spark, odd, empty):
+def test_decontamination(spark, odd, empty, monkeypatch):
     items = [(1, "with two Lines, and"), (2, None), (3, ""), (None, "ÉTÉ çà"), (12, " ".join(["word"] * 12)), (10, "a b c d e f g h i j k l"), (4, "--")]
     benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, words string")
     extra = spark.createDataFrame([(20, "z A b c-d e f g h i j k l, y", "en", "s", 1, "w", 2), (21, "a b c d e f g h i", "en", "s", 1, "w", 2)], odd.schema)
     docs = odd.union(extra)
     want = sorted((r.doc_id, *plain_hits(r.text, items)) for r in docs.where("doc_id is not null").collect())
-    for hash_set in (decontam.HASH_SET, 0):
+    for hash_set, table, hits in ((decontam.HASH_SET, 10, 10), (0, 10**6, 10**6), (0, 0, 0)):  # in the plan, broadcast, shuffled
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", table)
+        monkeypatch.setattr(decontam, "BROADCAST_HITS", hits)
         got = decontam.find(docs.where("doc_id is not null"), benchmark, hash_set=hash_set).collect()
         assert sorted((r.doc_id, r.n_words, len({k for s in r.spans for k in range(s.start, s.start + s.n)}), r["items"]) for r in got) == want
     assert decontam.find(empty, benchmark).count() == 0
