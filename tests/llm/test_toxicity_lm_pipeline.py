@@ -182,10 +182,11 @@ def test_attention_is_causal_normalised_and_learns():
     assert mean(lm_score.train(flat, joined, sizes, rate=0.3)) > mean(flat) + 2
 
 
-def test_gradient_follows_the_likelihood():
+def test_gradient_follows_the_likelihood(monkeypatch):
     rng, k = np.random.default_rng(2), lm_score.CLASSES
     lengths = np.array([40, 23])
     targets, model = rng.integers(0, 12, 63), random_model(3)
+    monkeypatch.setattr(lm_score, "TRAINED", 1)
     flat, steps = model.flat(), {}
     lm_score.train(flat, targets, lengths, rate=1.0)
     moved = lm_score.train(flat, targets, lengths, rate=1.0) - flat  # the first Adam step is the gradient's sign
@@ -251,6 +252,14 @@ def test_counts_within_classes_are_probabilities():
     assert np.allclose(sums[np.bincount(class_of, minlength=lm_score.CLASSES) > 0], 1)
 
 
+def test_words_encode_alike_alone_and_together():
+    sub = lm_score.subwords(BPE)
+    words = [w.encode() for w in ["plain", "don't", "x", "Été", "日本", "a1b2", "--", "\u00a0odd\u00a0", "ſharp", "é" * 40, "aͤb"]] + [b"\xff\xfe", b"word"]
+    ids, size = sub.ids_of(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [sub.ids(w) for w in words]
+    assert [len(x) for x in sub.ids_of([])] == [0, 0]
+
+
 def test_classes_tell_ids_by_their_surroundings():
     rng = np.random.default_rng(4)
     profiles = rng.dirichlet(np.full(2 * lm_score.BUCKETS, 0.3), 5)
