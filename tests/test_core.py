@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tiltscale.functions import special
-from tiltscale.operators import combine, diff, fit, ingest, qc, score
+from tiltscale.operators import combine, diff, export, fit, ingest, qc, score
 from tiltscale.queries import registry
 from tiltscale.sources import files
 
@@ -283,3 +283,87 @@ def test_slice_windows_are_clipped(spark):
 def test_registry_is_sound():
     r = registry()
     assert len(r.queries) > 100 and set(r.oracles) <= set(r.queries)
+
+
+def test_range_join_of_long_and_overlapping_intervals(spark):
+    snv = spark.createDataFrame([("c", p) for p in (0, 5, 99_999_999, 100_000_000, 250)], "chrom string, start long")
+    bad = spark.createDataFrame([("c", 0, 100_000_000, 2.0, 1), ("c", 250, 251, 4.0, 3), ("c", 200, 300, 3.0, 2), ("c", 7, 7, 9.0, 4)], "chrom string, start long, end long, bad double, map_order int")
+    got = {r.start: r.map_bad for r in ingest.range_join_bad(snv, bad).collect()}
+    assert got == {0: 2.0, 5: 2.0, 99_999_999: 2.0, 100_000_000: None, 250: 4.0}
+    assert {r.map_bad for r in ingest.range_join_bad(snv, bad.limit(0)).collect()} == {None}
+
+
+def test_files_of_several_headers_maps_and_inputs(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("#chrom\tpos\tref_counts\talt_counts\tref\talt\nc\t5\t7\t8\tA\tC\n")
+    (tmp_path / "b.tsv").write_text("alt\tref\tALT_count\tREF_count\tstart\tchr\tbad\nT\tG\t3\t4\t9\td\t2\n")
+    (tmp_path / "c.tsv").write_text("nothing\n1\n")
+    (tmp_path / "a.tsv.tbi").write_text("x")
+    paths = [str(tmp_path / f"{n}.tsv") for n in "abc"]
+    good, bad = files.sort_readable(spark, paths)
+    assert good == paths[:2] and [r.path for r in bad.collect()] == paths[2:]
+    rows = {r.chrom: (r.start, r.ref_count, r.alt_count, r.ref, r.alt, r.bad) for r in files.read_table(spark, good).collect()}
+    assert rows == {"c": (5, 7, 8, "A", "C", 0.0), "d": (9, 4, 3, "G", "T", 2.0)}
+    with pytest.raises(ValueError, match="mandatory"):
+        files.read_table(spark, paths)
+    (tmp_path / "map").write_text("Chrom\tSTART\tend\tBAD\nc\t0\t10\t2\nc\t4\t6\t3\n")
+    hit = ingest.range_join_bad(spark.createDataFrame([("c", 5), ("c", 7), ("c", 10)], "chrom string, start long"), files.read_bad_map(spark, str(tmp_path / "map")))
+    assert {r.start: r.map_bad for r in hit.collect()} == {5: 3.0, 7: 2.0, 10: None}
+    (tmp_path / "list.txt").write_text("b.tsv\na.tsv\n")
+    names = lambda patterns: [r.path.rpartition("/")[2] for r in files.resolve_inputs(spark, patterns).orderBy("file_id").collect()]
+    assert names([f"m:{tmp_path}/[ab].tsv"]) == ["a.tsv", "b.tsv"]
+    assert names([str(tmp_path / "list.txt")]) == ["a.tsv", "b.tsv"]
+    assert names([str(tmp_path), str(tmp_path / "a.tsv")]) == ["a.tsv", "b.tsv", "c.tsv", "list.txt", "map"]
+    with pytest.raises(FileNotFoundError):
+        names([str(tmp_path / "absent")])
+
+
+def test_short_names(spark):
+    names = ["/data/run/x/one.vcf.gz", "/data/run/y/two.tsv", "/data/run/y/three.bam.txt"]
+    got = [r.scorefile for r in export.short_names(spark.createDataFrame([(n,) for n in names], "scorefile string")).collect()]
+    assert got == ["x/one", "y/two", "y/three.bam.txt"]
+    assert [r.scorefile for r in export.short_names(spark.createDataFrame([("a.tsv",)], "scorefile string")).collect()] == ["a"]
+    assert export.short_names(spark.createDataFrame([], "scorefile string")).count() == 0
+
+
+def test_selected_snvs_that_are_missing(spark):
+    snvs = spark.createDataFrame([("rs1", "A"), ("rs2", "C")], "id string, alt string")
+    wanted = spark.createDataFrame([("rs1", "A"), ("rs9", "C")], "id string, alt string")
+    assert [r.id for r in ingest.select_snvs(snvs, wanted, ["id", "alt"]).collect()] == ["rs1"]
+    assert [r.id for r in ingest.missing_snvs(snvs, wanted, ["id", "alt"]).collect()] == ["rs9"]
+    with pytest.raises(ValueError, match="rs9"):
+        ingest.select_snvs(snvs, wanted, ["id", "alt"], strict=True)
+    with pytest.raises(ValueError, match="more than one group"):
+        diff.require_disjoint(spark.createDataFrame([("a", "f"), ("b", "f")], "group string, scorefile string"))
+
+
+def test_differential_tests_by_hand(spark):
+    """G2, G9, G11, G13 and G14 on fits whose p and likelihood are given."""
+    rows = [("k", a, g, n, p, nll, 0.01) for a in ("ref", "alt") for g, n, p, nll in (("c", 10, 0.6, 20.0), ("t", 12, 0.4, 30.0), (diff.ALL, 22, 0.5, 53.0))]
+    fits = spark.createDataFrame(rows, "k string, allele string, group string, n long, p double, nll double, var double")
+    chi = lambda x: math.erfc(math.sqrt(x / 2))  # noqa: E731 - one degree of freedom
+    both = diff.lrt(fits, ["k"]).where("allele = 'ref'").first()
+    assert (both.stat, both.groups, both.n_all, both.p_all) == (6.0, 2, 22, 0.5) and both.pval == pytest.approx(chi(6.0))
+    pair = diff.lrt_pair(fits, ["k"], "c", "t").where("allele = 'ref'").first()
+    assert (pair.n_control, pair.n_test, pair.p_control, pair.p_test) == (10, 12, 0.6, 0.4) and pair.pval == pytest.approx(chi(6.0))
+    assert diff.lrt(fits.where("group <> 't'"), ["k"]).count() == 0  # one group is no test
+    means = {r.group: r.es for r in diff.mean_effect(fits, ["k"]).where("allele = 'ref'").collect()}
+    assert means == pytest.approx({"c": math.log2(1.5), "t": math.log2(2 / 3)})
+    wide = diff.alleles_wide(diff.wald(fits, ["k"], "c", "t"), ["k"], ["p_control", "p_test", "pval"]).withColumns({"ref_fdr_pval": F.lit(0.2), "alt_fdr_pval": F.lit(0.3)})
+    r = diff.derived(wide).first()
+    assert r.ref_es_p == pytest.approx(math.log2(0.4 / 0.6)) and r.scoring_model == "alt|ref" and r.fdr_pval == 0.3 and r.pref_allele_control == "alt"
+    cells = spark.createDataFrame([("k", "ref", "c", 4, [(9, 7.0, 3), (12, 8.0, 1)])], "k string, allele string, group string, n long, cells array<struct<x int, r double, n long>>")
+    own = float(cells_of([[(9, 7.0, 3), (12, 8.0, 1)]]).nll(np.array([0.6]), 4)[0])
+    got = diff.pairwise(fits.withColumn("nll", F.lit(own)), cells, ["k"]).first()
+    pooled = float(cells_of([[(9, 7.0, 3), (12, 8.0, 1)]]).nll(np.array([0.5]), 4)[0])
+    assert got.pval == pytest.approx(chi(max(0.0, 2 * (pooled - own))))
+
+
+def test_false_discovery_rates_in_many_ranges(spark):
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.random(700) ** 4, np.full(300, 1.0), np.full(50, 1e-30), np.zeros(3)])
+    df = spark.createDataFrame([(float(v),) for v in p], "p double")
+    order = np.sort(p)
+    rank = np.searchsorted(order, order, side="right")
+    want = dict(zip(order.tolist(), np.minimum.accumulate((order * len(p) / rank)[::-1])[::-1].clip(max=1).tolist(), strict=True))
+    for parts in (1, 7, 200):
+        assert {r.p: r.q for r in combine.fdr(df, "p", "q", parts=parts).collect()} == pytest.approx(want)

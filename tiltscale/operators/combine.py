@@ -117,20 +117,22 @@ def replace_zero(df: DataFrame, columns: list[str], if_all_zero: float | None =
     return out.drop(*[f"__{c}" for c in columns])
 
 
-def fdr(df: DataFrame, column: str, out: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+def fdr(df: DataFrame, column: str, out: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values, null where p is null; ties share a value.
 
     The p-values are counted first, so the ranking runs over distinct values. These are
-    cut into ranges of p: a range's first rank is the count of the ranges below it, and
-    the least ratio of the ranges above it is carried down. Both come from one row a
-    range, so no task holds all values.
+    cut at ``parts`` quantiles: a range's first rank is the count of the ranges below it,
+    and the least ratio of the ranges above it is carried down. Both come from one row a
+    range, so no task holds all values; ``parts`` follows the shuffle partitions.
     """
     by = by or []
     df = settle(df, "fdr")  # ranks meet their rows by the p-value itself, so it must not be computed twice
     p = F.col(column)
-    distinct = df.where(p.isNotNull()).groupBy(*by, p.alias("__p")).agg(F.count("*").alias("__n"))
-    # ranges by the exponent of p, finer near one
-    distinct = distinct.withColumn("__range", F.when(F.col("__p") > 0, -F.least(F.lit(parts), F.floor(-4 * F.log2("__p")))).otherwise(-parts - 1).cast("int"))
+    distinct = settle(df.where(p.isNotNull()).groupBy(*by, p.alias("__p")).agg(F.count("*").alias("__n")), "fdr")
+    parts = parts or min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = distinct.agg(F.percentile_approx("__p", [i / parts for i in range(1, parts)] or [1.0], 10 * parts + 100)).first()[0]  # ``parts`` numbers
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]).cast("array<double>")
+    distinct = distinct.withColumn("__range", F.size(F.filter(cuts, lambda c: c < F.col("__p"))))
     ranges = distinct.groupBy(*by, "__range").agg(F.sum("__n").alias("__size"))
     inside = Window.partitionBy(*by)
     below = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,11 +169,11 @@ def significance(df: DataFrame, alpha: float = 0.05, ref: str = "ref_fdr", alt:
 
 
 def roll_up(scored: DataFrame, order: list[str]) -> DataFrame:
-    """Per SNV: mean BAD, largest coverage, replicates, and lists of the replicates' values in order."""
-    values = ["bad", "scorefile", "ref_count", "alt_count"]
+    """Per SNV: mean BAD, largest coverage, replicates, and lists of the replicates' values in order, scores included where there are any."""
+    values = ["bad", "scorefile", "ref_count", "alt_count", *[c for c in ("ref_es", "alt_es", "ref_pval", "alt_pval") if c in scored.columns]]
     listed = F.array_sort(F.collect_list(F.struct(*order, *[c for c in values if c not in order])))
     rows = scored.groupBy(*SNV).agg(F.avg("bad").alias("mean_bad"), F.max(F.col("ref_count") + F.col("alt_count")).alias("max_cover"), F.count("*").alias("n_reps"), listed.alias("l"))
-    lists = [F.concat_ws(",", F.col(f"l.{c}").cast("array<string>")).alias(f"{c}s") for c in values if c != "bad"]
+    lists = [F.concat_ws(",", F.col(f"l.{c}").cast("array<string>")).alias(f"{c}s") for c in values]
     return rows.select(*SNV, "mean_bad", "max_cover", "n_reps", *lists)
 
 

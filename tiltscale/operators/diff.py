@@ -171,6 +171,19 @@ def pairwise(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4)
     return rows.mapInArrow(at, schema).select(*keys, "allele", "group", "n", "p", "p_all", F.coalesce(special.chi2_sf(stat, 1), F.lit(1.0)).alias("pval"))
 
 
+def lrt_pair(fits: DataFrame, keys: list[str], control: str, test: str) -> DataFrame:
+    """The likelihood ratio test of two groups with both groups' p and n, in the columns of ``wald``."""
+    sides = [fits.where(F.col("group") == g).select(*keys, "allele", F.col("n").alias(f"n_{c}"), F.col("p").alias(f"p_{c}"), F.sqrt("var").alias(f"std_{c}")) for g, c in ((control, "control"), (test, "test"))]
+    return lrt(fits.where(F.col("group").isin(control, test, ALL)), keys).select(*keys, "allele", "p_all", "pval").join(sides[0], [*keys, "allele"]).join(sides[1], [*keys, "allele"])
+
+
+def require_disjoint(groups: DataFrame) -> DataFrame:
+    """``groups``, if no scorefile is in two of them; else an error."""
+    if both := disjoint(groups).limit(5).collect():
+        raise ValueError(f"scorefiles in more than one group: {[r.scorefile for r in both]}")
+    return groups
+
+
 def logit_delta(p: Column, var: Column) -> tuple[Column, Column]:
     """logit p and its variance by the delta method."""
     return F.log(p / (1 - p)), var * F.pow(1 / p + 1 / (1 - p), 2)
@@ -214,14 +227,17 @@ def derived(wide: DataFrame) -> DataFrame:
         wide = wide.withColumn(f"pref_allele_{g}", F.when(F.col(f"ref_p_{g}") > F.col(f"alt_p_{g}"), "ref").otherwise("alt"))
     ref = F.col("ref_pval") < F.col("alt_pval")
     wide = wide.withColumn("scoring_model", F.when(ref, "ref|alt").otherwise("alt|ref"))
-    return wide.withColumns({f: F.when(ref, F.col(f"ref_{f}")).otherwise(F.col(f"alt_{f}")) for f in ("es_p", "es_logit", "pval")})
+    chosen = [f for f in ("es_p", "es_logit", "pval", "fdr_pval") if f"ref_{f}" in wide.columns]
+    return wide.withColumns({f: F.when(ref, F.col(f"ref_{f}")).otherwise(F.col(f"alt_{f}")) for f in chosen})
 
 
 def anova_wide(tests: DataFrame, pairs: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
-    """One row per key: n, p and pairwise p-values by group, and the test of all groups."""
+    """One row per key: n and, by group and allele, p, pairwise p-values and what else of
+    fdr_pval, es and es_var ``pairs`` has; and the test of all groups."""
     out = alleles_wide(tests, keys, ["pval", "p_all", "n_all"])
+    fields = [f for f in ("p", "pval", "fdr_pval", "es", "es_var") if f in pairs.columns]
     cells = pairs.groupBy(*keys).pivot("group", groups)
-    per = cells.agg(*[F.max(F.when(F.col("allele") == a, F.col(f))).alias(f"{a}_{f}") for a in ("ref", "alt") for f in ("p", "pval")], F.max("n").alias("n"))
+    per = cells.agg(*[F.max(F.when(F.col("allele") == a, F.col(f))).alias(f"{a}_{f}") for a in ("ref", "alt") for f in fields], F.max("n").alias("n"))
     return out.join(per, keys)
 
 

@@ -76,19 +76,24 @@ def orient(df: DataFrame) -> DataFrame:
     return df.select("*", F.inline(sides))
 
 
-def range_join_bad(df: DataFrame, bad_map: DataFrame, bin_size: int = 64) -> DataFrame:
+def range_join_bad(df: DataFrame, bad_map: DataFrame, finest: int = 6) -> DataFrame:
     """BAD of the interval [start, end) that holds the position; the last map row wins.
 
-    Intervals are cut by fixed bins, so the join is by (chromosome, bin) and scales with
-    both sides; the result has ``map_bad``, null on a miss, one row per row of ``df``.
-    Positions are resolved once each, however many records stand there.
+    An interval goes to bins of the power of two that is as long as it or longer, so it
+    meets two bins at most, however long it is; a position looks into one bin of each
+    length that the map has, a few tens at most. The result has ``map_bad``, null on a
+    miss, one row per row of ``df``. Positions are resolved once each, however many records
+    stand there.
     """
+    sized = bad_map.where("`end` > start").withColumn("level", F.greatest(F.ceil(F.log2(F.col("end") - F.col("start"))), F.lit(finest)).cast("int"))
+    levels = sorted(r.level for r in sized.select("level").distinct().collect())  # at most 64
     places = df.select("chrom", "start").distinct()
-    binned = bad_map.where("`end` > start").select(
-        "chrom", F.col("start").alias("lo"), F.col("end").alias("hi"), F.col("bad").alias("map_bad"), "map_order",
-        F.explode(F.sequence(F.expr(f"floor(start / {bin_size})"), F.expr(f"floor((`end` - 1) / {bin_size})"))).alias("bin"),
-    )
-    met = places.withColumn("bin", F.expr(f"floor(start / {bin_size})")).join(binned, ["chrom", "bin"]).where("start >= lo and start < hi")
+    at = lambda c: F.expr(f"shiftright({c}, level)")
+    binned = sized.select(
+        "chrom", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), F.col("bad").alias("map_bad"), "map_order", "level",
+    ).withColumn("bin", F.explode(F.sequence(at("lo"), at("hi - 1"))))
+    looked = places.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("bin", at("cast(start as bigint)"))
+    met = looked.join(binned, ["chrom", "level", "bin"]).where("start >= lo and start < hi")
     found = met.groupBy("chrom", "start").agg(F.max_by("map_bad", "map_order").alias("map_bad"))
     return df.join(found, ["chrom", "start"], "left")
 
@@ -172,3 +177,15 @@ def first_metadata(obs: DataFrame, order: list[str]) -> DataFrame:
 def file_ids(obs: DataFrame) -> DataFrame:
     """Number of each scorefile in path order, from 0; the window runs over distinct files only."""
     return obs.select("scorefile").distinct().withColumn("file_id", F.row_number().over(Window.orderBy("scorefile")) - 1)
+
+
+def missing_snvs(snvs: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``wanted`` that no SNV meets."""
+    return wanted.join(snvs, on, "left_anti")
+
+
+def select_snvs(snvs: DataFrame, wanted: DataFrame, on: list[str], strict: bool = False) -> DataFrame:
+    """SNVs that ``wanted`` names by id and alt, or by place and alt; ``strict``: one that is missing is an error."""
+    if strict and (lost := missing_snvs(snvs, wanted, on).limit(5).collect()):
+        raise ValueError(f"no such SNVs: {[tuple(r) for r in lost]}")
+    return snvs.join(wanted.select(*on), on, "left_semi")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import score
+
 ALLELE = ["bad", "allele"]
 
 
@@ -124,15 +126,87 @@ def pile_up(reads: DataFrame, snvs: DataFrame, bin_size: int = 64) -> DataFrame:
     )
 
 
+#: Counts of a sample at a variant.
+COUNTS = ("n_ref", "n_alt", "n_total", "failed_mapping", "failed_genotyping", "failed_bias")
+
+
 def recode(genotypes: DataFrame, samples: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per variant and sample the counts where the genotype is heterozygous, else zeros."""
-    rows = genotypes.join(samples, "individual")
-    met = rows.join(counts, ["sample", "contig", "start"], "left")
-    het = F.col("gt") == 1
-    return met.select("contig", "start", "sample", *[F.when(het, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c) for c in ("n_ref", "n_alt")])
+    """Per variant and sample its counts where the genotype is heterozygous, else zeros.
+
+    genotypes: contig, start, ref, alt, individual, gt (1: heterozygous; null or else: not);
+    counts: sample, contig, start, ref, alt and ``COUNTS``. Counts meet the variant by place
+    and alleles, and the first of several rows is taken.
+    """
+    site = ["sample", "contig", "start", "ref", "alt"]
+    first = counts.groupBy(*site).agg(F.min(F.struct(*COUNTS)).alias("c"))
+    met = genotypes.join(samples, "individual").join(first, site, "left")
+    het = F.coalesce(F.col("gt") == 1, F.lit(False))
+    return met.select("contig", "start", "ref", "alt", "sample", *[F.when(het, F.coalesce(f"c.{c}", F.lit(0))).otherwise(0).cast("long").alias(c) for c in COUNTS])
+
+
+def mismatched(genotypes: DataFrame, samples: DataFrame, counts: DataFrame) -> DataFrame:
+    """Sites whose counts are of other alleles than the heterozygous genotype's only; a sound table gives none."""
+    site = ["sample", "contig", "start"]
+    het = genotypes.where("gt = 1").join(samples, "individual")
+    known = counts.groupBy(*site).agg(F.collect_set(F.struct("ref", "alt")).alias("alleles"))
+    return het.join(known, site).where(~F.array_contains("alleles", F.struct("ref", "alt"))).select(*site, "ref", "alt")
 
 
 def sample_arrays(recoded: DataFrame) -> DataFrame:
-    """Per variant the samples' totals in sample order, where any total is positive."""
-    listed = F.array_sort(F.collect_list(F.struct("sample", (F.col("n_ref") + F.col("n_alt")).alias("n"))))
-    return recoded.groupBy("contig", "start").agg(listed.alias("l"), F.sum(F.col("n_ref") + F.col("n_alt")).alias("total")).where("total > 0").select("contig", "start", "total", F.concat_ws(",", F.col("l.n").cast("array<string>")).alias("depths"))
+    """Per variant the samples' fields in sample order, where any allele was counted.
+
+    ad: both counts; ard: their sum; rd: all reads; fm, fg, fb: failures of mapping,
+    genotyping and bias; fmr: the share of reads that failed mapping, zero without reads.
+    """
+    both = F.col("n_ref") + F.col("n_alt")
+    share = F.when(F.col("n_total") == 0, 0.0).otherwise(F.col("failed_mapping") / F.greatest("n_total", F.lit(1)))
+    one = F.struct("sample", F.concat_ws("|", "n_ref", "n_alt").alias("ad"), both.alias("ard"), F.col("n_total").alias("rd"), F.col("failed_mapping").alias("fm"), F.col("failed_genotyping").alias("fg"), F.col("failed_bias").alias("fb"), share.alias("fmr"))
+    rows = recoded.groupBy("contig", "start", "ref", "alt").agg(F.array_sort(F.collect_list(one)).alias("l"), F.sum(both).alias("total")).where("total > 0")
+    return rows.select("contig", "start", "ref", "alt", "total", *[F.concat_ws(",", F.col(f"l.{c}").cast("array<string>")).alias(c) for c in ("ad", "ard", "rd", "fm", "fg", "fb", "fmr")])
+
+
+def effect_profile(scored: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """Per SNV, group and allele: replicates' mean and population variance of log2 of the
+    counts' ratio and of the scored effect size.
+
+    With ``tests`` (chrom, start, alt, allele, group, p, p_all, pval, fdr_pval) also log2 of
+    p against all groups' p, whether both p-values are below 0.05, and the rank by the ratio.
+    """
+    ratio = F.log2(F.col("ref_count") / F.col("alt_count"))
+    sides = F.array(*[F.struct(F.lit(a).alias("allele"), sign.alias("ratio"), F.col(f"{a}_es").alias("es")) for a, sign in (("ref", ratio), ("alt", -ratio))])
+    keys = ["chrom", "start", "alt", "group", "allele"]
+    rows = scored.select("chrom", "start", "alt", "group", F.inline(sides)).groupBy(*keys).agg(
+        F.avg("ratio").alias("mean_ratio"), F.var_pop("ratio").alias("var_ratio"), F.avg("es").alias("mean_es"), F.var_pop("es").alias("var_es")
+    )
+    if tests is None:
+        return rows
+    known = tests.select(*keys, (F.log2("p") - F.log2("p_all")).alias("log_p"), (F.col("pval") < 0.05).alias("low"), (F.col("fdr_pval") < 0.05).alias("fdr_low"))
+    place = Window.partitionBy("chrom", "start", "alt", "allele").orderBy("mean_ratio", "group")
+    return rows.join(known, keys, "left").withColumn("place", F.row_number().over(place))
+
+
+def slice_density(oriented: DataFrame, params: DataFrame, left: int = 4, by_sum: bool = False) -> DataFrame:
+    """Share of each count within its slice, or its total coverage, next to the fitted mixture's pmf there."""
+    within = F.col("slice") + F.col("x") if by_sum else F.col("slice")
+    rows = oriented.withColumn("within", within)
+    rows = rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*ALLELE, "within"))).join(params.select(*ALLELE, "slice", "r", "w", "p1", "p2"), [*ALLELE, "slice"])
+    for side in ("1", "2"):
+        rows = score.with_tails(rows, left, "nb", f"p{side}", side)
+    pmf = F.col("w") * F.exp("logpmf1") + (1 - F.col("w")) * F.exp("logpmf2")
+    return rows.select(*ALLELE, "slice", "x", "n", "share", pmf.alias("pmf"))
+
+
+def parameter_profile(params: DataFrame, top: int | None = None) -> DataFrame:
+    """Every slice from 0 to ``top`` (the largest there is), with its nearest parameters evaluated.
+
+    params: bad, allele, slice, b, mu, b_k, mu_k, p1, p2, fit_order and, if known, std_k.
+    Gives r, k, 1 / k with its error, p1 + p2, p1's share of it, and the expected
+    bad / (bad + 1) and 1 / (bad + 1).
+    """
+    ends = params.groupBy(*ALLELE).agg(F.max("slice").alias("top"))
+    grid = ends.select(*ALLELE, F.explode(F.sequence(F.lit(0), F.lit(top) if top is not None else F.col("top"))).alias("slice"))
+    at = evaluate_params(nearest_params(grid, params))
+    inverse = F.try_divide(F.lit(1.0), F.col("k"))
+    error = F.col("std_k") * inverse * inverse if "std_k" in params.columns else F.lit(None).cast("double")
+    b = F.col("bad")
+    return at.select(*ALLELE, "slice", "r", "k", inverse.alias("inv_k"), error.alias("std_inv_k"), (F.col("p1") + F.col("p2")).alias("p_sum"), (F.col("p1") / (F.col("p1") + F.col("p2"))).alias("p_share"), (b / (b + 1)).alias("expected_p1"), (1 / (b + 1)).alias("expected_p2"))

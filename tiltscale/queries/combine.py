@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import combine as op
-from ..operators import ingest
-from ..operators import score
+from ..operators import export, fit, ingest, qc, score
 from ..sources.store import settle
 from .common import OBS, Registry, counted, observed
 
@@ -163,25 +162,29 @@ R.add(
     lambda s, d: op.significance(_scored(s, d), 0.05, "ref_pval", "alt_pval"),
     SCORED + "SELECT count(*) FILTER (ref_pval < 0.05) AS ref, count(*) FILTER (alt_pval < 0.05) AS alt, count(*) FILTER (ref_pval < 0.05 AND alt_pval < 0.05) AS both, count(*) FILTER (ref_pval < 0.05 OR alt_pval < 0.05) AS either, count(*) AS tested, round(100.0::DOUBLE * count(*) FILTER (ref_pval < 0.05 OR alt_pval < 0.05) / count(*), 4) AS percent FROM scored",
 )
-_ROLL = "SELECT chrom, start, alt, round(avg(bad) + 3e-11, 6) + 0 AS mean_bad, max(ref_count + alt_count) AS max_cover, count(*) AS n_reps, string_agg(scorefile, ',' ORDER BY sample, row_order, ref_count) AS scorefiles, string_agg(ref_count, ',' ORDER BY sample, row_order, ref_count) AS ref_counts, string_agg(alt_count, ',' ORDER BY sample, row_order, ref_count) AS alt_counts FROM obs GROUP BY chrom, start, alt"
+_ROLL = "SELECT chrom, start, alt, round(avg(bad) + 3e-11, 6) + 0 AS mean_bad, max(ref_count + alt_count) AS max_cover, count(*) AS n_reps, " + ", ".join(f"string_agg({v}, ',' ORDER BY sample, row_order, ref_count) AS {v}s" for v in ("scorefile", "bad", "ref_count", "alt_count")) + " FROM obs GROUP BY chrom, start, alt"
 R.add("d13_replicate_roll_up", lambda s, d: _round(op.roll_up(observed(s, d), ["sample", "row_order", "ref_count"]), ["mean_bad"], 6), OBS + _ROLL)
+R.add(
+    "d13_score_lists",
+    lambda s, d: op.roll_up(_scored(s, d).withColumns({c: F.round(F.col(c) + 3e-11, 3).cast("decimal(9,3)") for c in _ROUND}), ["sample", "row_order"]).select(*SNV, *[f"{c}s" for c in _ROUND]),
+    SCORED + "SELECT chrom, start, alt, " + ", ".join(f"string_agg(CAST(round({c} + 3e-11, 3) AS DECIMAL(9,3)), ',' ORDER BY sample, row_order) AS {c}s" for c in _ROUND) + " FROM scored GROUP BY chrom, start, alt",
+)
 
 
 def main_pipeline(s, d):
-    """create, fit (conservative), test, combine and export: one row per tested SNV."""
+    """create, fit, test, combine and export, by defaults: one row per tested SNV, with its replicates.
+
+    BADs of fewer than 10,000 observations take the conservative strategy.
+    """
     obs = observed(s, d)
-    pairs = ingest.orient(ingest.count_table(obs)).select("bad", "allele", "slice", "x")
-    wide = settle(score.wide(score.mixture_scores(pairs, score.conservative(pairs))), "scores")
+    cells = settle(ingest.orient(ingest.count_table(obs)).select("bad", "allele", "slice", "x", "n"), "cells")
+    fits = settle(fit.fit_project(cells, qc.slice_windows(cells, 10_000, 3, stop_slice_n=10)), "fits")
+    wide = settle(score.wide(score.mixture_scores(cells, fit.scoring_params(fits, cells))), "scores")
     scored = settle(op.gate_any(op.with_scores(obs, wide), op.coverage_thresholds(wide)), "scored")
     comb = op.replace_zero(op.combine(scored), ["ref_comb_pval", "alt_comb_pval"], 1.0)
     for a in ("ref", "alt"):
         comb = op.fdr(comb, f"{a}_comb_pval", f"{a}_fdr_comb_pval")
-    comb = settle(comb, "combined")
-    reps = scored.groupBy(*SNV).agg(F.avg("bad").alias("mean_bad"), F.max(F.col("ref_count") + F.col("alt_count")).alias("max_cover"), F.count("*").alias("n_reps"), F.min_by(F.struct("id", "ref"), F.struct("sample", "row_order")).alias("m"))
-    out = op.preferred(comb.join(reps, SNV), ["comb_es", "comb_pval", "fdr_comb_pval"], "comb_pval")
-    return out.select(
-        "chrom", "start", (F.col("start") + 1).alias("end"), "mean_bad", "m.id", "max_cover", "m.ref", "alt", "n_reps", "ref_comb_es", "alt_comb_es", "ref_comb_pval", "alt_comb_pval", "ref_fdr_comb_pval", "alt_fdr_comb_pval", "pref_allele", "comb_es", "comb_pval", "fdr_comb_pval"
-    )
+    return export.combined_pvalues(settle(comb, "combined"), scored, ["sample", "row_order"], replicates=True)
 
 
 _A11 = ["mean_bad", "ref_comb_es", "alt_comb_es", "ref_comb_pval", "alt_comb_pval", "ref_fdr_comb_pval", "alt_fdr_comb_pval", "comb_es", "comb_pval", "fdr_comb_pval"]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import combine, ingest
+from ..operators import combine, fit, ingest
 from ..operators import diff as op
-from ..sources.store import settle
+from ..sources.store import new_dir, settle, write_tsv
 from .common import OBS, Registry, observed
 
 R = Registry()
@@ -21,7 +21,7 @@ def groups(s, names):
 
 
 def grouped(s, d, names=("control", "test", "third"), max_cover=None):
-    return op.with_groups(observed(s, d), groups(s, names), max_cover)
+    return op.with_groups(observed(s, d), op.require_disjoint(groups(s, names)), max_cover)
 
 
 def two(s, d):
@@ -89,20 +89,40 @@ R.add(
 )
 
 
-def difftest(s, d):
-    tests = op.alleles_wide(op.wald(_fits(s, d)[0], KEYS, "control", "test"), KEYS, ["n_control", "n_test", "p_control", "p_test", "std_control", "std_test", "pval"])
+def difftest(s, d, test=op.wald):
+    tests = op.alleles_wide(test(_fits(s, d)[0], KEYS, "control", "test"), KEYS, ["n_control", "n_test", "p_control", "p_test", "std_control", "std_test", "pval"])
     for a in ("ref", "alt"):
         tests = combine.fdr(tests, f"{a}_pval", f"{a}_fdr_pval")
     return tests
 
 
 R.add("g9_difftest", difftest)
+R.add("g9_difftest_lrt", lambda s, d: difftest(s, d, op.lrt_pair))
+
+
+def _fitted(s, d):
+    """Groups on r of the project's own fits, as the line of the nearest window gives it."""
+    cells = settle(ingest.orient(ingest.count_table(observed(s, d))).select("bad", "allele", "slice", "x", "n"), "cells")
+    params = settle(fit.scoring_params(fit.fit_project(cells, fit.line_window(cells), small=7200), cells), "params")
+    return op.wald(settle(op.fit_p(settle(op.problems(two(s, d), KEYS, params), "problems")), "fits"), KEYS, "control", "test")
+
+
+R.add("g3_wald_fitted_r", _fitted)
 R.add("g14_difftest_columns", lambda s, d: op.derived(difftest(s, d)))
-R.add("a13_export_difftest", lambda s, d: op.derived(difftest(s, d)).join(ingest.first_metadata(observed(s, d), ["sample", "row_order"]), SNV))
 
 
-def _three(s, d):
-    return solved(s, op.gate_groups(grouped(s, d), 2), KEYS)
+def _exported(s, d, tests):
+    """Tests with their SNVs' metadata, written as a table and read back."""
+    path = new_dir(s, "export")
+    write_tsv(tests.join(ingest.first_metadata(observed(s, d), ["sample", "row_order"]), SNV), path)
+    return s.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(path)
+
+
+R.add("a13_export_difftest", lambda s, d: _exported(s, d, op.derived(difftest(s, d))))
+
+
+def _three(s, d, min_samples=2):
+    return solved(s, op.gate_groups(op.gate_samples(grouped(s, d), min_samples), 2), KEYS)
 
 
 R.add("g10_anova", lambda s, d: op.lrt(_three(s, d)[0], KEYS))
@@ -120,7 +140,7 @@ R.add("g13_mean_effect", lambda s, d: op.mean_effect(_three(s, d)[0], KEYS))
 
 def anova(s, d):
     fits, cells = _three(s, d)
-    pairs = combine.fdr(op.pairwise(fits, cells, KEYS), "pval", "fdr_pval", by=["group", "allele"])
+    pairs = combine.fdr(op.pairwise(fits, cells, KEYS), "pval", "fdr_pval", by=["group", "allele"]).join(op.entropy_effect(fits, cells, KEYS), [*KEYS, "allele", "group"])
     wide = op.anova_wide(op.lrt(fits, KEYS), pairs, KEYS, list(GROUPS))
     for a in ("ref", "alt"):
         wide = combine.fdr(wide, f"{a}_pval", f"{a}_fdr_pval")
@@ -128,4 +148,4 @@ def anova(s, d):
 
 
 R.add("g15_anova_pivot", anova)
-R.add("a14_export_anova", lambda s, d: anova(s, d).join(ingest.first_metadata(observed(s, d), ["sample", "row_order"]), SNV))
+R.add("a14_export_anova", lambda s, d: _exported(s, d, anova(s, d)))

@@ -51,12 +51,6 @@ R.add(
     lambda s, d: op.range_join_bad(fx.records(s, d), fx.bad_map(s, d)).select("row_order", "map_bad"),
     REC.rstrip() + _MAPPED + "SELECT r.row_order, h.map_bad FROM records r LEFT JOIN hit h USING (chrom, start)",
 )
-R.add(
-    "a3_bad_intervals",
-    lambda s, d: fx.bad_map(s, d).groupBy("bad").agg(F.count("*").alias("intervals"), F.sum(F.col("end") - F.col("start")).cast("long").alias("covered")),
-    f'SELECT bad, count(*) AS intervals, CAST(sum("end" - start) AS BIGINT) AS covered FROM ({fx.BAD_MAP}) GROUP BY bad',
-)
-R.add("a4_bad_positions", lambda s, d: op.last_point(fx.bad_points(s, d)), f"SELECT chrom, pos, arg_max(bad, map_order) AS bad FROM ({fx.BAD_POINTS}) GROUP BY chrom, pos")
 R.add(
     "c2_bad_point_join",
     lambda s, d: op.point_join_bad(fx.records(s, d), fx.bad_points(s, d)).select("row_order", "map_bad"),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import combine, fit, ingest, qc, score
+from ..operators import combine, export, fit, ingest, qc, score
 from ..sources import files, store
-from .combine import SCORED, _scored
+from .combine import SCORED, _combined_sql, _scored
 from .combine import scores as binom_scores
 from .common import OBS, REC, Registry, counted, observed
-from .score import _PAIRS, P1, _pmf_table
+from .score import _PAIRS, P1, P2, _pmf_table
 
 R = Registry()
 KEYS = ["bad", "allele", "slice"]
@@ -24,19 +24,43 @@ _O = OBS.rstrip() + ", o AS (SELECT bad, 'ref' AS allele, alt_count AS slice, re
 
 
 def _tables(s, d):
-    """The records written as score files, one folder each."""
+    """The records written as score files, a folder each; odd samples have another header."""
     path = store.new_dir(s, "scorefiles")
-    rows = fx.records(s, d).select("scorefile", F.col("alt").alias("alt"), F.col("chrom").alias("#Chrom"), F.col("ad0").alias("Ref_Counts"), F.col("start").alias("pos"), F.col("ref").alias("REF"), F.col("ad1").alias("alt_counts"), F.col("qual").alias("QUALITY"), F.col("id").alias("name"))
-    store.write_tsv(rows, path, ["scorefile"])
-    return path
+    rows = fx.records(s, d)
+    first = [F.col("alt"), F.col("chrom").alias("#Chrom"), F.col("ad0").alias("Ref_Counts"), F.col("start").alias("pos"), F.col("ref").alias("REF"), F.col("ad1").alias("alt_counts"), F.col("qual").alias("QUALITY"), F.col("id").alias("name")]
+    second = [F.col("chrom").alias("chr"), F.col("start"), F.col("id"), F.col("qual"), F.col("ad1").alias("ALT_count"), F.col("ad0").alias("ref_count"), F.col("ref"), F.col("alt"), F.col("db"), F.col("bad").alias("BAD")]
+    for name, kept, columns in (("even", "sample % 2 = 0", first), ("odd", "sample % 2 = 1", second)):
+        store.write_tsv(rows.where(kept).select("scorefile", *columns), f"{path}/{name}", ["scorefile"])
+    return [f"{path}/even", f"{path}/odd"]
 
 
 def _read_tables(s, d):
-    out = files.read_table(s, [_tables(s, d)])
+    out = files.read_table(s, _tables(s, d))
     return out.select("chrom", "start", "ref_count", "alt_count", "ref", "alt", "qual", "id", "db", "bad", F.regexp_extract("scorefile", "scorefile=([^/]+)", 1).alias("scorefile"))
 
 
-R.add("a1_read_bedlike", _read_tables, REC + "SELECT chrom, start, ad0 AS ref_count, ad1 AS alt_count, ref, alt, qual, id, false AS db, 0.0::DOUBLE AS bad, scorefile FROM records")
+R.add(
+    "a1_read_bedlike",
+    _read_tables,
+    REC + "SELECT chrom, start, ad0 AS ref_count, ad1 AS alt_count, ref, alt, qual, id, sample % 2 = 1 AND db AS db, CASE WHEN sample % 2 = 1 THEN bad ELSE 0 END::DOUBLE AS bad, scorefile FROM records",
+)
+
+
+def _read_map(s, df):
+    """A map written in its order, and read back."""
+    path = store.new_dir(s, "bad-map")
+    names = {"chrom": "#Chr", "start": "Start_pos", "pos": "Start_pos", "end": "End", "bad": "BAD"}
+    df.orderBy("map_order").select(*[F.col(c).alias(names[c]) for c in df.columns if c != "map_order"]).write.option("sep", "\t").option("header", True).csv(path)
+    return files.read_bad_map(s, path)
+
+
+R.add(
+    "a3_bad_intervals",
+    lambda s, d: ingest.range_join_bad(fx.records(s, d), _read_map(s, fx.bad_map(s, d))).select("row_order", "map_bad"),
+    REC.rstrip() + f""", m AS ({fx.BAD_MAP}), hit AS (SELECT r.chrom, r.start, arg_max(m.bad, m.map_order) AS map_bad FROM (SELECT DISTINCT chrom, start FROM records) r JOIN m ON r.chrom = m.chrom AND r.start >= m.start AND r.start < m."end" GROUP BY ALL)
+    SELECT row_order, map_bad FROM records LEFT JOIN hit USING (chrom, start)""",
+)
+R.add("a4_bad_positions", lambda s, d: ingest.last_point(_read_map(s, fx.bad_points(s, d))), f"SELECT chrom, pos, arg_max(bad, map_order) AS bad FROM ({fx.BAD_POINTS}) GROUP BY chrom, pos")
 
 
 def _vcf(s, d):
@@ -64,7 +88,7 @@ def _rejected(s, d):
 R.add("a6_rejected_files", _rejected, "SELECT '1' AS path, 2 AS sound FROM (SELECT count(*) FROM lineitem)")
 
 
-def _written(s, df, by):
+def _written(s, df, by=()):
     path = store.new_dir(s, "export")
     store.write_tsv(df, path, by)
     return s.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(path)
@@ -104,35 +128,68 @@ _STATS = (
 )
 R.add("d24_fit_indices", _stats, _STATS)
 R.add("a9_export_fit_indices", lambda s, d: _written(s, _stats(s, d), ["bad", "allele"]).select(F.col("bad").cast("double").alias("bad"), "allele", "slice", F.col("n").cast("long").alias("n"), F.col("chi2").cast("double").alias("chi2"), F.col("rmsea").cast("double").alias("rmsea")), _STATS)
+_RAW = ("ref_es", "alt_es", "ref_pval", "alt_pval", "es", "pval")
+_BETTER = "CASE WHEN ref_pval < alt_pval THEN ref_{0} ELSE alt_{0} END"
+_RAW_SQL = ", ".join(f"round({c if '_' in c else _BETTER.format(c)} + 3e-11, 7) + 0 AS {c}" for c in _RAW)
 R.add(
     "a10_export_raw_pvalues",
-    lambda s, d: combine.preferred(_scored(s, d), ["pval", "es"]).select("scorefile", "chrom", "start", (F.col("start") + 1).alias("end"), "bad", "id", "ref", "alt", "ref_count", "alt_count", *[F.round(F.col(c) + 3e-11, 7).alias(c) for c in ("ref_pval", "alt_pval", "pval")]),
-    SCORED + 'SELECT scorefile, chrom, start, start + 1 AS "end", bad, id, ref, alt, ref_count, alt_count, round(ref_pval + 3e-11, 7) + 0 AS ref_pval, round(alt_pval + 3e-11, 7) + 0 AS alt_pval, round(CASE WHEN ref_pval < alt_pval THEN ref_pval ELSE alt_pval END + 3e-11, 7) + 0 AS pval FROM scored',
+    lambda s, d: _written(s, export.raw_pvalues(observed(s, d), binom_scores(s, d)), ["scorefile"]).select(
+        "scorefile", F.col("#chr").alias("chrom"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("bad").cast("double").alias("bad"), "id", "ref", "alt", "ref_count", "alt_count", *[F.round(F.col(c).cast("double") + 3e-11, 7).alias(c) for c in _RAW]
+    ),
+    SCORED + f"SELECT replace(scorefile, '.tsv', '') AS scorefile, chrom, start, start + 1 AS \"end\", bad, id, ref, alt, ref_count, alt_count, {_RAW_SQL} FROM scored",
 )
 
 
+#: Digits: ln(1 - p) of a p near one has few.
+_MULTI = {"mean_bad": 5, "ref_comb_pval": 4, "alt_comb_pval": 4, "ref_comb_es": 5, "alt_comb_es": 5}
+
+
 def _multi(s, d):
-    obs, scores = observed(s, d), binom_scores(s, d).where("ref_count % 10 <> 3")
+    """Two projects; scores of every tenth reference count are missing."""
+    obs = observed(s, d)
     projects = combine.union_projects([obs.where("orderkey % 2 = 1"), obs.where("orderkey % 2 = 0")])
-    scored = combine.with_scores(projects, scores, "left").where("ref_count + alt_count >= 30")
-    agg = scored.groupBy("chrom", "start", "alt").agg(F.count("*").alias("n_reps"), F.max(F.col("ref_count") + F.col("alt_count")).alias("max_cover"), F.count_distinct("project").alias("projects"), F.round(F.avg("ref_es") + 3e-11, 6).alias("ref_comb_es"), F.count_if(F.col("ref_pval") < 0.01).alias("low"))
-    return agg
+    least = s.createDataFrame([(0, 25.0), (1, 40.0)], "project int, threshold double")
+    out = export.multi_project(projects, binom_scores(s, d).where("ref_count % 10 <> 3"), least, ["project", "sample", "row_order"])
+    back = _written(s, out)
+    return back.select("chrom", F.col("start").cast("long").alias("start"), "alt", F.col("n_reps").cast("long").alias("n_reps"), "max_cover", *[F.round(F.col(c).cast("double") + 3e-8, n).alias(c) for c, n in _MULTI.items()])
 
 
-R.add("a12_export_multi_project", _multi, SCORED + ", j AS (SELECT obs.*, CASE WHEN s.bad IS NULL THEN 1 ELSE ref_pval END AS p, coalesce(ref_es, 0) AS es FROM obs LEFT JOIN (SELECT * FROM scores WHERE ref_count % 10 <> 3) s USING (bad, ref_count, alt_count) WHERE obs.ref_count + obs.alt_count >= 30) SELECT chrom, start, alt, count(*) AS n_reps, max(ref_count + alt_count) AS max_cover, count(DISTINCT orderkey % 2) AS projects, round(avg(es) + 3e-11, 6) + 0 AS ref_comb_es, count(*) FILTER (p < 0.01) AS low FROM j GROUP BY ALL")
+R.add(
+    "a12_export_multi_project",
+    _multi,
+    SCORED
+    + """, j AS (SELECT obs.*, coalesce(ref_pval, 1) AS ref_pval, coalesce(alt_pval, 1) AS alt_pval, coalesce(ref_es, 0) AS ref_es, coalesce(alt_es, 0) AS alt_es
+    FROM obs LEFT JOIN (SELECT * FROM scores WHERE ref_count % 10 <> 3) s USING (bad, ref_count, alt_count) WHERE ref_count + alt_count >= CASE WHEN orderkey % 2 = 1 THEN 25 ELSE 40 END)"""
+    + _combined_sql("j")
+    + """, reps AS (SELECT chrom, start, alt, count(*) AS n_reps, max(ref_count + alt_count) AS max_cover, avg(bad) AS mean_bad FROM j GROUP BY ALL)
+    SELECT chrom, start, alt, n_reps, max_cover, """
+    + ", ".join(f"round({c} + 3e-8, {n}) + 0 AS {c}" for c, n in _MULTI.items())
+    + " FROM comb JOIN reps USING (chrom, start, alt)",
+)
 R.add("d5_scorefile_qc", lambda s, d: qc.scorefile_qc(observed(s, d)).withColumn("bias", F.round(F.col("bias") + 3e-11, 7)), OBS + "SELECT scorefile, bad, CAST(sum(ref_count + alt_count) AS BIGINT) AS cover, round(avg((ref_count > alt_count)::INT) + 3e-11, 7) AS bias FROM obs GROUP BY GROUPING SETS ((scorefile, bad), (scorefile))")
-R.add("a15_export_scorefile_qc", lambda s, d: _written(s, qc.scorefile_qc(observed(s, d)).where("bad IS NOT NULL").withColumn("bias", F.round(F.col("bias") + 3e-11, 7)), ["bad"]).select("scorefile", F.col("bad").cast("double").alias("bad"), F.col("cover").cast("long").alias("cover"), F.col("bias").cast("double").alias("bias")), OBS + "SELECT scorefile, bad, CAST(sum(ref_count + alt_count) AS BIGINT) AS cover, round(avg((ref_count > alt_count)::INT) + 3e-11, 7) AS bias FROM obs GROUP BY scorefile, bad")
+
+
+def _qc_export(s, d):
+    rows = qc.scorefile_qc(observed(s, d)).withColumn("bias", F.round(F.col("bias") + 3e-11, 7))
+    back = _written(s, rows.withColumn("bad", F.coalesce(F.col("bad").cast("string"), F.lit("all"))), ["bad"])
+    return back.select("scorefile", "bad", F.col("cover").cast("long").alias("cover"), F.col("bias").cast("double").alias("bias"))
+
+
+R.add(
+    "a15_export_scorefile_qc",
+    _qc_export,
+    OBS + "SELECT scorefile, coalesce(bad::VARCHAR, 'all') AS bad, CAST(sum(ref_count + alt_count) AS BIGINT) AS cover, round(avg((ref_count > alt_count)::INT) + 3e-11, 7) AS bias FROM obs GROUP BY GROUPING SETS ((scorefile, bad), (scorefile))",
+)
 
 
 def _upserted(s, d):
     path, counts = store.new_dir(s, "stage"), counted(s, d)
-    store.upsert(counts.where("bad = 1"), path, "first")
-    store.upsert(counts.where("bad = 2"), path, "second")
-    store.upsert(counts.where("bad = 3"), path, "first")
+    for part, name in ((counts, "first"), (counts.where("bad >= 2"), "second"), (counts.where("bad < 2"), "first")):
+        store.upsert(part, path, name)
     return s.read.parquet(path).groupBy("subname", "bad").agg(F.sum("n").alias("n"))
 
 
-R.add("a16_stage_upsert", _upserted, OBS + "SELECT CASE WHEN bad = 3 THEN 'first' ELSE 'second' END AS subname, bad, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE bad IN (2, 3) GROUP BY ALL")
+R.add("a16_stage_upsert", _upserted, OBS + "SELECT CASE WHEN bad < 2 THEN 'first' ELSE 'second' END AS subname, bad, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL")
 
 
 def _foreign(s, d):
@@ -153,8 +210,39 @@ R.add(
 )
 R.add("d23_qc_outliers", lambda s, d: qc.outliers(qc.scorefile_qc(observed(s, d)), 1.0).withColumn("bias", F.round(F.col("bias") + 3e-11, 7)), OBS + ", q AS (SELECT scorefile, avg((ref_count > alt_count)::INT) AS bias FROM obs GROUP BY scorefile) SELECT scorefile, round(bias + 3e-11, 7) AS bias FROM q WHERE abs(bias - (SELECT avg(bias) FROM q)) > (SELECT stddev_pop(bias) FROM q)")
 R.add("d21_heat_map", lambda s, d: qc.heat_map(counted(s, d), 40).withColumn("value", F.round("value", 7)), OBS + "SELECT *, round(log10(1 + n), 7) AS value FROM counts WHERE ref_count < 40 AND alt_count < 40")
-R.add("d22_slice_histogram", lambda s, d: qc.slice_histogram(oriented(s, d)).withColumn("share", F.round(F.col("share") + 3e-11, 7)), _O + "SELECT *, round(n / sum(n) OVER (PARTITION BY bad, allele, slice) + 3e-11, 7) AS share FROM o")
-R.add("d20_effect_profile", lambda s, d: _scored(s, d).groupBy("chrom", "start", "alt", "sample").agg(F.round(F.avg(F.log2(F.col("ref_count") / F.col("alt_count"))) + 3e-11, 6).alias("mean_ratio"), F.round(F.var_pop(F.log2(F.col("ref_count") / F.col("alt_count"))) + 3e-11, 6).alias("var_ratio"), F.round(F.avg("ref_es") + 3e-11, 6).alias("mean_es"), F.max((F.col("ref_pval") < 0.05)).alias("low")), SCORED + "SELECT chrom, start, alt, sample, round(avg(log2(ref_count / alt_count)) + 3e-11, 6) + 0 AS mean_ratio, round(var_pop(log2(ref_count / alt_count)) + 3e-11, 6) + 0 AS var_ratio, round(avg(ref_es) + 3e-11, 6) + 0 AS mean_es, max(ref_pval < 0.05) AS low FROM scored GROUP BY ALL")
+
+
+def _density(s, d):
+    params = score.conservative(oriented(s, d)).withColumn("w", F.lit(0.7))
+    return qc.slice_density(oriented(s, d), params).withColumns({c: F.round(F.col(c) + 3e-11, 7) for c in ("share", "pmf")})
+
+
+R.add(
+    "d22_slice_histogram",
+    _density,
+    _PAIRS + f", s1 AS {_pmf_table(P1)}, s2 AS {_pmf_table(P2)}" + _O[len(OBS.rstrip()) :].rstrip() + """
+    SELECT bad, allele, slice, x, n, round(n / sum(n) OVER (PARTITION BY bad, allele, slice) + 3e-11, 7) AS share, round(0.7 * s1.pmf + (1 - 0.7) * s2.pmf + 3e-11, 7) + 0 AS pmf FROM o JOIN s1 USING (bad, allele, slice, x) JOIN s2 USING (bad, allele, slice, x)""",
+)
+_PROFILE_COLUMNS = ("mean_ratio", "var_ratio", "mean_es", "var_es")
+
+
+def _profile_tests(s, d):
+    """Tests in the layout of the analysis of variance: here made up of counts, so that SQL has them too."""
+    share = F.avg(F.col("ref_count") / (F.col("ref_count") + F.col("alt_count")))
+    rows = observed(s, d).groupBy("chrom", "start", "alt", F.col("sample").alias("group")).agg(share.alias("p"), F.count("*").alias("n"))
+    return rows.select("chrom", "start", "alt", "group", F.explode(F.array(F.lit("ref"), F.lit("alt"))).alias("allele"), "p", F.lit(0.5).alias("p_all"), (F.lit(0.1) / F.col("n")).alias("pval"), (F.lit(0.15) / F.col("n")).alias("fdr_pval"))
+
+
+R.add(
+    "d20_effect_profile",
+    lambda s, d: qc.effect_profile(_scored(s, d).withColumn("group", F.col("sample")), _profile_tests(s, d)).withColumns({c: F.round(F.col(c) + 3e-11, 6) for c in (*_PROFILE_COLUMNS, "log_p")}).drop("place"),
+    SCORED
+    + """, l AS (SELECT chrom, start, alt, sample AS "group", 'ref' AS allele, log2(ref_count / alt_count) AS ratio, ref_es AS es FROM scored UNION ALL SELECT chrom, start, alt, sample, 'alt', -log2(ref_count / alt_count), alt_es FROM scored),
+    tests AS (SELECT chrom, start, alt, sample AS "group", avg(ref_count / (ref_count + alt_count)) AS p, count(*) AS n FROM obs GROUP BY ALL)
+    SELECT chrom, start, alt, "group", allele, """
+    + ", ".join(f"round({f}(l.{v}) + 3e-11, 6) + 0 AS {n}" for f, v, n in (("avg", "ratio", "mean_ratio"), ("var_pop", "ratio", "var_ratio"), ("avg", "es", "mean_es"), ("var_pop", "es", "var_es")))
+    + """, round(log2(any_value(p)) + 1 + 3e-11, 6) + 0 AS log_p, 0.1::DOUBLE / any_value(n) < 0.05 AS low, 0.15::DOUBLE / any_value(n) < 0.05 AS fdr_low FROM l JOIN tests USING (chrom, start, alt, "group") GROUP BY chrom, start, alt, "group", allele""",
+)
 
 
 def _sparse(s, d):
@@ -166,7 +254,26 @@ def _sparse(s, d):
 _NEAR = _O + ", p AS (SELECT DISTINCT bad, allele, slice AS at, 1.0::DOUBLE + slice % 3 AS b, slice / 10 AS mu, 0.5::DOUBLE AS b_k, bad * 10 AS mu_k FROM o WHERE slice % 5 = 0), nr AS (SELECT o.bad, o.allele, o.slice, arg_min(p, (abs(p.at - o.slice), p.at)) AS q FROM (SELECT DISTINCT bad, allele, slice FROM o) o JOIN p ON p.bad = o.bad AND p.allele = o.allele GROUP BY ALL)\n"
 R.add("c7_nearest_slice", lambda s, d: qc.nearest_params(oriented(s, d), _sparse(s, d)).select(*KEYS, "at", "b", "mu"), _NEAR + "SELECT bad, allele, slice, q.at AS at, q.b AS b, q.mu AS mu FROM nr")
 R.add("c8_evaluate_params", lambda s, d: qc.evaluate_params(qc.nearest_params(oriented(s, d), _sparse(s, d))).select(*KEYS, F.round("r", 7).alias("r"), F.round("k", 7).alias("k")), _NEAR + "SELECT bad, allele, slice, round(q.mu + q.b * slice, 7) AS r, round(q.mu_k + q.b_k * slice, 7) AS k FROM nr")
-R.add("d25_parameter_profile", lambda s, d: qc.evaluate_params(qc.nearest_params(s.range(0, 51).select(F.explode(F.array(F.lit("ref"), F.lit("alt"))).alias("allele"), F.col("id").cast("int").alias("slice")).crossJoin(F.broadcast(counted(s, d).select("bad").distinct())), _sparse(s, d))).select(*KEYS, F.round("r", 7).alias("r"), F.round(F.col("bad") / (F.col("bad") + 1), 7).alias("expected")), _O + ", p AS (SELECT DISTINCT bad, allele, slice AS at, 1.0::DOUBLE + slice % 3 AS b, slice / 10 AS mu FROM o WHERE slice % 5 = 0), g AS (SELECT DISTINCT bad, allele, i::INT AS slice FROM o, unnest(range(0, 51)) AS t(i)), nr AS (SELECT g.bad, g.allele, g.slice, arg_min(p, (abs(p.at - g.slice), p.at)) AS q FROM g JOIN p ON p.bad = g.bad AND p.allele = g.allele GROUP BY ALL) SELECT bad, allele, slice, round(q.mu + q.b * slice, 7) AS r, round(bad / (bad + 1), 7) AS expected FROM nr")
+_PROFILED = ("r", "k", "inv_k", "std_inv_k", "p_sum", "p_share", "expected_p1", "expected_p2")
+
+
+def _parameter_profile(s, d):
+    params = _sparse(s, d).withColumns({"p1": F.lit(0.6), "p2": F.lit(0.3), "std_k": F.lit(0.5)})
+    return qc.parameter_profile(params).withColumns({c: F.round(F.col(c) + 3e-11, 7) for c in _PROFILED})
+
+
+R.add(
+    "d25_parameter_profile",
+    _parameter_profile,
+    _O
+    + """, p AS (SELECT DISTINCT bad, allele, slice AS at, 1.0::DOUBLE + slice % 3 AS b, slice / 10 AS mu, 0.5::DOUBLE AS b_k, bad * 10 AS mu_k FROM o WHERE slice % 5 = 0),
+    g AS (SELECT bad, allele, unnest(range(0, top + 1))::INT AS slice FROM (SELECT bad, allele, max(p.at) AS top FROM p GROUP BY bad, allele)),
+    nr AS (SELECT g.bad, g.allele, g.slice, arg_min(p, (abs(p.at - g.slice), p.at)) AS q FROM g JOIN p ON p.bad = g.bad AND p.allele = g.allele GROUP BY ALL),
+    v AS (SELECT bad, allele, slice, q.mu + q.b * slice AS r, q.mu_k + q.b_k * slice AS k FROM nr)
+    SELECT bad, allele, slice, """
+    + ", ".join(f"round({v} + 3e-11, 7) + 0 AS {n}" for n, v in zip(_PROFILED, ("r", "k", "1 / k", "0.5 / k / k", "0.6::DOUBLE + 0.3", "0.6::DOUBLE / (0.6::DOUBLE + 0.3)", "bad / (bad + 1)", "1 / (bad + 1)"), strict=True))
+    + " FROM v",
+)
 
 
 def _profile(s, d):
@@ -178,7 +285,7 @@ _PROFILE = f"SELECT a.bad, a.slice, a.rmsea AS ref_rmsea, b.rmsea AS alt_rmsea F
 R.add("d26_fit_profile", _profile, _PROFILE)
 R.add("s3_slice_intersection", lambda s, d: oriented(s, d).where("allele = 'ref' AND x > 30").select("bad", "slice").distinct().join(oriented(s, d).where("allele = 'alt' AND x < 9").select("bad", "slice").distinct(), ["bad", "slice"]), _O + "SELECT DISTINCT bad, slice FROM o WHERE allele = 'ref' AND x > 30 INTERSECT SELECT bad, slice FROM o WHERE allele = 'alt' AND x < 9")
 R.add("e4_slice_windows", lambda s, d: qc.slice_windows(oriented(s, d), 1500, 3), _O + ", per AS (SELECT bad, allele, slice, sum(n) AS n FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cum, count(*) OVER (PARTITION BY bad, allele) AS m FROM per WINDOW w AS (PARTITION BY bad, allele ORDER BY slice)), t AS (SELECT r.bad, r.allele, r.slice AS centre, k.radius, l.slice AS lo, h.slice AS hi, h.cum - l.cum + l.n AS n, h.i - l.i + 1 AS width, r.m FROM r, unnest(range(0, r.m + 1)) AS k(radius) JOIN r l ON l.bad = r.bad AND l.allele = r.allele AND l.i = greatest(r.i - radius, 1) JOIN r h ON h.bad = r.bad AND h.allele = r.allele AND h.i = least(r.i + radius, r.m)) SELECT bad, allele, centre, arg_min(lo, radius) AS lo, arg_min(hi, radius) AS hi, CAST(arg_min(n, radius) AS BIGINT) AS n FROM t WHERE (n >= 1500 AND width >= 3) OR radius = m GROUP BY bad, allele, centre")
-R.add("b19_snv_selection", lambda s, d: ingest.first_metadata(observed(s, d), ["sample", "row_order"]).join(fx.table(s, d, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("rs"), "p_partkey").alias("id")), "id", "left_semi"), OBS + "SELECT chrom, start, alt, arg_min(id, (sample, row_order)) AS id, arg_min(ref, (sample, row_order)) AS ref FROM obs GROUP BY chrom, start, alt HAVING arg_min(id, (sample, row_order)) IN (SELECT concat('rs', p_partkey) FROM part WHERE p_partkey % 7 = 0)")
+R.add("b19_snv_selection", lambda s, d: ingest.select_snvs(ingest.first_metadata(observed(s, d), ["sample", "row_order"]), fx.table(s, d, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("rs"), "p_partkey").alias("id")), ["id"]), OBS + "SELECT chrom, start, alt, arg_min(id, (sample, row_order)) AS id, arg_min(ref, (sample, row_order)) AS ref FROM obs GROUP BY chrom, start, alt HAVING arg_min(id, (sample, row_order)) IN (SELECT concat('rs', p_partkey) FROM part WHERE p_partkey % 7 = 0)")
 R.add("c6_snv_results_join", lambda s, d: observed(s, d).join(combine.combine(combine.in_group(_scored(s, d), ["sample_1.tsv"])), ["chrom", "start", "alt"]).select("row_order", F.round(F.col("ref_comb_es") + 3e-11, 6).alias("es")), SCORED + ", c AS (SELECT chrom, start, alt, avg(ref_es) AS es FROM scored WHERE sample = 1 GROUP BY ALL) SELECT row_order, round(es + 3e-11, 6) + 0 AS es FROM obs JOIN c USING (chrom, start, alt)")
 R.add("b17_fixed_params", lambda s, d: fit.with_fixed(_params_long(s, d), s.createDataFrame(fit.parse_fixed("w=0.9;r=3;w=0.5"), "name string, value double, priority int")), f"SELECT bad, allele, slice, name, CASE name WHEN 'w' THEN 0.5 WHEN 'r' THEN 3.0 ELSE est END::DOUBLE AS est FROM ({_PARAMS})")
 R.add("f14_small_dataset", lambda s, d: fit.strategy(counted(s, d), 7200), OBS + "SELECT bad, CAST(sum(n) AS BIGINT) AS n, CASE WHEN sum(n) < 7200 THEN 'conservative' ELSE 'fit' END AS strategy FROM counts GROUP BY bad")
@@ -225,18 +332,49 @@ def _snvs(s, d):
 _SNVS = ", snvs AS (SELECT DISTINCT chrom AS contig, start, ref, alt FROM obs)"
 _READS = f", reads AS ({fx.READS}), met AS (SELECT s.*, read_name, is_read1, remapped, substr(seq, (s.start - pos + 1)::INT, 1) AS base FROM snvs s JOIN reads r ON r.contig = s.contig AND s.start >= pos AND s.start < pos + length(seq))"
 R.add("d17_allele_pile_up", lambda s, d: qc.pile_up(fx.reads(s, d), _snvs(s, d)), OBS.rstrip() + _SNVS + _READS + ", per AS (SELECT contig, start, ref, alt, read_name, coalesce(max(base) FILTER (remapped AND is_read1), max(base) FILTER (remapped AND NOT is_read1)) AS b FROM met GROUP BY ALL) SELECT contig, start, ref, alt, count(*) FILTER (b = ref) AS n_ref, count(*) FILTER (b = alt) AS n_alt, count(*) AS n_original, count(*) FILTER (b IS NULL) AS failed_mapping, count(*) FILTER (b <> ref AND b <> alt) AS failed_genotyping FROM per GROUP BY ALL")
-R.add("c10_read_overlap", lambda s, d: qc.pile_up(fx.reads(s, d).where("is_read1"), _snvs(s, d)).select("contig", "start", "n_original"), OBS.rstrip() + _SNVS + _READS + " SELECT contig, start, count(DISTINCT read_name) AS n_original FROM met WHERE is_read1 GROUP BY contig, start, ref, alt")
+R.add("c10_read_overlap", lambda s, d: qc.pile_up(fx.reads(s, d), _snvs(s, d)).select("contig", "start", "n_original"), OBS.rstrip() + _SNVS + _READS + " SELECT contig, start, count(DISTINCT read_name) AS n_original FROM met GROUP BY contig, start, ref, alt")
+
+
+#: Individuals are the scorefiles' samples; genotypes follow from the place.
+_PEOPLE = "SELECT DISTINCT cast(s_suppkey % 12 as int) AS individual FROM supplier"
+
+
+def _genotypes(s, d):
+    people = fx.table(s, d, "supplier").select((F.col("s_suppkey") % 12).cast("int").alias("individual")).distinct()
+    key = F.col("p_partkey")
+    base = lambda letters: F.substr(F.lit(letters), (key % 4 + 1).cast("int"), F.lit(1))
+    variants = fx.table(s, d, "part").select(F.concat(F.lit("chr"), (key % 22 + 1).cast("string")).alias("contig"), key.alias("start"), base("ACGT").alias("ref"), F.when(key % 50 == 49, "TA").otherwise(base("CGTA")).alias("alt"))
+    # at most twelve individuals
+    geno = variants.crossJoin(F.broadcast(people.limit(12))).withColumn("gt", (F.col("start") % 3 - F.col("individual") % 2).cast("int"))
+    return geno, people.select("individual", F.col("individual").alias("sample"))
+
+
+def _sample_counts(s, d):
+    sums = {"n_ref": F.sum("ref_count"), "n_alt": F.sum("alt_count"), "n_total": F.sum(F.col("ref_count") + F.col("alt_count") + 2), "failed_mapping": F.sum(F.col("ref_count") % 3), "failed_genotyping": F.count("*"), "failed_bias": F.sum(F.col("alt_count") % 2)}
+    return observed(s, d).groupBy("sample", F.col("chrom").alias("contig"), "start", "ref", "alt").agg(*[v.cast("long").alias(c) for c, v in sums.items()])
 
 
 def _recoded(s, d):
-    part, supplier = fx.table(s, d, "part"), fx.table(s, d, "supplier")
-    people = supplier.select((F.col("s_suppkey") % 4).alias("individual")).distinct()
-    geno = part.select(F.concat(F.lit("chr"), (F.col("p_partkey") % 22 + 1).cast("string")).alias("contig"), F.col("p_partkey").alias("start")).crossJoin(F.broadcast(people)).withColumn("gt", F.col("start") % 3 + F.col("individual") * 0 - F.when(F.col("individual") % 2 == 0, 0).otherwise(1))
-    samples = people.select("individual", F.col("individual").cast("int").alias("sample"))
-    counts = observed(s, d).where("sample < 4").groupBy("sample", F.col("chrom").alias("contig"), "start").agg(F.sum("ref_count").alias("n_ref"), F.sum("alt_count").alias("n_alt"))
-    return qc.recode(geno, samples, counts)
+    return qc.recode(*_genotypes(s, d), _sample_counts(s, d))
 
 
-_RECODED = OBS + ", people AS (SELECT DISTINCT s_suppkey % 4 AS sample FROM supplier), geno AS (SELECT concat('chr', p_partkey % 22 + 1) AS contig, p_partkey AS start, sample, p_partkey % 3 - sample % 2 AS gt FROM part, people), c AS (SELECT sample, chrom AS contig, start, sum(ref_count) AS n_ref, sum(alt_count) AS n_alt FROM obs WHERE sample < 4 GROUP BY ALL), rec AS (SELECT contig, start, g.sample::INT AS sample, CASE WHEN gt = 1 THEN coalesce(n_ref, 0) ELSE 0 END::BIGINT AS n_ref, CASE WHEN gt = 1 THEN coalesce(n_alt, 0) ELSE 0 END::BIGINT AS n_alt FROM geno g LEFT JOIN c USING (sample, contig, start))\n"
+_COUNTED = {"n_ref": "sum(ref_count)", "n_alt": "sum(alt_count)", "n_total": "sum(ref_count + alt_count + 2)", "failed_mapping": "sum(ref_count % 3)", "failed_genotyping": "count(*)", "failed_bias": "sum(alt_count % 2)"}
+_RECODED = (
+    OBS
+    + f""", people AS ({_PEOPLE}), geno AS (SELECT concat('chr', p_partkey % 22 + 1) AS contig, p_partkey AS start, substr('ACGT', (p_partkey % 4 + 1)::INT, 1) AS ref,
+      CASE WHEN p_partkey % 50 = 49 THEN 'TA' ELSE substr('CGTA', (p_partkey % 4 + 1)::INT, 1) END AS alt, individual AS sample, p_partkey % 3 - individual % 2 AS gt FROM part, people),
+    c AS (SELECT sample, chrom AS contig, start, ref, alt, {', '.join(f'{v} AS {c}' for c, v in _COUNTED.items())} FROM obs GROUP BY ALL),
+    rec AS (SELECT contig, start, ref, alt, g.sample, {', '.join(f'CASE WHEN gt = 1 THEN coalesce({c}, 0) ELSE 0 END::BIGINT AS {c}' for c in _COUNTED)} FROM geno g LEFT JOIN c USING (sample, contig, start, ref, alt))
+"""
+)
 R.add("c9_genotype_counts", _recoded, _RECODED + "SELECT * FROM rec")
-R.add("d18_sample_arrays", lambda s, d: qc.sample_arrays(_recoded(s, d)), _RECODED + "SELECT contig, start, CAST(sum(n_ref + n_alt) AS BIGINT) AS total, string_agg(n_ref + n_alt, ',' ORDER BY sample) AS depths FROM rec GROUP BY contig, start HAVING sum(n_ref + n_alt) > 0")
+_LISTS = {"ard": "n_ref + n_alt", "rd": "n_total", "fm": "failed_mapping", "fg": "failed_genotyping", "fb": "failed_bias", "ad": "concat(n_ref, '|', n_alt)"}
+R.add(
+    "d18_sample_arrays",
+    lambda s, d: qc.sample_arrays(_recoded(s, d)).withColumn("fmr", F.round(F.aggregate(F.split("fmr", ","), F.lit(0.0), lambda a, x: a + x.cast("double")) + 3e-11, 7)),
+    _RECODED
+    + "SELECT contig, start, ref, alt, CAST(sum(n_ref + n_alt) AS BIGINT) AS total, "
+    + ", ".join(f"string_agg({v}, ',' ORDER BY sample) AS {c}" for c, v in _LISTS.items())
+    + ", round(sum(CASE WHEN n_total = 0 THEN 0 ELSE failed_mapping / n_total END) + 3e-11, 7) + 0 AS fmr FROM rec GROUP BY contig, start, ref, alt HAVING sum(n_ref + n_alt) > 0",
+)
+R.add("c9_mismatched_alleles", lambda s, d: qc.mismatched(*_genotypes(s, d), _sample_counts(s, d).withColumn("alt", F.when(F.col("start") % 13 == 0, "N").otherwise(F.col("alt")))), _RECODED + "SELECT g.sample, contig, start, g.ref, g.alt FROM geno g JOIN c USING (sample, contig, start) WHERE gt = 1 AND (g.ref <> c.ref OR g.alt <> CASE WHEN start % 13 = 0 THEN 'N' ELSE c.alt END)")

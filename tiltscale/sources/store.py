@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,6 @@ def upsert(df: DataFrame, path: str, subname: str) -> None:
     df.withColumn("subname", F.lit(subname)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subname").parquet(path)
 
 
-def write_tsv(df: DataFrame, path: str, by: list[str]) -> None:
+def write_tsv(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Tab-separated files with a header, one folder for each value of ``by``."""
     df.write.partitionBy(*by).option("sep", "\t").option("header", True).csv(path)
