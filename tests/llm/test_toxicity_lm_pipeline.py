@@ -1,15 +1,19 @@
+import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-from tiltscale.llm import lm_score, pieces, toxicity
+import sentencepiece
+from tiltscale.llm import lm_score, toxicity
 from tiltscale.llm.queries import QUERIES, op2_lm_score
 
 from .conftest import ODD, SF
+from .test_simhash_quality_decontam import WORD, lower, plain_measures, plain_similar
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -272,19 +276,73 @@ def test_classes_tell_ids_by_their_surroundings():
         assert np.bincount(kind[found[:900] == c]).max() > 0.8 * (found[:900] == c).sum()
 
 
-def test_pipeline_stages(spark):
+def plain_quality(rows):
+    """Texts by id that the rules keep, without frequent lines."""
+    blank = lambda x: not re.search(r"[^\x20\x09-\x0D]", x)
+    norm = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", lower(x)))
+    hosts, lines = {}, {}
+    for i, text, host in {(r.doc_id, r.text, r.source) for r in rows}:
+        hosts.setdefault(host, set()).add(i)
+        for x in {norm(x) for x in text.split("\n") if not blank(x)}:
+            lines.setdefault((host, x), set()).add((i, text))
+    def frequent(host, x):
+        held = lines[host, x]
+        texts = len({t for _, t in held})
+        return texts > 5 and (len(held) > 0.05 * len(hosts[host]) or len(x.split(" ")) >= 50)
+    out = {}
+    for r in rows:
+        kept = [x for x in r.text.split("\n") if blank(x) or not frequent(r.source, norm(x))]
+        n, repeated = plain_measures(r.text)[0], plain_measures(r.text)[4]
+        left = sum(plain_measures(x)[0] for x in kept)
+        if n >= 10 and 100 * repeated <= 20 * n and left >= 0.3 * n:
+            out[r.doc_id] = "\n".join(kept)
+    return out
+
+
+def plain_decontaminated(texts, items):
+    out = {}
+    for i, text in texts.items():
+        words, hit = re.findall(WORD, lower(text)), set()
+        for _, t in items:
+            w = re.findall(WORD, lower(t or ""))
+            n = min(10, len(w))
+            known = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+            hit |= {k + j for k in range(len(words) - n + 1) if n and tuple(words[k : k + n]) in known for j in range(n)}
+        if 2 * len(hit) <= len(words):
+            pieces_of = re.findall(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+            tail = re.search(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", text).group()
+            out[i] = "".join(p for k, p in enumerate(pieces_of) if k not in hit) + tail if hit else text
+    return out
+
+
+def test_pipeline_stages_match_brute_force(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, kept = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    columns, texts = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    index = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality rules":
+            want = plain_quality(docs.collect())
+        elif name == "toxicity":
+            want = {i: t for i, t in texts.items() if index.judge(t)[0] < 0.5}
+        elif name == "near-duplicates":
+            ids = sorted(texts)
+            want = {ids[k]: texts[ids[k]] for k in set(plain_similar([texts[i] for i in ids]))}
+        else:
+            want = plain_decontaminated(texts, items)
         docs = spark.createDataFrame(stage(spark, docs, SF).toPandas(), docs.schema)
-        now = [r.doc_id for r in docs.select("doc_id").collect()]
-        assert docs.columns == columns and len(set(now)) == len(now) and set(now) <= kept and len(now) > 50, name
-        kept = set(now)
+        rows = docs.collect()
+        texts = {r.doc_id: r.text for r in rows}
+        assert docs.columns == columns and len(rows) == len(texts) and texts == want and len(texts) > 50, name
+        assert all(r.n_chars == len(r.text) for r in rows)
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id: r.n_tokens for r in out.collect()} == {i: len(pieces.model(public_tokenizers.path("piece_bpe_32k.model")).encode(t or "")[0]) for i, t in texts.items()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in out.collect():
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
 def test_every_operator_is_registered():
