@@ -336,7 +336,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     lists = [[ids for ids, _ in found], [[a for a, _ in s] for _, s in found], [[b for _, b in s] for _, s in found]]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.list_(pa.int32())) for x in lists]], ["doc_id", "ids", "begins", "ends"])
 
-    return _texts(docs).mapInArrow(scan, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
+    return _texts(docs).mapInArrow(shared.tidy(scan), "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -358,4 +358,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     decoded.append(hashlib.sha256(b.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _texts(docs).mapInArrow(scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs).mapInArrow(shared.tidy(scan), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

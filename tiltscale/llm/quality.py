@@ -102,7 +102,7 @@ def _measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _row_key().alias("row_key"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return shared.materialize(rows.mapInArrow(scan, SCHEMA).withColumn("row", F.monotonically_increasing_id()), "measures")
+    return shared.materialize(rows.mapInArrow(shared.tidy(scan), SCHEMA).withColumn("row", F.monotonically_increasing_id()), "measures")
 
 
 def _frequent(rows: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _clean_by_broadcast(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 at = batch.schema.get_field_index("text")
                 yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(shared.tidy(scan), docs.schema)
 
 
 def _clean_by_join(docs: DataFrame, judged: DataFrame) -> DataFrame:

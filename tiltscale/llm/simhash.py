@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, fp long")
+    return rows.mapInArrow(shared.tidy(scan), "doc_id long, fp long")
 
 
 class BKTree:
@@ -172,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contraction: each round links every node's larger neighbours, then
     its smaller ones, to its smallest neighbour, until each component is a star. Every
-    round is written to the shared folder.
+    round is written to the shared folder, and the round before it deleted.
     """
     edges = shared.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
@@ -183,7 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(down).distinct()
-        edges = shared.materialize(small, "edges")
+        before, edges = edges, shared.materialize(small, "edges")
+        shared.discard(before)
     return edges.toDF("node", "root")
 
 

@@ -190,7 +190,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> Da
     # ranges are sampled by id and hash, as whole texts are too much for the driver
     place = [F.col("doc_id").asc_nulls_first(), "text_key"]
     ordered = rows.withColumn("text_key", F.xxhash64("text")).repartitionByRange(shared.partitions(spark), *place).sortWithinPartitions(*place, "text").drop("text_key")
-    manifest = shared.materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    manifest = shared.materialize(ordered.mapInArrow(shared.tidy(write), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -207,7 +207,7 @@ def write_offsets(manifest: DataFrame, path: str) -> DataFrame:
             yield batch
 
     spread = manifest.repartition(shared.partitions(manifest.sparkSession), "shard")
-    return shared.materialize(spread.mapInArrow(write, MANIFEST + ", base long"), "token-index")
+    return shared.materialize(spread.mapInArrow(shared.tidy(write), MANIFEST + ", base long"), "token-index")
 
 
 def read_ids(manifest: DataFrame, path: str, tokenizer: str) -> DataFrame:
@@ -235,7 +235,7 @@ def read_ids(manifest: DataFrame, path: str, tokenizer: str) -> DataFrame:
                     )
 
     spread = manifest.repartition(shared.partitions(manifest.sparkSession), "shard")
-    return spread.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(shared.tidy(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:

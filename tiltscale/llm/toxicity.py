@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES) -> Index:
             words, counts = (pa.array([list(x) for x in xs], pa.list_(kind)) for xs, kind in (((c.keys() for c in found), pa.string()), ((c.values() for c in found), pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), words, counts], ["doc_id", "toxic", "words", "counts"])
 
-    held = examples.mapInArrow(count, "doc_id long, toxic int, words array<string>, counts array<long>").toArrow()  # bounded by per_class
+    held = examples.mapInArrow(shared.tidy(count), "doc_id long, toxic int, words array<string>, counts array<long>").toArrow()  # bounded by per_class
     rows = [(r["doc_id"], r["toxic"], Counter(dict(zip(r["words"], r["counts"], strict=True)))) for r in held.to_pylist()]
     index = build(sorted(rows, key=lambda r: (r[0], r[1], sorted(r[2].items())[:1])), totals)
     if len(index.ids):
@@ -224,7 +224,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), shared.text_or_empty().alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    return rows.mapInArrow(shared.tidy(scan), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
 def drop_toxic(docs: DataFrame, index: Index) -> DataFrame:
@@ -240,5 +240,5 @@ def drop_toxic(docs: DataFrame, index: Index) -> DataFrame:
         for batch in texts:
             yield pa.array([index.judge(t.as_py() or "")[0] >= 0.5 for t in batch], pa.bool_())
 
-    toxic = F.arrow_udf(predict, "boolean", F.ArrowUDFType.SCALAR_ITER)
+    toxic = F.arrow_udf(shared.tidy(predict), "boolean", F.ArrowUDFType.SCALAR_ITER)
     return docs.where(~toxic("text"))

@@ -108,4 +108,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return rows.mapInArrow(shared.tidy(scan), "doc_id long, n_words long, n_tokens long, n_unknown long")
