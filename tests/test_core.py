@@ -256,6 +256,8 @@ def test_windows_are_fitted_and_scored(spark):
     for r in params.collect():
         assert r.r == pytest.approx(r.slice if r.bad == 2.0 else max(got[1.0, "mu"] + got[1.0, "b"] * r.slice, fit.LEAST)) and r.w == 1.0
     assert score.mixture_scores(cells, params).where("pval BETWEEN 0 AND 1").count() == cells.select("bad", "allele", "slice", "x").distinct().count()
+    bare = {r.slice: (r.r, r.w, r.p1) for r in fit.scoring_params(fits.where("bad = 1"), cells.where("bad = 2")).collect()}
+    assert len(bare) == cells.where("bad = 2").select("slice").distinct().count() and all(v == (s, 1.0, 2 / 3) for s, v in bare.items())  # no window at all
     single = fit.fit_windows(cells.where("bad = 1"), fit.slice_window(cells.where("bad = 1")), fixed={"b": 1.0}).where("name = 'mu'").count()
     assert single == cells.where("bad = 1").select("slice").distinct().count()
     loose = fit.fit_project(cells.where("bad = 2"), fit.line_window(cells), small=1000, small_strategy="fixed_r")

@@ -310,8 +310,15 @@ def wide_params(fits: DataFrame) -> DataFrame:
 
 
 def scoring_params(fits: DataFrame, wanted: DataFrame) -> DataFrame:
-    """bad, allele, slice, r, k, w, p1, p2 of every wanted slice: the nearest window's, evaluated at the slice."""
-    near = qc.nearest_params(wanted, wide_params(fits).withColumn("fit_order", F.col("slice")))
-    r = F.greatest(F.col("mu") + F.col("b") * F.col("slice"), F.lit(LEAST))
-    k = F.greatest(F.col("mu_k") + F.col("b_k") * F.col("slice"), F.lit(LEAST))
-    return near.select(*ALLELE, "slice", r.alias("r"), k.alias("k"), "w", "p1", "p2")
+    """bad, allele, slice, r, k, w, p1, p2 of every wanted slice: the nearest window's, evaluated at the slice.
+
+    A (BAD, allele) without any window, as when its lowest slice is too thin to fit, takes
+    the conservative parameters: r is the slice, w is one.
+    """
+    slices = wanted.select(*ALLELE, "slice").distinct()
+    near = slices.join(qc.nearest_params(wanted, wide_params(fits).withColumn("fit_order", F.col("slice"))), [*ALLELE, "slice"], "left")
+    none, bad = F.col("b").isNull(), F.col("bad")
+    r = F.when(none, F.col("slice").cast("double")).otherwise(F.greatest(F.col("mu") + F.col("b") * F.col("slice"), F.lit(LEAST)))
+    k = F.when(F.col("mu_k").isNotNull(), F.greatest(F.col("mu_k") + F.col("b_k") * F.col("slice"), F.lit(LEAST)))
+    either = lambda c, other: F.when(none, other).otherwise(F.col(c))
+    return near.select(*ALLELE, "slice", r.alias("r"), k.alias("k"), either("w", F.lit(1.0)).alias("w"), either("p1", bad / (bad + 1)).alias("p1"), either("p2", 1 / (bad + 1)).alias("p2"))
