@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm_score, pieces, quality, shards, simhash, token_files, toxicity, wordpiece
-from .shared import read
+from . import chat, decontam, lm_score, pieces, prefix_trie, quality, shards, simhash, token_files, toxicity, wordpiece
+from .shared import materialize, read
 
 SHARDS = 8
 
@@ -82,6 +82,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _rebuilt(paths: DataFrame) -> DataFrame:
+    """Each conversation with the first turns of that whose id is the next lower multiple of five in place of its own."""
+    first = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(9)).cast("int")
+    heads = paths.where("conv_id % 5 = 0").select(F.col("conv_id").alias("head_id"), F.slice("path", 1, 8).alias("head"))
+    both = paths.withColumn("head_id", F.expr("conv_id - conv_id % 5")).join(heads, "head_id", "left")
+    head = F.when(F.col("head").isNotNull(), F.slice("head", F.lit(1), first)).otherwise(F.slice("path", 1, 0))
+    rest = F.slice("path", first + 1, F.size("path"))
+    return both.select("conv_id", F.when(F.col("conv_id").isNull(), F.col("path")).otherwise(F.concat(head, rest)).alias("path"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = materialize(prefix_trie.paths(read(spark, sf_dir, "conversations")), "paths")
+    nodes = prefix_trie.with_digests(prefix_trie.trie(_rebuilt(paths)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_lm_score": op2_lm_score,
@@ -93,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 _OP9 = r"""
@@ -170,4 +187,35 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _OP5, "op6_decontamination": _OP6, "op9_chat_format": _OP9}
+#: Unsigned CRC-32 of a text of ASCII characters, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))))"""
+
+_OP11 = f"""
+WITH t AS (
+  SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations
+), own AS (
+  SELECT c, list(x ORDER BY i) AS own, {_CRC32.format('c::VARCHAR')} % 9 AS h FROM t GROUP BY c
+), rebuilt AS (
+  SELECT a.c, CASE WHEN a.c IS NULL THEN a.own ELSE list_concat(coalesce(b.own, [])[:a.h], a.own[a.h + 1:]) END AS path
+  FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 5
+), members AS (
+  SELECT c, path[:d] AS path, d, len(path) = d AS ends FROM rebuilt, unnest(range(len(path) + 1)) AS u(d)
+), nodes AS (
+  SELECT path, d, CASE WHEN bool_or(c IS NULL) THEN NULL ELSE min(c) END AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(coalesce(c::VARCHAR, 'null'), ',' ORDER BY c NULLS FIRST) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY path, d
+), children AS (
+  SELECT path[:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), counted AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[-1].text) END AS saved FROM nodes LEFT JOIN children USING (path)
+), subtrees AS (
+  SELECT path[:u.e] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM counted, unnest(range(d + 1)) AS u(e) GROUP BY 1
+)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, a.ends_sha256
+FROM counted a JOIN subtrees USING (path) LEFT JOIN nodes p ON a.d > 0 AND p.path = a.path[:a.d - 1]
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _OP5, "op6_decontamination": _OP6, "op9_chat_format": _OP9, "op11_prefix_trie": _OP11}
