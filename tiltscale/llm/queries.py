@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm_score, pieces, prefix_trie, quality, shards, simhash, token_files, toxicity, wordpiece
+from . import chat, decontam, lm_score, packing, pieces, prefix_trie, quality, shards, simhash, token_files, toxicity, wordpiece
 from .shared import materialize, read
 
 SHARDS = 8
@@ -98,6 +98,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_lm_score": op2_lm_score,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_packing": op12_packing,
 }
 
 _OP9 = r"""
