@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm_score, packing, pieces, prefix_trie, quality, shards, simhash, token_files, toxicity, wordpiece
+from . import align, chat, decontam, lm_score, packing, pieces, prefix_trie, quality, shards, simhash, token_files, toxicity, wordpiece
 from .shared import materialize, read
 
 SHARDS = 8
@@ -103,6 +103,13 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = align.align(read(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_lm_score": op2_lm_score,
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_packing": op12_packing,
+    "op13_alignment": op13_alignment,
 }
 
 _OP9 = r"""
