@@ -29,12 +29,17 @@ def check(pieces, length):
         assert at == length or (at < length and at.bit_count() == 1)
 
 
+def packed(docs, *options):
+    path = packing.sequence_dir(docs.sparkSession)
+    return packing.read_pieces(packing.pack(docs, path, PATH, *options), path, PATH)
+
+
 @pytest.mark.parametrize(("length", "windows"), [(1024, 64), (50, 3), (1, 1)])
 def test_pieces_hold_the_library_ids(spark, odd, length, windows):
     docs = odd if length == 1 else spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd, allowMissingColumns=True).repartition(40, "doc_id")
     docs = docs.where("length(text) < 2000") if length == 1 else docs
     library = Tokenizer.from_file(PATH)
-    rows = packing.pack(docs, PATH, 0, length, windows).collect()
+    rows = packed(docs, 0, length, windows).collect()
     check(rows, length)
     got, expected = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -60,7 +65,7 @@ def test_pieces_hold_the_library_ids(spark, odd, length, windows):
 
 
 def test_training_rows_are_padded_to_the_length_or_a_power_of_two(spark, odd):
-    pieces = packing.pack(odd, PATH, 0, 100, 4)
+    pieces = packed(odd, 0, 100, 4)
     rows = packing.sequences(pieces, 50256, 100).collect()
     assert sum(len(r.ids) for r in rows) == pieces.agg(F.sum("length")).first()[0]
     assert all(r.starts[0] == 0 and (len(r.ids) == 100 or len(r.ids).bit_count() == 1) for r in rows)
@@ -68,7 +73,7 @@ def test_training_rows_are_padded_to_the_length_or_a_power_of_two(spark, odd):
 
 
 def test_empty_table(spark, empty):
-    assert packing.pack(empty, PATH).collect() == []
+    assert packed(empty).collect() == []
 
 
 def test_query_columns(spark):
@@ -81,7 +86,7 @@ def test_query_columns(spark):
 def test_packer_places_each_id_once(sizes, length, windows):
     packer, done = packing.Packer(length, windows), []
     for i, n in enumerate(sizes):
-        packer.add(packing.Piece(i, 0, memoryview(np.full(n, i, "<u4").tobytes()), n))
+        packer.add(packing.Piece(i, 0, np.full(n, i, "<u2"), n))
         assert len(packer.held) == len(packer.room) <= windows
         done += packer.take()
     packer.merge_all()

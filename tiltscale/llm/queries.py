@@ -99,8 +99,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    tokenizer, path = public_tokenizers.path("byte_bpe_50k.json"), packing.sequence_dir(spark)
+    index = packing.pack(read(spark, sf_dir, "documents"), path, tokenizer)
+    return packing.read_pieces(index, path, tokenizer).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,13 @@ class Store:
             return np.frombuffer(self.fs.open_input_stream(at).read(), dtype)
         return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.empty(0, dtype)
 
+    def read(self, name: str, dtype: np.dtype, begin: int, end: int) -> np.ndarray:
+        """Items ``begin`` to ``end`` of a file, without the rest of it."""
+        at, first, size = f"{self.root}/{name}", begin * dtype.itemsize, (end - begin) * dtype.itemsize
+        with self.fs.open_input_file(at) if self.fs else open(at, "rb") as f:
+            f.seek(first)
+            return np.frombuffer(f.read(size), dtype)
+
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write all documents' ids in ascending doc_id order; returns the manifest.
