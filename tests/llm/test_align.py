@@ -115,10 +115,11 @@ def test_fragments_compose_in_any_order(parts, at):
     text = "".join(parts)
     expect = BY.align_text(text)
     if "" not in expect:
-        assert ";".join(left.close(BY)) == ";".join(right.close(BY)) == ";".join(whole.close(BY)) == ";".join(expect)
+        assert "".join(left.close(BY)) == "".join(right.close(BY)) == "".join(whole.close(BY)) == "".join(expect)
+        assert align.Tokens.parse(expect).strings() == expect
     assert ("" in left.close(BY)) == ("" in right.close(BY)) == ("" in expect)
     groups = brute(text[1:]) if text[1:] else None
     if groups:
-        assert ";".join(expect) == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        assert "".join(expect) == "".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) + ";" for a, b in groups)
     elif groups == []:
         assert "" in expect

@@ -23,7 +23,6 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,8 @@ from .token_files import _is_byte_level
 
 #: Bytes of a range, and neighbouring fragments that one step composes.
 CHUNK, FAN_IN = 65_536, 16
-#: Bytes that a task spends on remembering stretches.
-MEMORY = 64_000_000
+#: Characters that a tokenizer gets at once.
+AT_ONCE = 32_768
 #: Before a space that follows no white space (nor the mark that stands for it) and does not end the range.
 CUT = re.compile(rf"(?<=[^\s{pieces.MARK}])(?= .)", re.S)
 ALONE = re.compile(rf"\s\Z|{pieces.MARK}")
@@ -51,6 +50,56 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+@dataclass
+class Tokens:
+    """Ids of both sides, each side's tokens by group, and groups by stretch, one after the other."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
+    n_groups: np.ndarray
+
+    @classmethod
+    def none(cls) -> Tokens:
+        """A stretch without tokens."""
+        return cls(*(np.zeros(0, np.int32) for _ in range(4)), np.zeros(1, np.int32))
+
+    @classmethod
+    def concat(cls, parts: list[Tokens]) -> Tokens:
+        return cls(*(np.concatenate([np.zeros(0, np.int32), *(getattr(t, c) for t in parts)]).astype(np.int32) for c in cls.__dataclass_fields__))
+
+    @classmethod
+    def parse(cls, strings: list[str]) -> Tokens:
+        """Back from ``strings``."""
+        sides = [[[x.split(",") for x in g.split("|")] for g in text.split(";")[:-1]] for text in strings]
+        ids = [[int(i) for groups in sides for g in groups for i in g[k]] for k in (0, 1)]
+        sizes = [[len(g[k]) for groups in sides for g in groups] for k in (0, 1)]
+        return cls(*(np.array(v, np.int32) for v in (*ids, *sizes, [len(groups) for groups in sides])))
+
+    def strings(self) -> list[str]:
+        """The groups of each stretch: ids joined by commas, sides by bars, each group ended by a semicolon."""
+        ends, out = (np.cumsum(self.a_sizes), np.cumsum(self.b_sizes)), np.empty(len(self.a) + len(self.b), object)
+        # a group's tokens of A come before those of B
+        for ids, size, mine, others, mark in ((self.a, self.a_sizes, ends[0], ends[1] - self.b_sizes, "|"), (self.b, self.b_sizes, ends[1], ends[0], ";")):
+            text = np.array([*map(str, ids.tolist())], object) + ","
+            text[mine - 1] = [f"{i}{mark}" for i in ids[mine - 1].tolist()]
+            out[np.arange(len(ids)) + np.repeat(others, size)] = text
+        at = np.concatenate([[0], np.cumsum(self.n_groups)])
+        cut = np.concatenate([[0], ends[0] + ends[1]])[at].tolist()
+        words = out.tolist()
+        return ["".join(words[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+
+    def pairs(self) -> np.ndarray:
+        """Of each group the last ids, which end together: A's in the upper 32 bits, B's in the lower."""
+        return self.a[np.cumsum(self.a_sizes) - 1].astype(np.int64) << 32 | self.b[np.cumsum(self.b_sizes) - 1]
+
+    def by_stretch(self, each: np.ndarray) -> np.ndarray:
+        """Sums over the groups of each stretch."""
+        total = np.concatenate([[0], np.cumsum(each.astype(np.int64))])
+        return np.diff(total[np.concatenate([[0], np.cumsum(self.n_groups)])])
+
+
 class Aligner:
     """Groups of two tokenizers: a byte-level one (A) and a SentencePiece model that adds a space (B)."""
 
@@ -65,10 +114,7 @@ class Aligner:
         self.a_bytes = [bytes(letters[c] for c in entries[i]) if i in entries and all(c in letters for c in entries[i]) else entries.get(i, "").encode() for i in range(max(entries) + 1)]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in each]) for each in (self.a_bytes, self.b_bytes))
-        self.a_text, self.b_text = ([str(i) for i in range(len(each))] for each in (self.a_bytes, self.b_bytes))
         self.cuts = _is_byte_level(a) and self._cut_model(b)
-        self.known: dict[str, str] = {}
-        self.used = 0
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -85,47 +131,49 @@ class Aligner:
     def stretches(self, text: str) -> list[str]:
         return CUT.split(text) if self.cuts else [text]
 
-    def _groups(self, stretch: str, ends: np.ndarray) -> list[str] | None:
-        """One string of groups for each end (a byte offset, increasing) of ``stretch``; nothing
-        where its tokens' bytes are not its own, or no token of one side ends there."""
-        data = stretch.encode()
-        a = self.a.encode(stretch, add_special_tokens=False).ids
-        b = self.b.encode(stretch[1:])
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+    def _run(self, run: list[str]) -> Tokens | None:
+        """Of stretches that may be tokenised in one go; nothing where the tokens' bytes are not
+        theirs or no token of one side ends where a stretch does."""
+        text = "".join(run)
+        a, b = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int32), np.array(self.b.encode(text[1:]), np.int32)
+        data = text.encode()
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != data or b"".join([self.b_bytes[i] for i in b.tolist()]) != data:
             return None
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         both = np.intersect1d(a_end, b_end)
+        ends = np.cumsum([len(s) for s in run] if len(text) == len(data) else [len(s.encode()) for s in run])
         last = np.searchsorted(both, ends)
         if last[-1] >= len(both) or (both[last] != ends).any():
             return None
         # tokens without bytes stay with the group that they end with
-        a_at, b_at = ([0, *np.searchsorted(e, both, "right").tolist()] for e in (a_end, b_end))
-        a_text, b_text = [self.a_text[i] for i in a], [self.b_text[i] for i in b]
-        groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
-        cut = [0, *(last + 1).tolist()]
-        return [";".join(groups[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-
-    def _alone(self, stretch: str) -> str:
-        found = self._groups(stretch, np.array([len(stretch.encode())]))
-        return found[0] if found else ""
+        sizes = [np.diff(np.searchsorted(e, both, "right"), prepend=0).astype(np.int32) for e in (a_end, b_end)]
+        return Tokens(a, b, *sizes, np.diff(last + 1, prepend=0).astype(np.int32))
+
+    def tokens(self, stretches: list[str]) -> Tokens:
+        """The tokens of all stretches; those whose tokens' bytes are not their own have none."""
+        out, run, size = [], [], 0
+
+        def end() -> None:
+            nonlocal run, size
+            if run:
+                found = self._run(run)
+                out.extend([found] if found else [self._run([s]) or Tokens.none() for s in run])
+            run, size = [], 0
+
+        for s in stretches:
+            alone = not self.cuts or ALONE.search(s) is not None
+            if alone or size > AT_ONCE:
+                end()
+            run.append(s)
+            size += len(s)
+            if alone:
+                end()
+        end()
+        return Tokens.concat(out)
 
     def align(self, stretches: list[str]) -> list[str]:
-        """The groups of each stretch, ``a1,a2|b1;a3|b2``; empty where the bytes differ."""
-        known = self.known
-        new = list({s for s in stretches if s not in known})
-        if not new:
-            return [known[s] for s in stretches]
-        if self.used > MEMORY:
-            known.clear()
-            self.used, new = 0, list(set(stretches))
-        # those that a cut can follow are tokenised in one go
-        joined = [s for s in new if self.cuts and not ALONE.search(s)]
-        found = self._groups("".join(joined), np.cumsum([len(s.encode()) for s in joined])) if joined else []
-        made = dict(zip(joined, found, strict=True)) if found is not None else {}
-        for s in new:
-            known[s] = g = made[s] if s in made else self._alone(s)
-            self.used += len(s) + len(g) + 220
-        return [known[s] for s in stretches]
+        """The groups of each stretch, ``a1,a2|b1;a3|b2;``; empty where it has no tokens."""
+        return self.tokens(stretches).strings()
 
     def align_text(self, text: str) -> list[str]:
         return self.align(self.stretches(text))
@@ -167,43 +215,44 @@ class Fragment:
         return by.align_text(self.head) + self.closed + by.align_text(self.tail)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed, after its size: blocks are written once and shuffled once."""
+    return values.nbytes.to_bytes(8, "little") + pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), dtype)
+
+
 class Block:
-    """Documents as lists of stretches, their distinct groups and the counts of their links."""
+    """Documents as lists of stretches, the distinct stretches' tokens, and the counts of their links."""
 
     SCHEMA = pa.schema({
-        "block": pa.string(), "doc_id": pa.list_(pa.int64()), "sizes": pa.binary(), "index": pa.binary(), "groups": pa.list_(pa.string()),
-        "n_a": pa.binary(), "n_b": pa.binary(), "n_groups": pa.binary(), "links": pa.binary(), "pairs": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()),
+        "block": pa.string(), "doc_id": pa.list_(pa.int64()), "sizes": pa.binary(), "index": pa.binary(),
+        **dict.fromkeys(Tokens.__dataclass_fields__, pa.binary()), "pairs": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()),
     })
 
     def __init__(self) -> None:
         self.doc_id: list[int | None] = []
-        self.sizes: list[int] = []
-        self.index: list[list[int]] = []
-        self.at: dict[str, int] = {"": 0}
+        self.index: list[np.ndarray] = []
+        self.at: dict[str, int] = {}
 
-    def add(self, doc_id: int | None, groups: list[str]) -> None:
+    def add(self, doc_id: int | None, stretches: list[str]) -> None:
         at = self.at
-        index = [at.setdefault(g, len(at)) for g in groups]
-        if 0 in index:
-            index = []
         self.doc_id.append(doc_id)
-        self.sizes.append(len(index))
-        self.index.append(index)
-
-    def row(self, name: str) -> pa.RecordBatch:
-        index = np.fromiter(chain.from_iterable(self.index), np.int32)
-        used = np.bincount(index, minlength=len(self.at))
-        split = [[g.split("|") for g in groups.split(";")] if groups else [] for groups in self.at]
-        n_groups = np.array([len(g) for g in split], np.int32)
-        n_a, n_b = (np.array([sum(x[k].count(",") + 1 for x in g) for g in split], np.int32) for k in (0, 1))
-        codes = np.array([int(a.rpartition(",")[2]) << 32 | int(b.rpartition(",")[2]) for g in split for a, b in g], np.int64)
-        pairs, links = np.unique(codes, return_inverse=True)
-        counts = np.bincount(links, weights=np.repeat(used, n_groups), minlength=len(pairs)).astype(np.int64)
-        row = {
-            "block": name, "doc_id": self.doc_id, "sizes": np.array(self.sizes, np.int64).tobytes(), "index": index.tobytes(), "groups": list(self.at), "n_a": n_a.tobytes(), "n_b": n_b.tobytes(),
-            "n_groups": n_groups.tobytes(), "links": links.astype(np.int32).tobytes(), "pairs": pairs, "counts": counts,
-        }
-        return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, self.SCHEMA)
+        self.index.append(np.array([at.setdefault(s, len(at)) for s in stretches], np.int32))
+
+    def row(self, name: str, tokens: Tokens) -> pa.RecordBatch:
+        """``tokens``: of the distinct stretches in their order. A document with one that has none has none."""
+        none = tokens.n_groups == 0
+        index = [i if len(i) and not none[i].any() else i[:0] for i in self.index]
+        flat = np.concatenate([np.zeros(0, np.int32), *index])
+        used = np.bincount(flat, minlength=len(self.at))
+        pairs, links = np.unique(tokens.pairs(), return_inverse=True)
+        counts = np.bincount(links, weights=np.repeat(used, tokens.n_groups), minlength=len(pairs)).astype(np.int64)
+        row = {"block": name, "doc_id": self.doc_id, "sizes": _packed(np.array([len(i) for i in index], np.int64)), "index": _packed(flat.astype(np.int32)), "pairs": pairs, "counts": counts}
+        row |= {c: _packed(getattr(tokens, c)) for c in Tokens.__dataclass_fields__}
+        return pa.RecordBatch.from_pydict({c: [row[c]] for c in self.SCHEMA.names}, self.SCHEMA)
 
 
 def _whole(docs: DataFrame, a: str, b: str) -> DataFrame:
@@ -212,14 +261,11 @@ def _whole(docs: DataFrame, a: str, b: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, part = aligner(a, b), TaskContext.get().partitionId()
         for k, batch in enumerate(batches):
-            block, texts = Block(), [" " + t if t else "" for t in batch.column("text").to_pylist()]
-            split = [by.stretches(t) if t else [] for t in texts]
-            groups = by.align(list(chain.from_iterable(split)))
-            at = 0
-            for i, s in zip(batch.column("doc_id").to_pylist(), split, strict=True):
-                block.add(i, groups[at : at + len(s)])
-                at += len(s)
-            yield block.row(f"whole-{part}-{k}")
+            block = Block()
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                t = text.as_py()
+                block.add(i, by.stretches(" " + t) if t else [])
+            yield block.row(f"whole-{part}-{k}", by.tokens(list(block.at)))
 
     return docs.mapInArrow(shared.tidy(scan), from_arrow_schema(Block.SCHEMA))
 
@@ -300,12 +346,12 @@ def _long(docs: DataFrame, a: str, b: str, chunk: int) -> DataFrame:
         for batch in batches:
             for _, doc_id, _, _, f in _read(batch):
                 block.add(doc_id, f.close(by))
-                held += block.sizes[-1]
+                held += len(block.index[-1])
                 if held > 500_000:
-                    yield block.row(f"long-{part}-{k}")
+                    yield block.row(f"long-{part}-{k}", Tokens.parse(list(block.at)))
                     block, held, k = Block(), 0, k + 1
         if block.doc_id:
-            yield block.row(f"long-{part}-{k}")
+            yield block.row(f"long-{part}-{k}", Tokens.parse(list(block.at)))
 
     ranges = shared.materialize(_ranges(docs, chunk), "align-ranges")
     dealt = ranges.repartition(shared.partitions(spark), "text_key", "at")
@@ -343,20 +389,18 @@ def align(docs: DataFrame, a: str, b: str, chunk: int = CHUNK) -> DataFrame:
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one = {c: batch.column(c)[k] for c in batch.schema.names}
-                groups = one["groups"].as_py()
-                n_a, n_b, n_groups, links, index = (np.frombuffer(one[c].as_py(), np.int32) for c in ("n_a", "n_b", "n_groups", "links", "index"))
-                n, best = (np.array(one[c].as_py() or [], np.int64) for c in ("n", "best"))
-                owner = np.repeat(np.arange(len(n_groups)), n_groups)
-                by_stretch = [n_a, n_b, n_groups, np.bincount(owner, weights=best[links], minlength=len(n_groups)), np.zeros(len(n_groups), np.int64)]
-                np.add.at(by_stretch[4], owner, n[links])
-                ends = np.cumsum(np.frombuffer(one["sizes"].as_py(), np.int64))
-                sums = [np.diff(np.concatenate([[0], np.cumsum(v[index].astype(np.int64))])[np.concatenate([[0], ends])]) for v in by_stretch]
-                index, begin, text = index.tolist(), 0, []
+                one = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                tokens = Tokens(*(_unpacked(one[c], np.int32) for c in Tokens.__dataclass_fields__))
+                index, ends = _unpacked(one["index"], np.int32), np.cumsum(_unpacked(one["sizes"], np.int64))
+                links = np.unique(tokens.pairs(), return_inverse=True)[1]
+                n, best = (np.array(one[c] or [], np.int64) for c in ("n", "best"))
+                each = [tokens.by_stretch(v) for v in (tokens.a_sizes, tokens.b_sizes)] + [tokens.n_groups, tokens.by_stretch(best[links]), tokens.by_stretch(n[links])]
+                sums = [np.diff(np.concatenate([[0], np.cumsum(v[index].astype(np.int64))])[np.concatenate([[0], ends])]) for v in each]
+                groups, index, begin, text = tokens.strings(), index.tolist(), 0, []
                 for end in ends.tolist():
-                    text.append(";".join([groups[i] for i in index[begin:end]]))
+                    text.append("".join([groups[i] for i in index[begin:end]])[:-1])
                     begin = end
-                columns = [one["doc_id"].as_py(), *sums[:3], sums[2], *sums[3:], text]
+                columns = [one["doc_id"], *sums[:3], sums[2], *sums[3:], text]
                 names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
                 whole = pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c == "groups" else pa.int64()) for c, v in zip(names, columns, strict=True)})
                 yield from (whole.slice(i, 500) for i in range(0, len(whole), 500))
