@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tiltscale.functions import special
+from tiltscale.functions import moments, special, truncated
 from tiltscale.operators import combine, diff, export, fit, ingest, qc, score
 from tiltscale.queries import registry
 from tiltscale.sources import files
@@ -127,15 +127,111 @@ def test_wald_with_undefined_and_zero_variances(spark):
     assert set(near_one.values()) == {1.0}
 
 
+def likelihood(dist, x, r, k, left=4):
+    """One group for each x."""
+    return truncated.Likelihood(dist, np.asarray(x, float), np.arange(len(x)), np.asarray(r, float), np.asarray(k, float), left)
+
+
 def test_entropy_moments_have_no_cap():
     r = np.array([5.0, 60.0])
     for p in (0.5, 0.9, 0.99, 0.999, 0.9999):
-        first, var = diff._log2_moments(p, r, 4)
+        found = moments.log2_moments(likelihood("nb", [5, 5], r, [0, 0]), np.full(2, p))
         gamma = np.random.default_rng(0).gamma(r[:, None], size=(2, 200_000)) * p / (1 - p)
         x = np.log2(np.maximum(np.random.default_rng(1).poisson(gamma), 1))
         keep = np.random.default_rng(1).poisson(gamma) > 4
         for i in range(2):
-            assert first[i] == pytest.approx(x[i][keep[i]].mean(), abs=0.02) and var[i] == pytest.approx(x[i][keep[i]].var(), abs=0.03)
+            assert found.first[i] == pytest.approx(x[i][keep[i]].mean(), abs=0.02) and found.variance[i] == pytest.approx(x[i][keep[i]].var(), abs=0.03)
+
+
+@pytest.mark.parametrize(("dist", "r", "k", "p", "top"), [("nb", 8, 0, 0.6, 3000), ("nb", 500, 0, 0.99, 300_000), ("betanb", 8, 40, 0.6, 1_000_000), ("betanb", 300, 6000, 0.9, 200_000), ("betanb", 10, 12, 0.5, 1_000_000), ("mcnb", 12, 0, 0.7, 2000)])
+def test_moments_are_the_sums_over_the_support(dist, r, k, p, top):
+    x = np.arange(5, top)
+    if dist == "mcnb":
+        steps = truncated.mcnb_steps(np.array([float(r)]), np.array([p]))
+        w = np.array([float(np.exp(next(steps).value[0])) for _ in range(top)])[5:]
+    else:
+        w = np.exp(moments._log_pmf(dist, x.astype(float), *(np.full((1, 1), float(v)) for v in (r, k, p))))[0]
+    found = moments.log2_moments(likelihood(dist, [5], [r], [k]), np.array([p]))
+    first = w @ np.log2(x) / w.sum()
+    assert found.first[0] == pytest.approx(first, abs=1e-9) and found.mean[0] == pytest.approx(w @ x / w.sum(), rel=1e-6)
+    assert found.variance[0] == pytest.approx(w @ np.log2(x) ** 2 / w.sum() - first**2, abs=1e-8)
+
+
+@pytest.mark.parametrize("dist", truncated.DISTS)
+def test_truncated_terms_and_their_derivatives(dist):
+    rng = np.random.default_rng(3)
+    x, r, k, p = rng.integers(5, 60, 200), rng.integers(1, 40, 200), rng.uniform(5, 6000, 200), rng.uniform(0.02, 0.98, 200)
+    cells = likelihood(dist, x, r, k)
+    t, up, down = (cells.terms(p + h) for h in (0, 1e-6, -1e-6))
+    assert (up.value - down.value) / 2e-6 == pytest.approx(t.slope, rel=1e-5, abs=1e-3) and (up.slope - down.slope) / 2e-6 == pytest.approx(t.bend, rel=1e-5, abs=1e-1)
+    # probabilities above the truncation sum to one
+    every = np.arange(5, 4000)
+    one = truncated.Likelihood(dist, every.astype(float), np.zeros(len(every), int), np.array([9.0]), np.array([900.0]), 4).terms(np.array([0.6]))
+    free = special._np_lgamma(every + 9.0) - special._np_lgamma(np.array(9.0)) - special._np_lgamma(every + 1.0) if dist != "mcnb" else 0
+    free = free + (0 if dist != "betanb" else special._np_lgamma(np.array(900.0)) - special._np_lgamma(900.0 + every + 9) - 0)
+    assert np.exp(one.value + free).sum() == pytest.approx(1, abs=1e-8)
+
+
+def test_compound_recurrence_is_the_sum_over_the_latent_count(spark):
+    rows = [(i, x, float(r), p) for i, (r, p) in enumerate([(1, 0.5), (7, 0.3), (25, 0.8), (60, 0.55)]) for x in (5, 6, 19, 80)]
+    scored = {(g.id, g.x): g.pmf for g in score.mcnb(spark.createDataFrame(rows, "id int, x int, r double, p double"), ["id"], 4).collect()}
+    cells = likelihood("mcnb", [q[1] for q in rows], [q[2] for q in rows], np.zeros(len(rows)))
+    found = np.exp(cells.terms(np.array([q[3] for q in rows])).value)
+    assert found == pytest.approx([scored[q[0], q[1]] for q in rows], rel=1e-10)
+
+
+def test_beta_nb_tends_to_nb():
+    rng = np.random.default_rng(5)
+    x, r = rng.integers(5, 60, 50), rng.integers(5, 40, 50).astype(float)
+    plain = cells_of([[(int(a), float(b), 1) for a, b in zip(x, r, strict=True)]]).mle()
+    kind = pa.list_(pa.struct([("x", pa.int32()), ("r", pa.float64()), ("k", pa.float64()), ("n", pa.int64())]))
+    off = []
+    for k in (1e3, 1e5, 1e7):
+        rows = sorted((int(a), float(b), k, 1) for a, b in zip(x, r, strict=True))
+        beta = diff.Cells(pa.array([[dict(zip(("x", "r", "k", "n"), c, strict=True)) for c in rows]], kind), "betanb").mle()
+        off.append(abs(beta[0][0] - plain[0][0]) + abs(beta[2][0] / plain[2][0] - 1))
+    assert off[0] > off[1] > off[2] and off[2] < 1e-4
+
+
+@pytest.mark.parametrize("dist", ["betanb", "mcnb"])
+def test_other_distributions_recover_p(spark, dist):
+    rng = np.random.default_rng(7)
+    r = rng.integers(5, 30, 5000)
+    if dist == "betanb":
+        theta = rng.beta(0.6 * 50, 0.4 * 50, 5000)
+        x = rng.negative_binomial(r, 1 - theta)
+    else:
+        m = rng.binomial(r, 0.4)
+        r, m = r[m > 0], m[m > 0]
+        x = rng.negative_binomial(m, 0.4)
+    rows = [("c", 1, "A", 2.0, "g" if i % 2 else "h", int(a), int(b)) for i, (a, b) in enumerate(zip(x, r, strict=True)) if a > 4]
+    obs = spark.createDataFrame(rows, "chrom string, start int, alt string, bad double, group string, ref_count int, alt_count int")
+    slices = [(2.0, a, s, float(s), 50.0) for a in ("ref", "alt") for s in range(400)]
+    params = spark.createDataFrame(slices, "bad double, allele string, slice int, r double, k double")
+    fits = {f.group: f for f in diff.solve(obs, [*diff.SNV, "bad"], params, dist)[0].where("allele = 'ref'").collect()}
+    for f in fits.values():
+        assert abs(f.p - 0.6) < 4 * math.sqrt(f.var) and 0.5 < f.var / f.var_sandwich < 2
+    ratio = {t.allele: t for t in diff.lrt(diff.solve(obs, [*diff.SNV, "bad"], params, dist)[0], [*diff.SNV, "bad"]).collect()}
+    assert ratio["ref"].pval > 1e-4 and ratio["ref"].stat >= 0
+
+
+def test_drivers_of_difference_tests(spark):
+    rng = np.random.default_rng(11)
+    rows = [("c", s, "A", 2.0, f"{g}{i}", int(rng.negative_binomial(20, 0.35 if g == "test" and s == 1 else 0.5)) + 5, 20, i) for s in (1, 2) for g in ("control", "test") for i in range(25)]
+    rows.append(("c", 3, "A", 2.0, "control0", 9, 12, 0))  # in one group only
+    obs = spark.createDataFrame(rows, "chrom string, start long, alt string, bad double, scorefile string, ref_count int, alt_count int, sample int")
+    table = spark.createDataFrame([(g, f"{g}{i}") for g in ("control", "test") for i in range(25)], "group string, scorefile string")
+    grouped = diff.with_groups(obs, diff.require_disjoint(table))
+    for dist in truncated.DISTS:
+        for method in ("wald", "lrt"):
+            got = {t.start: t for t in diff.difftest(grouped, "control", "test", dist=dist, method=method).collect()}
+            assert set(got) == {1, 2} and got[1].ref_fdr_pval < 0.01 < got[2].ref_fdr_pval and got[1].ref_es_p > 0.1
+            by = [math.log2(q[6] / q[5]) * (1 if q[4].startswith("test") else -1) / 25 for q in rows if q[1] == 1]
+            assert got[1].es_count == pytest.approx(sum(by))
+        for effect in ("entropy", "mean"):
+            wide = {t.start: t for t in diff.anova(grouped, ["control", "test"], 4, 2, dist=dist, effect=effect).collect()}
+            assert set(wide) == {1, 2} and wide[1].ref_fdr_pval < 0.01 and wide[1].test_ref_es > wide[1].control_ref_es and wide[1].test_n == 25
+    assert diff.difftest(grouped.limit(0), "control", "test").count() == 0
 
 
 def test_weight_correction(spark):
@@ -176,12 +272,12 @@ def test_mle_recovers_p():
     x = rng.negative_binomial(r, 1 - 0.6)
     many = [(int(a), float(b), 1) for a, b in zip(x, r, strict=True) if a > 4]
     cells = cells_of([many, [(9, 7.0, 3)], many[:50]])
-    p, value, var, sandwich = cells.mle(4)
+    p, value, var, sandwich = cells.mle()
     assert abs(p[0] - 0.6) < 4 * math.sqrt(var[0]) and abs(var[0] / sandwich[0] - 1) < 0.3
     for i, one in enumerate(([*many], [(9, 7.0, 3)], many[:50])):  # each problem as if it were alone
         alone = cells_of([one])
-        assert [a[i] for a in (p, value, var, sandwich)] == pytest.approx([float(a[0]) for a in alone.mle(4)], nan_ok=True)
-        least = min(float(alone.nll(np.array([q]), 4)[0]) for q in np.linspace(max(p[i] - 0.02, 1e-3), p[i] + 0.02, 401))
+        assert [a[i] for a in (p, value, var, sandwich)] == pytest.approx([float(a[0]) for a in alone.mle()], nan_ok=True)
+        least = min(float(alone.nll(np.array([q]))[0]) for q in np.linspace(max(p[i] - 0.02, 1e-3), p[i] + 0.02, 401))
         assert value[i] <= least + 1e-6
 
 
@@ -348,15 +444,17 @@ def test_differential_tests_by_hand(spark):
     pair = diff.lrt_pair(fits, ["k"], "c", "t").where("allele = 'ref'").first()
     assert (pair.n_control, pair.n_test, pair.p_control, pair.p_test) == (10, 12, 0.6, 0.4) and pair.pval == pytest.approx(chi(6.0))
     assert diff.lrt(fits.where("group <> 't'"), ["k"]).count() == 0  # one group is no test
-    means = {r.group: r.es for r in diff.mean_effect(fits, ["k"]).where("allele = 'ref'").collect()}
-    assert means == pytest.approx({"c": math.log2(1.5), "t": math.log2(2 / 3)})
     wide = diff.alleles_wide(diff.wald(fits, ["k"], "c", "t"), ["k"], ["p_control", "p_test", "pval"]).withColumns({"ref_fdr_pval": F.lit(0.2), "alt_fdr_pval": F.lit(0.3)})
     r = diff.derived(wide).first()
     assert r.ref_es_p == pytest.approx(math.log2(0.4 / 0.6)) and r.scoring_model == "alt|ref" and r.fdr_pval == 0.3 and r.pref_allele_control == "alt"
     cells = spark.createDataFrame([("k", "ref", "c", 4, [(9, 7.0, 3), (12, 8.0, 1)])], "k string, allele string, group string, n long, cells array<struct<x int, r double, n long>>")
-    own = float(cells_of([[(9, 7.0, 3), (12, 8.0, 1)]]).nll(np.array([0.6]), 4)[0])
+    mean = lambda r, p: sum(x * w for x, w in nb(r, p)) / sum(w for _, w in nb(r, p))
+    nb = lambda r, p: [(x, math.exp(math.lgamma(x + r) - math.lgamma(r) - math.lgamma(x + 1) + x * math.log(p) + r * math.log(1 - p))) for x in range(5, 400)]
+    (effect,) = diff.mean_effect(fits, cells, ["k"]).collect()
+    assert effect.es == pytest.approx((3 * math.log2(mean(7, 0.6) / mean(7, 0.5)) + math.log2(mean(8, 0.6) / mean(8, 0.5))) / 4)
+    own = float(cells_of([[(9, 7.0, 3), (12, 8.0, 1)]]).nll(np.array([0.6]))[0])
     got = diff.pairwise(fits.withColumn("nll", F.lit(own)), cells, ["k"]).first()
-    pooled = float(cells_of([[(9, 7.0, 3), (12, 8.0, 1)]]).nll(np.array([0.5]), 4)[0])
+    pooled = float(cells_of([[(9, 7.0, 3), (12, 8.0, 1)]]).nll(np.array([0.5]))[0])
     assert got.pval == pytest.approx(chi(max(0.0, 2 * (pooled - own))))
 
 

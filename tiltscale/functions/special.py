@@ -37,8 +37,12 @@ def _np_lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def _np_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The incomplete beta function's continued fraction, by modified Lentz steps."""
+    """The incomplete beta function's continued fraction, by modified Lentz steps.
+
+    Values that no longer move are set aside, so a batch does not wait for its slowest one.
+    """
     safe = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    out, live = np.empty_like(x), np.arange(len(x))
     c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
     h = d.copy()
     for m in range(1, STEPS + 1):
@@ -46,9 +50,14 @@ def _np_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / safe(1 + term * d)
             c = safe(1 + term / c)
             h = h * c * d
-        if (np.abs(c * d - 1) < 1e-15).all():
-            break
-    return h
+        moves = np.abs(c * d - 1) >= 1e-15
+        if not moves.all() and (m % 8 == 0 or not moves.any()):
+            out[live[~moves]] = h[~moves]
+            live, a, b, x, c, d, h = (v[moves] for v in (live, a, b, x, c, d, h))
+            if not len(live):
+                return out
+    out[live] = h
+    return out
 
 
 def np_betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

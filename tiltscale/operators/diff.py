@@ -10,17 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import special
-from . import score
+from ..functions import moments, special, truncated
+from ..sources.store import settle
+from . import combine, score
 
 ALL = "__all__"
-#: Largest support that moments are summed over.
-WIDE = 50_000
+#: Concentration of the beta negative binomial where there is no fitted one.
+DEFAULT_K = 6000.0
 SNV = ["chrom", "start", "alt"]
 
 
@@ -53,33 +53,52 @@ def group_counts(grouped: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("n")).withColumn("group", F.coalesce("group", F.lit(ALL)))
 
 
-def problems(grouped: DataFrame, keys: list[str], params: DataFrame | None = None) -> DataFrame:
+def problems(grouped: DataFrame, keys: list[str], params: DataFrame | None = None, dist: str = "nb") -> DataFrame:
     """keys, allele, group and the distinct cells (x, r, n) of each problem, and of all groups together.
 
-    r is the fixed allele's count, or that of ``params`` (bad, allele, slice, r), which must
-    have every slice; ``fit.scoring_params`` gives such a table.
+    r is the fixed allele's count, or that of ``params`` (bad, allele, slice, r, k), which must
+    have every slice; ``fit.scoring_params`` gives such a table. Cells of ``betanb`` also have
+    the concentration k, ``DEFAULT_K`` where no fit gives one.
     """
     sides = F.array(*[F.struct(F.lit(a).alias("allele"), F.col(f"{a}_count").alias("x"), F.col(f"{b}_count").alias("slice")) for a, b in (("ref", "alt"), ("alt", "ref"))])
     rows = grouped.select(*dict.fromkeys([*keys, "bad"]), "group", F.inline(sides))
+    k = F.lit(DEFAULT_K)
     if params is None:
         rows = rows.withColumn("r", F.col("slice").cast("double"))
     else:
         missing = F.raise_error(F.concat(F.lit("no parameters for "), F.to_json(F.struct("bad", "allele", "slice"))))
-        rows = rows.join(params.select("bad", "allele", "slice", F.col("r").alias("__r")), ["bad", "allele", "slice"], "left")
+        known = [F.col(c).alias(f"__{c}") for c in ("r", "k") if c in params.columns]
+        rows = rows.join(params.select("bad", "allele", "slice", *known), ["bad", "allele", "slice"], "left")
         rows = rows.withColumn("r", F.when(F.col("__r").isNull(), missing.cast("double")).otherwise(F.col("__r")))
+        k = F.coalesce("__k", k) if "k" in params.columns else k
+    cell = ["x", "r"]
+    if dist == "betanb":
+        rows, cell = rows.withColumn("k", k), ["x", "r", "k"]
     both = rows.withColumn("group", F.explode(F.array("group", F.lit(ALL))))
-    cells = both.groupBy(*keys, "allele", "group", "x", "r").agg(F.count("*").alias("n"))
-    return cells.groupBy(*keys, "allele", "group").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("x", "r", "n"))).alias("cells"))
+    cells = both.groupBy(*keys, "allele", "group", *cell).agg(F.count("*").alias("n"))
+    return cells.groupBy(*keys, "allele", "group").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(*cell, "n"))).alias("cells"))
 
 
 class Cells:
-    """The cells of many problems, one after the other."""
+    """The cells of many problems, one after the other, under one left-truncated distribution."""
 
-    def __init__(self, lists: pa.ListArray) -> None:
+    def __init__(self, lists: pa.ListArray, dist: str = "nb", left: int = 4) -> None:
         self.sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
         self.x, self.r, self.n = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "r", "n"))
+        k = flat.field("k").to_numpy(zero_copy_only=False).astype(float) if dist == "betanb" else np.zeros(len(self.x))
         self.starts = np.cumsum(self.sizes) - self.sizes
+        # cells of a problem with one r and k share all that does not depend on x
+        problem = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort((k, self.r, problem))
+        new = np.ones(len(order), bool)
+        for v in (problem, self.r, k):
+            new[1:] &= v[order][1:] == v[order][:-1]
+        new[1:] = ~new[1:]
+        first, of = order[new], np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        self.of, self.problem, self.k = of, problem[first], k
+        self.likelihood = truncated.Likelihood(dist, self.x, of, self.r[first], k[first], left)
 
     def spread(self, p: np.ndarray) -> np.ndarray:
         return np.repeat(p, self.sizes)
@@ -88,44 +107,44 @@ class Cells:
         """Sums by problem; every problem has a cell."""
         return np.add.reduceat(each, self.starts) if len(each) else np.zeros(len(self.sizes))
 
-    def losses(self, p: np.ndarray, left: int) -> np.ndarray:
-        """Negative log likelihood of each cell, seen once, at its problem's p, without terms free of p.
+    def terms(self, p: np.ndarray) -> truncated.Terms:
+        """Of each cell, seen once, at its problem's p, without terms free of p."""
+        return self.likelihood.terms(p[self.problem])
 
-        Cells are left-truncated negative binomials.
-        """
-        p = self.spread(np.clip(p, 1e-12, 1 - 1e-12))
-        head = term = (1 - p) ** self.r
-        for i in range(left):
-            term = term * p * (self.r + i) / (i + 1)
-            head = head + term
-        return np.log(np.maximum(1 - head, 1e-300)) - self.x * np.log(p) - self.r * np.log1p(-p)
-
-    def nll(self, p: np.ndarray, left: int) -> np.ndarray:
-        return self.total(self.n * self.losses(p, left))
+    def nll(self, p: np.ndarray) -> np.ndarray:
+        return -self.total(self.n * self.terms(p).value)
 
-    def mle(self, left: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def mle(self, rounds: int = 100, newton: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """p of each problem, its nll, its variance by Fisher information and by the sandwich.
 
-        All problems search at once: a grid of ten points, then ever finer grids about the
-        best. Variances are null (nan) where the information is not positive.
+        All problems search at once: a grid of ten points, then the root of the score
+        between the best point's neighbours (zero and one beyond the ends) by Newton's
+        steps, by halving where these leave the bracket. Variances are null (nan) where
+        the information is not positive or p is at an end, 1e-12 from zero or one.
         """
-        grid = np.linspace(0.01, 0.99, 10)
-        best = np.argmin([self.nll(np.full(len(self.sizes), g), left) for g in grid], axis=0)
-        lo, hi = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, 9)]
-        for _ in range(rounds):
-            points = lo + (hi - lo) * np.linspace(0, 1, 9)[:, None]
-            best = np.argmin([self.nll(q, left) for q in points], axis=0)
-            at = np.arange(len(lo))
-            lo, hi = points[np.maximum(best - 1, 0), at], points[np.minimum(best + 1, 8), at]
-        p = (lo + hi) / 2
-        h = np.minimum(1e-4, np.minimum(p / 4, (1 - p) / 4))
-        low, mid, high = (self.losses(q, left) for q in (p - h, p, p + h))
-        wide = self.spread(h)
-        slope, bend = (high - low) / (2 * wide), (high - 2 * mid + low) / wide**2
-        info = self.total(self.n * bend)
-        sound = info > 0
+        grid, low, high = np.linspace(0.01, 0.99, 10), 1e-12, 1 - 1e-12
+        if not len(self.sizes):
+            return (np.zeros(0),) * 4
+        best = np.nanargmin([self.nll(np.full(len(self.sizes), g)) for g in grid], axis=0)
+        edges = np.concatenate([[low], grid, [high]])
+        lo, hi, p = edges[best], edges[best + 2], grid[best]
+        for k in range(rounds):
+            t = self.terms(p)
+            slope, bend = self.total(self.n * t.slope), self.total(self.n * t.bend)
+            lo, hi = np.where(slope > 0, p, lo), np.where(slope < 0, p, hi)
+            with np.errstate(all="ignore"):
+                step = p - slope / bend
+            sound = (bend < 0) & (step > lo) & (step < hi) & (k < newton)
+            now = np.where(slope == 0, p, np.where(sound, step, (lo + hi) / 2))
+            moved, p = np.abs(now - p), now
+            if (moved <= 4e-16 * p + 1e-18).all():
+                break
+        p = np.where(p < low * 2, low, np.where(p > 1 - 2e-12, high, p))
+        t = self.terms(p)
+        info = -self.total(self.n * t.bend)
+        sound = (info > 0) & (p > low) & (p < high)
         info = np.where(sound, info, 1)
-        return p, self.total(self.n * mid), np.where(sound, 1 / info, np.nan), np.where(sound, self.total(self.n * slope**2) / info**2, np.nan)
+        return p, -self.total(self.n * t.value), np.where(sound, 1 / info, np.nan), np.where(sound, self.total(self.n * t.slope**2) / info**2, np.nan)
 
 
 def _with_columns(batch: pa.RecordBatch, drop: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -134,13 +153,13 @@ def _with_columns(batch: pa.RecordBatch, drop: str, columns: dict[str, np.ndarra
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(v, from_pandas=True) for v in columns.values()]], [*kept, *columns])
 
 
-def fit_p(table: DataFrame, left: int = 4) -> DataFrame:
-    """``problems`` with p, nll, var and var_sandwich instead of the cells."""
+def fit_p(table: DataFrame, left: int = 4, dist: str = "nb") -> DataFrame:
+    """``problems`` with p, nll, var and var_sandwich instead of the cells, under ``dist``: nb, betanb or mcnb."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != "cells") + ", p double, nll double, var double, var_sandwich double"
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Cells(batch.column("cells")).mle(left)
+            found = Cells(batch.column("cells"), dist, left).mle()
             yield _with_columns(batch, "cells", dict(zip(("p", "nll", "var", "var_sandwich"), found, strict=True)))
 
     return table.mapInArrow(solve, schema)
@@ -156,7 +175,7 @@ def lrt(fits: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "allele", "groups", "n_all", "p_all", stat.alias("stat")).withColumn("pval", special.chi2_sf(F.col("stat"), (F.col("groups") - 1).cast("double")))
 
 
-def pairwise(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4) -> DataFrame:
+def pairwise(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4, dist: str = "nb") -> DataFrame:
     """Each group's own p against the p of all groups, on the group's cells; an undefined test gives 1."""
     pooled = fits.where(F.col("group") == ALL).select(*keys, "allele", F.col("p").alias("p_all"))
     rows = cells.where(F.col("group") != ALL).join(fits.select(*keys, "allele", "group", "p", F.col("nll").alias("own")), [*keys, "allele", "group"]).join(pooled, [*keys, "allele"])
@@ -165,7 +184,7 @@ def pairwise(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4)
     def at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pooled = batch.column("p_all").to_numpy(zero_copy_only=False)
-            yield _with_columns(batch, "cells", {"at": Cells(batch.column("cells")).nll(pooled, left)})
+            yield _with_columns(batch, "cells", {"at": Cells(batch.column("cells"), dist, left).nll(pooled)})
 
     stat = F.greatest(2 * (F.col("at") - F.col("own")), F.lit(0.0))
     return rows.mapInArrow(at, schema).select(*keys, "allele", "group", "n", "p", "p_all", F.coalesce(special.chi2_sf(stat, 1), F.lit(1.0)).alias("pval"))
@@ -241,54 +260,100 @@ def anova_wide(tests: DataFrame, pairs: DataFrame, keys: list[str], groups: list
     return out.join(per, keys)
 
 
-def _log2_moments(p: float, r: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of log2 X given X > left, for each r; X is negative binomial (r, p).
-
-    The support is summed to 40 standard deviations above the largest mean. Means above
-    ``WIDE`` have the gamma limit's moments, whose error is below 1 / WIDE.
-    """
-    mean, sd = r * p / (1 - p), np.sqrt(r * p) / (1 - p)
-    top = int(np.ceil((mean + 40 * sd).max())) + left + 50
-    if top > WIDE:
-        y = np.linspace(-40, 12, 20_000)  # log of a unit gamma variate
-        lw = r[:, None] * y - np.exp(y)
-        w = np.exp(lw - lw.max(axis=1, keepdims=True))
-        w /= w.sum(axis=1, keepdims=True)
-        first = w @ y
-        return (first + np.log(p / (1 - p))) / np.log(2), (w @ y**2 - first**2) / np.log(2) ** 2
-    x = np.arange(left + 1, top + 1, dtype=float)
-    lp = np.cumsum(np.log(p * (np.arange(top) + r[:, None]) / (np.arange(top) + 1)), axis=1)[:, left:]
-    w = np.exp(lp - lp.max(axis=1, keepdims=True))
-    w /= w.sum(axis=1, keepdims=True)
-    first = w @ np.log2(x)
-    return first, w @ np.log2(x) ** 2 - first**2
-
-
-def entropy_effect(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4) -> DataFrame:
-    """Mean over observations of E[log2 X] under the group's p less that under all groups' p, and its variance."""
+def _effects(fits: DataFrame, cells: DataFrame, keys: list[str], left: int, dist: str, names: str, effect) -> DataFrame:
+    """keys, allele, group and what ``effect`` makes of the moments under the group's p and under all groups' p."""
     pooled = fits.where(F.col("group") == ALL).select(*keys, "allele", F.col("p").alias("p_all"))
     rows = cells.where(F.col("group") != ALL).join(fits.select(*keys, "allele", "group", "p"), [*keys, "allele", "group"]).join(pooled, [*keys, "allele"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "cells") + "".join(f", {c} double" for c in names.split())
 
-    @F.pandas_udf("es double, es_var double")
-    def effect(c: pd.Series, p: pd.Series, q: pd.Series) -> pd.DataFrame:
-        out = []
-        for cells, a, b in zip(c, p, q, strict=True):
-            r, n = np.array([[v["r"], v["n"]] for v in cells], float).T
-            (m1, v1), (m2, v2) = (_log2_moments(min(max(z, 1e-12), 1 - 1e-12), r, left) for z in (a, b))
-            out.append(((n @ (m1 - m2)) / n.sum(), (n @ (v1 + v2)) / n.sum() ** 2))
-        return pd.DataFrame(out, columns=["es", "es_var"])
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = Cells(batch.column("cells"), dist, left)
+            own, both = (moments.log2_moments(c.likelihood, batch.column(p).to_numpy(zero_copy_only=False)[c.problem]) for p in ("p", "p_all"))
+            yield _with_columns(batch, "cells", dict(zip(names.split(), effect(c, own, both), strict=True)))
 
-    return rows.select(*keys, "allele", "group", effect("cells", "p", "p_all").alias("e")).select(*keys, "allele", "group", "e.*")
+    return rows.mapInArrow(solve, schema).select(*keys, "allele", "group", *names.split())
 
 
-def mean_effect(fits: DataFrame, keys: list[str]) -> DataFrame:
-    """log2 ratio of the NB means p / (1 - p) under the group's p and all groups' p."""
-    pooled = fits.where(F.col("group") == ALL).select(*keys, "allele", F.col("p").alias("p_all"))
-    odds = lambda p: p / (1 - p)
-    return fits.where(F.col("group") != ALL).join(pooled, [*keys, "allele"]).select(*keys, "allele", "group", (F.log2(odds(F.col("p"))) - F.log2(odds(F.col("p_all")))).alias("es"))
+def entropy_effect(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4, dist: str = "nb") -> DataFrame:
+    """Mean over observations of E[log2 X] under the group's p less that under all groups' p, and its variance."""
+
+    def effect(c: Cells, own: moments.Moments, both: moments.Moments) -> tuple[np.ndarray, np.ndarray]:
+        n = c.total(c.n)
+        return c.total(c.n * (own.first - both.first)[c.of]) / n, c.total(c.n * (own.variance + both.variance)[c.of]) / n**2
+
+    return _effects(fits, cells, keys, left, dist, "es es_var", effect)
+
+
+def mean_effect(fits: DataFrame, cells: DataFrame, keys: list[str], left: int = 4, dist: str = "nb") -> DataFrame:
+    """Mean over observations of log2 of the truncated mean under the group's p less that under all groups' p.
+
+    A beta negative binomial whose mean is infinite ((1 - p) k at most one) gives null.
+    """
+
+    def effect(c: Cells, own: moments.Moments, both: moments.Moments) -> tuple[np.ndarray]:
+        with np.errstate(all="ignore"):
+            each = np.log2(own.mean) - np.log2(both.mean)
+        return (c.total(c.n * np.where(np.isfinite(each), each, np.nan)[c.of]) / c.total(c.n),)
+
+    return _effects(fits, cells, keys, left, dist, "es", effect)
 
 
 def line_adjusted_r(bad: Column, r: Column, w: Column, left: int = 4) -> Column:
     """r scaled by m1 / (w * m1 + (1 - w) * m2), the truncated NB means of both modes; unchanged at BAD 1."""
     m1, m2 = score.nb_mean(r, bad / (bad + 1), left), score.nb_mean(r, 1 / (bad + 1), left)
     return F.when(bad != 1, r * m1 / (w * m1 + (1 - w) * m2)).otherwise(r)
+
+
+#: Columns of both alleles in a table of difference tests.
+TESTED = ["n_control", "n_test", "p_control", "p_test", "std_control", "std_test", "pval"]
+
+
+def solve(grouped: DataFrame, keys: list[str], params: DataFrame | None = None, dist: str = "nb", left: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Fits of all problems of ``grouped``, and their cells; both are written, as tests use them more than once."""
+    cells = settle(problems(grouped, keys, params, dist), "problems")
+    return settle(fit_p(cells, left, dist), "fits"), cells
+
+
+def shared_snvs(grouped: DataFrame, keys: list[str], groups: int = 2) -> DataFrame:
+    """Observations of keys (SNVs in one BAD) that so many groups have."""
+    met = grouped.groupBy(*keys).agg(F.count_distinct("group").alias("__k")).where(F.col("__k") >= groups)
+    return grouped.join(met.select(*keys), keys, "left_semi")
+
+
+def count_effect(grouped: DataFrame, control: str, test: str, keys: list[str] = SNV) -> DataFrame:
+    """es_count: the mean of log2 alt / ref over the test group's observations less that over the control's."""
+    ratio = F.log2("alt_count") - F.log2("ref_count")
+    mean = lambda g: F.avg(F.when(F.col("group") == g, ratio))
+    return grouped.groupBy(*keys).agg((mean(test) - mean(control)).alias("es_count"))
+
+
+def difftest(grouped: DataFrame, control: str, test: str, params: DataFrame | None = None, dist: str = "nb", method: str = "wald", **options) -> DataFrame:
+    """Tests of two groups' observations: one row per SNV and BAD that both have, with both
+    alleles' results, their false discovery rates, the derived columns and es_count.
+
+    ``grouped``: ``with_groups`` of disjoint groups. ``method``: wald (``options`` are those
+    of ``wald``) or lrt. ``params`` and ``dist`` are those of ``problems``.
+    """
+    keys = [*SNV, "bad"]
+    both = settle(shared_snvs(grouped.where(F.col("group").isin(control, test)), keys), "groups")
+    fits, _ = solve(both, keys, params, dist)
+    found = lrt_pair(fits, keys, control, test) if method == "lrt" else wald(fits, keys, control, test, **options)
+    wide = alleles_wide(found, keys, TESTED)
+    for a in ("ref", "alt"):
+        wide = combine.fdr(wide, f"{a}_pval", f"{a}_fdr_pval")
+    return derived(wide).join(count_effect(both, control, test), SNV)
+
+
+def anova(grouped: DataFrame, groups: list[str], min_samples: int = 2, min_groups: int = 2, min_cover: int = 0, params: DataFrame | None = None, dist: str = "nb", effect: str = "entropy") -> DataFrame:
+    """Test of several groups: one row per SNV and BAD, with each group's p, test against all
+    groups' p and effect size (``effect``: entropy or mean), and false discovery rates."""
+    keys = [*SNV, "bad"]
+    kept = gate_groups(gate_samples(grouped.where(F.col("group").isin(groups)), min_samples, min_cover), min_groups)
+    fits, cells = solve(kept, keys, params, dist)
+    sizes = entropy_effect(fits, cells, keys, dist=dist) if effect == "entropy" else mean_effect(fits, cells, keys, dist=dist)
+    pairs = combine.fdr(pairwise(fits, cells, keys, dist=dist), "pval", "fdr_pval", by=["group", "allele"]).join(sizes, [*keys, "allele", "group"])
+    wide = anova_wide(lrt(fits, keys), pairs, keys, groups)
+    for a in ("ref", "alt"):
+        wide = combine.fdr(wide, f"{a}_pval", f"{a}_fdr_pval")
+    return wide
