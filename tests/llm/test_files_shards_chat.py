@@ -1,12 +1,13 @@
 import hashlib
-import itertools
 import json
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 from tiltscale.llm import chat, shards, token_files
 from tiltscale.llm.queries import op1_token_files, op8_hilbert_shards, op9_chat_format
@@ -86,6 +87,33 @@ def test_shards_hold_the_rows_law(spark, odd, empty):
     assert shards.shard_documents(empty, 8).count() == 0
 
 
+def plain_bins(values, room):
+    known = sorted({v for v in values if v is not None})
+    return [0 if v is None else (known.index(v) + 1) * room // (len(known) + 1) for v in values]
+
+
+@pytest.mark.parametrize("sources", [3, 300])
+def test_placement_is_that_of_plain_code(spark, sources):
+    rng = np.random.default_rng(sources)
+    texts = ["x" * int(n) for n in rng.integers(0, 400, 1500)]
+    rows = [(int(i), t, [None, "de", "en"][i % 3], f"host{(i * 7) % sources:04d}" if i % 50 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in shards.shard_documents(docs, 8, 8).collect()}
+    scale = [math.log2(len(t.encode()) + 2) for t in texts]
+    low, high = min(scale), max(scale)
+    dims = list(zip(plain_bins([r[3] for r in rows], 256), plain_bins([r[2] for r in rows], 256), [min(255, math.floor((v - low) / (high - low) * 256)) for v in scale], strict=True))
+    index = [got[i].hilbert for i in range(len(rows))]
+    # points and places go together; that the curve's steps are of one cell is tested above
+    assert all((dims[i] == dims[j]) == (index[i] == index[j]) for i in range(0, 1500, 7) for j in range(0, 1500, 11))
+    order = sorted(range(len(rows)), key=lambda i: (index[i], i))
+    for place, i in enumerate(order):
+        shard = place * 8 // len(rows)
+        assert (got[i].shard, got[i].slot) == (shard, place - -(-shard * len(rows) // 8))
+    kept = spark.createDataFrame([(1, "a", "x", "s", 5, 9)], "doc_id long, text string, lang string, source string, slot int, shard int")
+    # a column named slot stays
+    assert shards.cut_runs(shards._on_curve(kept, 8, ["doc_id", "slot"]), ["__hilbert", "doc_id", "__crc"], 8).first().slot == 5
+
+
 def test_shard_files_prune(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("size", F.octet_length("text"))
     shards.write_shards(docs, str(tmp_path / "out"))

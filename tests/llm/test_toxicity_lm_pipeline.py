@@ -190,7 +190,6 @@ def test_gradient_follows_the_likelihood(monkeypatch):
     rng, k = np.random.default_rng(2), lm_score.CLASSES
     lengths = np.array([40, 23])
     targets, model = rng.integers(0, 12, 63), random_model(3)
-    monkeypatch.setattr(lm_score, "TRAINED", 1)
     flat, steps = model.flat(), {}
     lm_score.train(flat, targets, lengths, rate=1.0)
     moved = lm_score.train(flat, targets, lengths, rate=1.0) - flat  # the first Adam step is the gradient's sign

@@ -41,8 +41,8 @@ BLOCK = 16_000_000
 CLASSES, FIRST_CLASSES = 192, 76
 #: Width of queries and keys, and ids of a unit.
 WIDTH, UNIT = 16, 16
-#: Rounds of local passes; each training text is in one of them, with every second of its units.
-ROUNDS, TRAINED = 2, 2
+#: Rounds of local passes; each training text is in one of them, with all of its units.
+ROUNDS = 2
 #: Hash buckets of the ids before an id, and as many of those after it, that classes are told by.
 BUCKETS = 8
 #: Ids that are held in memory at a time, units of a training step, and units scored at a time.
@@ -320,9 +320,9 @@ def class_scores(model: Attention, targets: np.ndarray, lengths: np.ndarray) ->
 
 
 def train(flat: np.ndarray, targets: np.ndarray, lengths: np.ndarray, rate: float = 0.02) -> np.ndarray:
-    """One pass of Adam over every TRAINED-th unit of the texts' classes, from the weights ``flat``; returns new weights."""
+    """One pass of Adam over the units of the texts' classes, from the weights ``flat``; returns new weights."""
     b, root = Batches(targets, lengths), np.sqrt(WIDTH)
-    order = np.random.default_rng(len(targets)).permutation(np.arange(0, len(b.start), TRAINED))
+    order = np.random.default_rng(len(targets)).permutation(len(b.start))
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     away, k = np.maximum(AWAY, 0).ravel(), CLASSES + 1
     for step, first in enumerate(range(0, len(order), BATCH), 1):

@@ -79,35 +79,17 @@ def numeric_bin(df: DataFrame, value: Column, bits: int) -> Column:
     return F.least(F.lit(top - 1), F.floor((scale - low) / (high - low) * top)).cast("int")
 
 
-def category_bin(df: DataFrame, column: str, bits: int) -> Column:
-    """The value's rank, spread over the bins, if the column has fewer than 2**bits values, else a hash bin; null: bin 0.
-
-    Spread ranks differ in their high bits, which part the curve first. At most 2**bits
-    values reach the driver.
-    """
-    room = 1 << bits
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(room).collect()]
-    if len(values) < room:
-        ranks = {v: (i + 1) * room // (len(values) + 1) for i, v in enumerate(sorted(values))}
-        if not ranks:
-            return F.lit(0)
-        pairs = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
-        return F.coalesce(F.element_at(pairs, F.col(column)), F.lit(0))
-    return F.when(F.col(column).isNull(), 0).otherwise(F.pmod(F.xxhash64(column), F.lit(room))).cast("int")
-
-
-def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
-    """Add ``shard`` and ``slot``: runs of the order whose row counts differ by one at most.
+def with_ranks(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Add ``__rank`` (from 0) in the given order, and ``__total``, the number of rows.
 
     Rows are range-partitioned and sorted once; each partition's first rank is the prefix
     sum of the counts before it, a table of one row per partition.
     """
-    spark = df.sparkSession
-    n = shared.partitions(spark)
+    n = shared.partitions(df.sparkSession)
     # partition number and row number within it, kept in a written table so that a lost task cannot number anew
     placed = shared.materialize(
-        df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
-        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
         .withColumn("__place", F.monotonically_increasing_id())
         .withColumn("__part", F.shiftright("__place", 33))
         .withColumn("__row", F.col("__place").bitwiseAND((1 << 33) - 1))
@@ -117,11 +99,33 @@ def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
-    ranked = placed.join(F.broadcast(bases), "__part").withColumn("__rank", F.col("__base") + F.col("__row"))
+    return placed.join(F.broadcast(bases), "__part").withColumn("__rank", F.col("__base") + F.col("__row")).drop("__part", "__row", "__base")
+
+
+def category_bin(df: DataFrame, column: str, bits: int) -> Column:
+    """The value's rank among the column's n distinct values, spread over the bins: (rank + 1) * 2**bits // (n + 1); null: bin 0.
+
+    So values keep their order however many there are. Spread ranks differ in their high
+    bits, which part the curve first. The least value of each bin, at most 2**bits, reach the driver.
+    """
+    room = 1 << bits
+    values = with_ranks(df.select(F.col(column).alias("v")).where("v IS NOT NULL").distinct(), [F.col("v")])
+    bins = values.groupBy(F.expr(f"CAST((__rank + 1) * {room} DIV (__total + 1) AS INT)").alias("bin")).agg(F.min("v").alias("v"))
+    found = sorted((r["bin"], r["v"]) for r in bins.collect())
+    if not found:
+        return F.lit(0)
+    firsts, numbers = (F.array(*[F.lit(x) for x in side]) for side in ([v for _, v in found], [b for b, _ in found]))
+    at = F.size(F.filter(firsts, lambda v: v <= F.col(column)))
+    return F.when(F.col(column).isNull(), 0).otherwise(F.get(numbers, at - 1)).cast("int")
+
+
+def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """Add ``__shard`` and ``__slot``: runs of the order whose row counts differ by one at most."""
+    ranked = with_ranks(df, [F.col(c).asc_nulls_first() for c in order])
     return (
-        ranked.withColumn("shard", F.expr(f"CAST(__rank * {shards} DIV __total AS INT)"))
-        .withColumn("slot", F.col("__rank") - F.expr(f"(CAST(shard AS BIGINT) * __total + {shards - 1}) DIV {shards}"))
-        .drop("__part", "__row", "__base", "__total", "__rank")
+        ranked.withColumn("__shard", F.expr(f"CAST(__rank * {shards} DIV __total AS INT)"))
+        .withColumn("__slot", F.col("__rank") - F.expr(f"(CAST(__shard AS BIGINT) * __total + {shards - 1}) DIV {shards}"))
+        .drop("__total", "__rank")
     )
 
 
@@ -147,7 +151,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 8) -> DataFram
     """
     rows = _on_curve(docs, bits, ["doc_id", "source", "lang"])
     placed = cut_runs(rows, ["__hilbert", "doc_id", "__crc"], shards)
-    return placed.withColumnsRenamed({"__size": "size", "__crc": "text_crc32", "__hilbert": "hilbert"})
+    return placed.withColumnsRenamed({"__size": "size", "__crc": "text_crc32", "__hilbert": "hilbert", "__shard": "shard", "__slot": "slot"})
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = 8) -> None:
@@ -157,7 +161,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = 8) ->
     Whole rows are sorted once and cut where they lie, so rows of null or repeated ids are
     written as they are. An empty table writes no shard.
     """
-    rows = cut_runs(_on_curve(docs, bits, [c for c in docs.columns if c not in ("shard", "slot")]), ["__hilbert", "doc_id", "__crc"], shards)
+    rows = cut_runs(_on_curve(docs, bits, [c for c in docs.columns if c != "shard"]), ["__hilbert", "doc_id", "__crc"], shards)
     n = shared.partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
-    ordered.select(*[c for c in docs.columns if c in rows.columns and c not in ("shard", "slot")], "shard").write.partitionBy("shard").parquet(path)
+    ordered = rows.repartitionByRange(n, "__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    ordered.select(*[c for c in docs.columns if c != "shard"], F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(path)
