@@ -344,8 +344,8 @@ def _genotypes(s, d):
     key = F.col("p_partkey")
     base = lambda letters: F.substr(F.lit(letters), (key % 4 + 1).cast("int"), F.lit(1))
     variants = fx.table(s, d, "part").select(F.concat(F.lit("chr"), (key % 22 + 1).cast("string")).alias("contig"), key.alias("start"), base("ACGT").alias("ref"), F.when(key % 50 == 49, "TA").otherwise(base("CGTA")).alias("alt"))
-    # at most twelve individuals
-    geno = variants.crossJoin(F.broadcast(people.limit(12))).withColumn("gt", (F.col("start") % 3 - F.col("individual") % 2).cast("int"))
+    # at most twelve individuals, as their numbers are taken modulo twelve
+    geno = variants.crossJoin(F.broadcast(people)).withColumn("gt", (F.col("start") % 3 - F.col("individual") % 2).cast("int"))
     return geno, people.select("individual", F.col("individual").alias("sample"))
 
 
