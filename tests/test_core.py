@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tiltscale.functions import moments, special, truncated
-from tiltscale.operators import combine, diff, export, fit, ingest, qc, score
+from tiltscale.operators import combine, diff, export, fit, ingest, lines, qc, score
 from tiltscale.queries import registry
 from tiltscale.sources import files
 
@@ -360,6 +360,41 @@ def test_windows_are_fitted_and_scored(spark):
     assert 0 < {r.name: r.est for r in loose.collect()}["w"] < 1
 
 
+@pytest.mark.parametrize("layout", ["windows", "slices"])
+def test_lines_are_drawn_to_their_neighbours(spark, layout):
+    """no likelihood is lost beyond the tolerance, and the lines vary less."""
+    cells = [(2.0, "ref", int(s), int(x), int(n)) for x, s, n in zip(*(lambda c: (c.x, c.s, c.n))(drawn(9, 20_000, 0.8, 2.0, 0.7, 2.0)), strict=True)]
+    table = spark.createDataFrame(cells, "bad double, allele string, slice int, x int, n int")
+    windows = (qc.slice_windows(table, 4000, 5) if layout == "windows" else fit.slice_window(table)).cache()
+    fits = fit.fit_windows(table, windows).cache()
+    moved = lines.adjust_lines(table, windows, fits, tolerance=1e-6).cache()
+    assert moved.count() == fits.count() and moved.where("adj_nll > nll + 1e-6 * abs(nll) + 1e-9").count() == 0
+    before, after = ({(r.slice, r.name): r.est for r in f.collect()} for f in (fits, moved))
+    assert {k: v for k, v in before.items() if k[1] == "w"} == {k: v for k, v in after.items() if k[1] == "w"}
+    slices = sorted({k[0] for k in before})
+    c = sum(q[2] * q[4] for q in cells) / sum(q[4] for q in cells)
+    variation = lambda t: sum((c * (t[b, "b"] - t[a, "b"])) ** 2 + (t[b, "mu"] - t[a, "mu"]) ** 2 for a, b in zip(slices, slices[1:], strict=False))
+    assert variation(after) < (1 if layout == "windows" else 0.6) * variation(before)
+    for r in moved.where("name = 'b'").collect():  # the stated likelihood is that of the moved line
+        lo, hi = windows.where(F.col("centre") == r.slice).select("lo", "hi").first()
+        held = [c for c in cells if lo <= c[2] <= hi]
+        mine = fit.WindowCells(*(np.array([c[i] for c in held], float) for i in (3, 2, 4)), 4)
+        line = {"b": after[r.slice, "b"], "mu": after[r.slice, "mu"], "w": after[r.slice, "w"], "p1": 2 / 3, "p2": 1 / 3, "mu_k": 0.0, "b_k": 0.0}
+        assert mine.nll(line) == pytest.approx(r.adj_nll, rel=1e-9)
+    both = lines.adjusted_logliks(table, fits, moved).agg(F.sum("loglik").alias("a"), F.sum("adj_loglik").alias("b"), F.sum("penalty").alias("c")).first()
+    assert both.c == pytest.approx(both.a - both.b, abs=1e-6)
+    fixed = fit.fit_windows(table, windows, fixed={"b": 1.0, "mu": 0.0})
+    assert {r.est for r in lines.adjust_lines(table, windows, fixed).where("name = 'b'").collect()} == {1.0}
+
+
+def test_line_mode_takes_the_slice_nearest_to_the_mean(spark):
+    obs = spark.createDataFrame([("c", 1, "A", 2.0, "g", x, s) for x, s in ((9, 10), (9, 10), (7, 13), (8, 20))], "chrom string, start int, alt string, bad double, group string, ref_count int, alt_count int")
+    params = spark.createDataFrame([(2.0, a, s, 0.5, float(s), 2.0, 3.0) for a in ("ref", "alt") for s in (5, 13, 16)], "bad double, allele string, slice int, b double, mu double, mu_k double, b_k double")
+    got = {(r.slice, r.at): (r.r, r.k) for r in lines.line_params(obs, [*diff.SNV, "bad"], params).where("allele = 'ref' AND group = 'g'").collect()}
+    # distinct cells: the mean of 10, 13 and 20 is 14.33, so 13 is nearest
+    assert got == {(s, 13): (pytest.approx(13 + 0.5 * s), pytest.approx(2 + 3 * math.log(s))) for s in (10, 13, 20)}
+
+
 def test_symmetrify_is_stable(spark):
     counts = spark.createDataFrame([(1.0, 5, 7, 3), (1.0, 7, 5, 4), (1.0, 6, 6, 5), (1.0, 9, 8, 1)], "bad double, ref_count int, alt_count int, n long")
     once = ingest.symmetrify(counts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import combine, fit, ingest
+from ..operators import fit, ingest, lines
 from ..operators import diff as op
 from ..sources.store import new_dir, settle, write_tsv
 from . import mle
@@ -133,6 +133,36 @@ _PLAIN = [f"{a}_{f}" for a in ("ref", "alt") for f in (*op.TESTED[2:], "fdr_pval
 _COUNTS = ", ".join(f"{a}_{c}" for a in ("ref", "alt") for c in ("n_control", "n_test"))
 
 
+#: A line every fifth slice, made up.
+_LINES = "SELECT DISTINCT bad, allele, slice::INT AS node, 1.0::DOUBLE + slice % 3 AS b, slice / 10::DOUBLE AS mu, 0.9::DOUBLE AS slice_power, bad * 10 AS mu_k, 0.5::DOUBLE AS b_k, 0.7::DOUBLE AS w FROM side WHERE slice % 5 = 0"
+
+
+def _line_mode(s, d):
+    g = two(s, d)
+    at = ingest.orient(ingest.count_table(g)).select("bad", "allele", "slice").distinct().where("slice % 5 = 0")
+    made = at.select("*", (F.lit(1.0) + F.col("slice") % 3).alias("b"), (F.col("slice") / 10).alias("mu"), F.lit(0.9).alias("slice_power"), (F.col("bad") * 10).alias("mu_k"), F.lit(0.5).alias("b_k"), F.lit(0.7).alias("w"))
+    return _rounded(lines.line_params(g, KEYS, made))
+
+
+R.add(
+    "c8_line_mode",
+    _line_mode,
+    _TWO + f""", side AS (
+  SELECT DISTINCT {_K}, "group", 'ref' AS allele, ref_count AS x, alt_count AS slice FROM two UNION SELECT {_K}, "group", 'alt', alt_count, ref_count FROM two
+), every AS (
+  SELECT * FROM side UNION SELECT * REPLACE ('__all__' AS "group") FROM side
+), line AS ({_LINES}), mean AS (
+  SELECT {_K}, allele, "group", avg(slice) AS m FROM every GROUP BY ALL
+), near AS (
+  SELECT mean.*, l.node FROM mean JOIN line l USING (bad, allele) QUALIFY row_number() OVER (PARTITION BY {_K}, allele, "group" ORDER BY l.node = round_even(m, 0) DESC, abs(l.node - m), l.node) = 1
+), raw AS (
+  SELECT DISTINCT chrom, start, alt, every.bad, every.allele, "group", every.slice, near.node, l.mu + l.b * pow(every.slice, slice_power) AS r, mu_k + b_k * ln(every.slice) AS k, w
+  FROM every JOIN near USING ({_K}, allele, "group") JOIN line l ON l.bad = near.bad AND l.allele = near.allele AND l.node = near.node
+), modes AS (SELECT *, {_nb_mean_sql('(bad / (bad + 1))')} AS m1, {_nb_mean_sql('(1 / (bad + 1))')} AS m2 FROM raw)
+SELECT {_K}, allele, "group", slice, node AS at, round(CASE WHEN bad <> 1 THEN r * m1 / (w * m1 + (1 - w) * m2) ELSE r END + 3e-11, 7) + 0 AS r, round(k + 3e-11, 7) + 0 AS k FROM modes""",
+)
+
+
 def difftest(s, d, **options):
     return op.difftest(grouped(s, d, ("control", "test")), "control", "test", **options)
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import combine, export, fit, ingest, qc, score
+from ..operators import combine, export, fit, ingest, lines, qc, score
 from ..sources import files, store
 from .combine import SCORED, _combined_sql, _scored
 from .combine import scores as binom_scores
 from .common import OBS, REC, Registry, counted, observed
-from .score import _PAIRS, P1, P2, _pmf_table
+from .score import _PAIRS, _SCORES, P1, P2, _pmf_table
 
 R = Registry()
 KEYS = ["bad", "allele", "slice"]
@@ -127,6 +127,12 @@ _STATS = (
     f"SELECT bad, allele, slice, n, {_SIX.format('chi2')} AS chi2, {_SIX.format('rmsea')} AS rmsea FROM (SELECT bad, allele, slice, CAST(total AS BIGINT) AS n, chi2, sqrt(greatest(chi2 / greatest(cells, 1) - 1, 0) / greatest(total - 1, 1)) AS rmsea FROM m)"
 )
 R.add("d24_fit_indices", _stats, _STATS)
+R.add(
+    "d24_log_likelihoods",
+    lambda s, d: lines.slice_logliks(oriented(s, d), score.conservative(oriented(s, d)).withColumn("w", F.lit(0.7))).withColumn("loglik", F.round(F.col("loglik") + 3e-11, 6)),
+    _PAIRS + _SCORES + """, o AS (SELECT bad, 'ref' AS allele, alt_count AS slice, ref_count AS x, n FROM counts UNION ALL SELECT bad, 'alt', ref_count, alt_count, n FROM counts)
+    SELECT bad, allele, slice, CAST(sum(n) AS BIGINT) AS n, round(sum(n * ln(0.7 * s1.pmf + 0.3 * s2.pmf)) + 3e-11, 6) + 0 AS loglik FROM o JOIN s1 USING (bad, allele, slice, x) JOIN s2 USING (bad, allele, slice, x) GROUP BY bad, allele, slice""",
+)
 R.add("a9_export_fit_indices", lambda s, d: _written(s, _stats(s, d), ["bad", "allele"]).select(F.col("bad").cast("double").alias("bad"), "allele", "slice", F.col("n").cast("long").alias("n"), F.col("chi2").cast("double").alias("chi2"), F.col("rmsea").cast("double").alias("rmsea")), _STATS)
 _RAW = ("ref_es", "alt_es", "ref_pval", "alt_pval", "es", "pval")
 _BETTER = "CASE WHEN ref_pval < alt_pval THEN ref_{0} ELSE alt_{0} END"
@@ -316,6 +322,24 @@ R.add("f16_standard_errors", lambda s, d: fit.fit_windows(oriented(s, d), fit.li
 R.add("f19_estimate_p", lambda s, d: fit.fit_windows(oriented(s, d), fit.line_window(oriented(s, d)), estimate_p=True))
 
 
+def _adjusted(s, d):
+    """Fits of windows, and the same with lines drawn to those before them."""
+    o, windows = oriented(s, d), _windows(s, d)
+    fits = store.settle(fit.fit_windows(o, windows), "fits")
+    return o, fits, lines.adjust_lines(o, windows, fits)
+
+
+R.add("f19_adjust_line", lambda s, d: _adjusted(s, d)[2])
+
+
+def _adjusted_logliks(s, d):
+    o, fits, drawn = _adjusted(s, d)
+    return lines.adjusted_logliks(o, fits, store.settle(drawn, "drawn"))
+
+
+R.add("f19_adjusted_loglik", _adjusted_logliks)
+
+
 def _project(s, d):
     """Fitted windows of large BADs, the strategy's of small ones, at every slice."""
     o = oriented(s, d)
