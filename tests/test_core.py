@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tiltscale.functions import moments, special, truncated
 from tiltscale.operators import combine, diff, export, fit, ingest, lines, qc, score
 from tiltscale.queries import registry
-from tiltscale.sources import files
+from tiltscale.sources import files, store
 
 
 def test_special_values(spark):
@@ -502,3 +502,31 @@ def test_false_discovery_rates_in_many_ranges(spark):
     want = dict(zip(order.tolist(), np.minimum.accumulate((order * len(p) / rank)[::-1])[::-1].clip(max=1).tolist(), strict=True))
     for parts in (1, 7, 200):
         assert {r.p: r.q for r in combine.fdr(df, "p", "q", parts=parts).collect()} == pytest.approx(want)
+
+
+def test_stored_sets_and_their_groups(spark):
+    """A12 and G10: the default set, the only set, a named one, and the groups of named ones."""
+    table = lambda *files: spark.createDataFrame([(f,) for f in files], "scorefile string")
+    one, two = store.new_dir(spark, "sets"), store.new_dir(spark, "sets")
+    store.upsert(table("a", "b"), one, "01")
+    for name, part in ((None, table("c")), ("x", table("d", "d"))):
+        store.upsert(part, two, name)
+    files = lambda path, name=None: {r.scorefile for r in store.chosen_set(spark, path, name).collect()}
+    assert files(one) == files(one, "01") == {"a", "b"} and files(two) == {"c"} and files(two, "x") == {"d"}
+    with pytest.raises(KeyError, match="no set y"):
+        files(two, "y")
+    store.upsert(table("e"), one, "1")
+    with pytest.raises(KeyError, match="several sets"):
+        files(one)
+    assert files(one, "01") == {"a", "b"} and files(one, "1") == {"e"}  # names stay text
+    assert {tuple(r) for r in diff.stored_groups(spark, two).collect()} == {("x", "d")}
+    assert {r.scorefile for r in export.stored_members(spark, [two, two]).collect()} == {"[0] c", "[1] c"}
+
+
+def test_binomial_tests_of_large_counts_and_small_ones(spark):
+    counts = spark.createDataFrame([(2.0, 5, 5), (2.0, 400, 500), (2.0, 4, 9), (2.0, 400, 500)], "bad double, ref_count int, alt_count int")
+    got = {(r.ref_count, r.alt_count): r for r in score.binomial_test(counts, w=0.7).collect()}
+    assert set(got) == {(5, 5), (400, 500)} and got[5, 5].ref_pval == got[5, 5].alt_pval == 1.0
+    whole = lambda p: [math.exp(math.lgamma(901) - math.lgamma(i + 1) - math.lgamma(901 - i) + i * math.log(p) + (900 - i) * math.log(1 - p)) for i in range(5, 896)]
+    want = sum(w * sum(whole(p)[395:]) / sum(whole(p)) for w, p in ((0.7, 2 / 3), (0.3, 1 / 3)))
+    assert got[400, 500].ref_pval == pytest.approx(want, rel=1e-9)

@@ -68,8 +68,10 @@ def coverage_thresholds(scores: DataFrame, cutoff: float = 0.05) -> DataFrame:
 
 def gate_any(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """SNVs with any replicate at its BAD's threshold, with all their replicates."""
-    met = scored.join(F.broadcast(thresholds), "bad").where(F.col("ref_count") + F.col("alt_count") >= F.col("threshold"))
-    return scored.join(met.select(*SNV).distinct(), SNV, "left_semi")
+    # one pass: every row's SNV tells whether any of its replicates is at the threshold
+    rows = scored.join(F.broadcast(thresholds), "bad", "left")
+    any_met = F.max(F.coalesce(F.col("ref_count") + F.col("alt_count") >= F.col("threshold"), F.lit(False))).over(Window.partitionBy(*SNV))
+    return rows.withColumn("__met", any_met).where("__met").drop("threshold", "__met").select(*scored.columns)
 
 
 def gate_each(scored: DataFrame, thresholds: DataFrame, on: list[str]) -> DataFrame:

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import moments, special, truncated
-from ..sources.store import settle
+from ..sources.store import read_stage, settle
 from . import combine, score
 
 ALL = "__all__"
@@ -196,6 +196,11 @@ def lrt_pair(fits: DataFrame, keys: list[str], control: str, test: str) -> DataF
     return lrt(fits.where(F.col("group").isin(control, test, ALL)), keys).select(*keys, "allele", "p_all", "pval").join(sides[0], [*keys, "allele"]).join(sides[1], [*keys, "allele"])
 
 
+def stored_groups(spark: SparkSession, path: str) -> DataFrame:
+    """group and scorefile of the named sets of a stage table of members, as earlier combines stored them; the default set is no group."""
+    return read_stage(spark, path).where("subname IS NOT NULL").select(F.col("subname").alias("group"), "scorefile").distinct()
+
+
 def require_disjoint(groups: DataFrame) -> DataFrame:
     """``groups``, if no scorefile is in two of them; else an error."""
     if both := disjoint(groups).limit(5).collect():

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import chosen_set
 from . import combine, ingest
 
 #: Endings that a scorefile's name loses.
@@ -55,3 +56,16 @@ def multi_project(projects: DataFrame, scores: DataFrame, thresholds: DataFrame,
     for a in ("ref", "alt"):
         both = combine.fdr(both, f"{a}_comb_pval", f"{a}_fdr_comb_pval")
     return combined_pvalues(both, scored, order, replicates=True)
+
+
+def stored_members(spark: SparkSession, paths: list[str], subname: str | None = None) -> DataFrame:
+    """The scorefiles, tagged with their project's number, that each project's combine of ``subname`` was made of.
+
+    ``paths``: one stage table of members (scorefile) for each project. Without ``subname`` a
+    project's default set is taken, or its only one.
+    """
+    sets = [chosen_set(spark, path, subname).select(F.concat(F.lit(f"[{i}] "), "scorefile").alias("scorefile")) for i, path in enumerate(paths)]
+    out = sets[0]
+    for more in sets[1:]:
+        out = out.unionByName(more)
+    return out.distinct()

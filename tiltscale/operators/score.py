@@ -9,6 +9,10 @@ there are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,29 +216,48 @@ def wide(scores: DataFrame) -> DataFrame:
     return ref.join(alt, ["bad", "ref_count", "alt_count"])
 
 
+def _log_pmf(y: np.ndarray, n: float, p: float, k: float | None) -> np.ndarray:
+    """Of the binomial, or with a concentration k the beta-binomial, up to a constant."""
+    choose = -special._np_lgamma(y + 1) - special._np_lgamma(n - y + 1)
+    if k is None:
+        return choose + y * np.log(p) + (n - y) * np.log1p(-p)
+    return choose + special._np_lgamma(y + p * k) + special._np_lgamma(n - y + (1 - p) * k)
+
+
 def binomial_test(counts: DataFrame, left: int = 4, w: float | None = None, k: float | None = None, p: Column | None = None) -> DataFrame:
     """Left-truncated (beta-)binomial test of both alleles over n = ref + alt.
 
     Without ``w``, or at BAD 1, one mode: p = 1/2 for the binomial, bad / (bad + 1) for
-    the beta-binomial; else the mixture w * D(p) + (1 - w) * D(1 - p).
+    the beta-binomial; else the mixture w * D(p) + (1 - w) * D(1 - p). Both counts exceed ``left``.
+
+    The distinct pairs of a (BAD, n) are one row, and its tails are running sums over n
+    numbers in the task, so what is shuffled grows with the distinct pairs and not with the support.
     """
-    dist = "binom" if k is None else "betabinom"
     b = F.col("bad")
     p = b / (b + 1) if p is None else p
     single = F.lit(True) if w is None else b == 1
     default = p if k is not None else F.lit(0.5)
-    cells = counts.select("bad", (F.col("ref_count") + F.col("alt_count")).cast("double").alias("n")).distinct()
-    if k is not None:
-        cells = cells.withColumn("k", F.lit(float(k)))
-    both = cells.select("*", F.explode(F.array(F.struct(F.lit("1").alias("mode"), F.when(single, default).otherwise(p).alias("p")), F.struct(F.lit("2").alias("mode"), F.when(single, default).otherwise(1 - p).alias("p")))).alias("m")).select("*", "m.*").drop("m")
-    keys = ["bad", "n", "mode"]
-    # both counts must exceed ``left``, so the support is left + 1 to n - left - 1
-    table = truncated(support(both, keys, dist, F.col("n")).where(F.col("x") < F.col("n") - left), keys, left, bounded=True)
-    modes = [table.where(F.col("mode") == m).select("bad", "n", F.col("x"), F.col("sf").alias(f"sf{m}"), F.col("mean").alias(f"mean{m}")) for m in "12"]
-    mixed = modes[0].join(modes[1], ["bad", "n", "x"])
     weight = 1.0 if w is None else w
-    mixed = mixed.select("bad", "n", "x", (weight * F.col("sf1") + (1 - weight) * F.col("sf2")).alias("pval"), (F.log2("x") - F.log2(weight * F.col("mean1") + (1 - weight) * F.col("mean2"))).alias("es"))
-    out = counts.select("bad", "ref_count", "alt_count").distinct().withColumn("n", (F.col("ref_count") + F.col("alt_count")).cast("double"))
-    for a in ("ref", "alt"):
-        out = out.join(mixed.select("bad", "n", F.col("x").alias(f"{a}_count"), F.col("pval").alias(f"{a}_pval"), F.col("es").alias(f"{a}_es")), ["bad", "n", f"{a}_count"])
-    return out.drop("n")
+    pairs = counts.select("bad", "ref_count", "alt_count").where((F.col("ref_count") > left) & (F.col("alt_count") > left)).distinct()
+    rows = pairs.withColumn("n", (F.col("ref_count") + F.col("alt_count")).cast("double")).groupBy("bad", "n").agg(F.sort_array(F.collect_list("ref_count")).alias("refs"))
+    rows = rows.select("bad", "n", "refs", F.when(single, default).otherwise(p).alias("p1"), F.when(single, default).otherwise(1 - p).alias("p2"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, refs = row["n"], np.array(row["refs"], np.int64)
+                y, pval, mean = np.arange(left + 1, n - left), 0.0, 0.0
+                for share, q in ((weight, row["p1"]), (1 - weight, row["p2"])):
+                    if share:
+                        mass = np.exp((lp := _log_pmf(y, n, q, k)) - lp.max())
+                        tail = np.cumsum(mass[::-1])[::-1] / mass.sum()
+                        tail[0] = 1.0
+                        pval, mean = pval + share * tail, mean + share * float(mass @ y / mass.sum())
+                alts = int(n) - refs
+                side = lambda x, pval=pval, mean=mean: (pval[x - left - 1], np.log2(x) - np.log2(mean))
+                (ref_p, ref_es), (alt_p, alt_es) = side(refs), side(alts)
+                yield pa.RecordBatch.from_pydict({
+                    "bad": np.full(len(refs), row["bad"]), "ref_count": pa.array(refs, pa.int32()), "alt_count": pa.array(alts, pa.int32()), "ref_pval": ref_p, "ref_es": ref_es, "alt_pval": alt_p, "alt_es": alt_es,
+                })
+
+    return rows.mapInArrow(solve, "bad double, ref_count int, alt_count int, ref_pval double, ref_es double, alt_pval double, alt_es double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fit, ingest, lines
 from ..operators import diff as op
-from ..sources.store import new_dir, settle, write_tsv
+from ..sources.store import new_dir, settle, upsert, write_tsv
 from . import mle
 from .common import OBS, Registry, observed
 
@@ -240,6 +240,19 @@ def _effects(s, d, effect, dist="nb"):
 
 _PAIRS = f'SELECT {_K}, allele, "group", n, {_pick(["p", "p_all", "pval"])} FROM pair'
 R.add("g10_anova", lambda s, d: _rounded(op.lrt(_three(s, d)[0], KEYS)), _fit_sql(_THREE) + "," + mle.lrt_sql(_K) + _LRT.format(_K))
+
+
+def _stored(s, d):
+    """Groups of combines that were stored under their names."""
+    path = new_dir(s, "members")
+    for name in GROUPS:
+        upsert(groups(s, [name]).select("scorefile"), path, name)
+    upsert(groups(s, list(GROUPS)).select("scorefile"), path)
+    kept = op.gate_groups(op.gate_samples(op.with_groups(observed(s, d), op.require_disjoint(op.stored_groups(s, path))), 2), 2)
+    return op.lrt(op.solve(kept, KEYS)[0], KEYS)
+
+
+R.add("g10_anova_stored_groups", lambda s, d: _rounded(_stored(s, d)), _fit_sql(_THREE) + "," + mle.lrt_sql(_K) + _LRT.format(_K))
 R.add("g11_pairwise", lambda s, d: _rounded(_pairs(s, d)), _fit_sql(_THREE) + "," + mle.pairs_sql(_K) + _PAIRS)
 R.add("g11_pairwise_betanb", lambda s, d: _rounded(_pairs(s, d, "betanb"), 6), _fit_sql(_THREE, dist="betanb") + "," + mle.pairs_sql(_K, "betanb") + _PAIRS.replace(", 7)", ", 6)"))
 R.add("g11_pairwise_mcnb", lambda s, d: _pairs(s, d, "mcnb"))

@@ -93,15 +93,23 @@ grid AS (
   SELECT id, any_value(lo) AS lo, any_value(hi) AS hi, greatest(least(any_value(p) - sum(n * slope) / sum(n * bend), any_value(hi)), any_value(lo)) AS p
   FROM (SELECT *, {bent} FROM cell JOIN b{k} USING (id)) GROUP BY id
 )"""
-    return text + f""", fit AS MATERIALIZED (
+    # only least counts: the likelihood falls with p, whose mass above the truncation then has no digits left in 1 - head
+    edge, low = ("value", "p") if dist == "nb" else (_EDGE, "CASE WHEN top = 5 THEN 1e-12 ELSE p END")
+    return text + f""", last AS MATERIALIZED (
+  SELECT id, CASE WHEN p < 2e-12 THEN 1e-12 WHEN p > 1 - 2e-12 THEN 1 - 1e-12 ELSE p END AS p FROM (SELECT id, {low} AS p FROM b{halve + newton} JOIN (SELECT id, max(x) AS top FROM cell GROUP BY id) USING (id))
+), fit AS MATERIALIZED (
   SELECT id, p, nll, CASE WHEN info > 0 AND p > 1e-12 AND p < 1 - 1e-12 THEN 1 / info END AS var, CASE WHEN info > 0 AND p > 1e-12 AND p < 1 - 1e-12 THEN squares / (info * info) END AS var_sandwich FROM (
-    SELECT id, any_value(p) AS p, -sum(n * value) AS nll, -sum(n * bend) AS info, sum(n * slope * slope) AS squares FROM (
-      SELECT *, {bent} FROM cell JOIN (SELECT id, CASE WHEN p < 2e-12 THEN 1e-12 WHEN p > 1 - 2e-12 THEN 1 - 1e-12 ELSE p END AS p FROM b{halve + newton}) USING (id)
-    ) GROUP BY id
+    SELECT id, any_value(p) AS p, -sum(n * CASE WHEN p > 1e-11 THEN value ELSE {edge} END) AS nll, -sum(n * bend) AS info, sum(n * slope * slope) AS squares
+    FROM (SELECT *, {bent} FROM cell JOIN last USING (id)) GROUP BY id
   )
 )"""
 
 
+#: The beta negative binomial's value at a vanishing p, its mass summed term by term.
+_EDGE = """(lgamma(a + x) - lgamma(a) + lgamma(b + r) - lgamma(b) - ln(list_sum(list_transform(range(5, 200),
+    lambda y: exp(lgamma(y + r) - lgamma(r) - lgamma(y + 1.0) + lgamma(a + y) - lgamma(a) + lgamma(b + r) - lgamma(b) + lgamma(k) - lgamma(k + r + y))))))"""
+
+
 def erfc(z: str) -> str:
     """Of z >= 0: one less a series of positive terms, or beyond 2.5 the continued fraction from its far end."""
     series = f"1 - coalesce(list_sum(list_transform(range(80), lambda i: exp((2 * i + 1) * ln(greatest({z}, 1e-300)) - ({z}) * ({z}) - lgamma(i + 1.5)))), 0)"

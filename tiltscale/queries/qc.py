@@ -150,28 +150,49 @@ R.add(
 _MULTI = {"mean_bad": 5, "ref_comb_pval": 4, "alt_comb_pval": 4, "ref_comb_es": 5, "alt_comb_es": 5}
 
 
-def _multi(s, d):
+def _multi(s, d, members=None):
     """Two projects; scores of every tenth reference count are missing."""
     obs = observed(s, d)
     projects = combine.union_projects([obs.where("orderkey % 2 = 1"), obs.where("orderkey % 2 = 0")])
+    if members is not None:
+        projects = projects.join(members, "scorefile", "left_semi")
     least = s.createDataFrame([(0, 25.0), (1, 40.0)], "project int, threshold double")
     out = export.multi_project(projects, binom_scores(s, d).where("ref_count % 10 <> 3"), least, ["project", "sample", "row_order"])
     back = _written(s, out)
     return back.select("chrom", F.col("start").cast("long").alias("start"), "alt", F.col("n_reps").cast("long").alias("n_reps"), "max_cover", *[F.round(F.col(c).cast("double") + 3e-8, n).alias(c) for c, n in _MULTI.items()])
 
 
-R.add(
-    "a12_export_multi_project",
-    _multi,
-    SCORED
-    + """, j AS (SELECT obs.*, coalesce(ref_pval, 1) AS ref_pval, coalesce(alt_pval, 1) AS alt_pval, coalesce(ref_es, 0) AS ref_es, coalesce(alt_es, 0) AS alt_es
-    FROM obs LEFT JOIN (SELECT * FROM scores WHERE ref_count % 10 <> 3) s USING (bad, ref_count, alt_count) WHERE ref_count + alt_count >= CASE WHEN orderkey % 2 = 1 THEN 25 ELSE 40 END)"""
-    + _combined_sql("j")
-    + """, reps AS (SELECT chrom, start, alt, count(*) AS n_reps, max(ref_count + alt_count) AS max_cover, avg(bad) AS mean_bad FROM j GROUP BY ALL)
+def _multi_sql(kept: str = "true") -> str:
+    return (
+        SCORED
+        + f""", j AS (SELECT obs.*, coalesce(ref_pval, 1) AS ref_pval, coalesce(alt_pval, 1) AS alt_pval, coalesce(ref_es, 0) AS ref_es, coalesce(alt_es, 0) AS alt_es
+    FROM obs LEFT JOIN (SELECT * FROM scores WHERE ref_count % 10 <> 3) s USING (bad, ref_count, alt_count)
+    WHERE ref_count + alt_count >= CASE WHEN orderkey % 2 = 1 THEN 25 ELSE 40 END AND {kept})"""
+        + _combined_sql("j")
+        + """, reps AS (SELECT chrom, start, alt, count(*) AS n_reps, max(ref_count + alt_count) AS max_cover, avg(bad) AS mean_bad FROM j GROUP BY ALL)
     SELECT chrom, start, alt, n_reps, max_cover, """
-    + ", ".join(f"round({c} + 3e-8, {n}) + 0 AS {c}" for c, n in _MULTI.items())
-    + " FROM comb JOIN reps USING (chrom, start, alt)",
-)
+        + ", ".join(f"round({c} + 3e-8, {n}) + 0 AS {c}" for c, n in _MULTI.items())
+        + " FROM comb JOIN reps USING (chrom, start, alt)"
+    )
+
+
+R.add("a12_export_multi_project", _multi, _multi_sql())
+
+
+def _members(s, samples):
+    return s.createDataFrame([(f"sample_{i}.tsv",) for i in samples], "scorefile string")
+
+
+def _multi_stored(s, d):
+    """The first project has one stored set, the second a default one besides another."""
+    first, second = store.new_dir(s, "members"), store.new_dir(s, "members")
+    store.upsert(_members(s, range(6)), first, "only")
+    store.upsert(_members(s, range(12)), second, "other")
+    store.upsert(_members(s, (1, 10, 11)), second)
+    return _multi(s, d, export.stored_members(s, [first, second]))
+
+
+R.add("a12_stored_subnames", _multi_stored, _multi_sql("CASE WHEN orderkey % 2 = 1 THEN sample <= 5 ELSE sample IN (1, 10, 11) END"))
 R.add("d5_scorefile_qc", lambda s, d: qc.scorefile_qc(observed(s, d)).withColumn("bias", F.round(F.col("bias") + 3e-11, 7)), OBS + "SELECT scorefile, bad, CAST(sum(ref_count + alt_count) AS BIGINT) AS cover, round(avg((ref_count > alt_count)::INT) + 3e-11, 7) AS bias FROM obs GROUP BY GROUPING SETS ((scorefile, bad), (scorefile))")
 
 
