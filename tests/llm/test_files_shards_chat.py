@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 import math
 import zlib
