@@ -237,6 +237,41 @@ def test_sketches_bound_what_sets_share():
     assert similar.most_shared(similar.sketch(same), similar.sketch(same)) >= 1000
 
 
+def test_parity_bits_bound_how_much_sets_differ():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 5, 60, 900, 40_000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        for share in (0.0, 0.7, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(-(2**63), 2**63 - 1, n // 9)]))
+            bits = np.bitwise_xor(similar.parity(a), similar.parity(b))
+            assert sum(int(x).bit_count() for x in bits.view(np.uint64)) <= len(np.setxor1d(a, b))
+    assert similar.parity(np.array([5, 5 + (1 << 33)])).any()
+
+
+@pytest.mark.parametrize("n", [40, 4000])
+def test_candidates_of_a_hot_shingle_are_few(spark, monkeypatch, n):
+    monkeypatch.setattr(similar, "FREQUENT", 10**9)  # no shingle goes last
+    first = min((f"a{i} b{i} c{i} d{i} e{i}" for i in range(3000)), key=lambda s: similar.shingles(s.encode())[0])
+    texts = [f"{first} " + " ".join(f"w{i}x{k}" for k in range(40)) for i in range(n)]
+    for i in range(9, n, 10):
+        texts[i] = " ".join([*texts[i - 1].split()[:-1], "other"])
+    assert all(similar.shingles(t.encode())[0] == similar.shingles(first.encode())[0] for t in texts[:1])
+    want = [i - (i % 10 == 9) for i in range(n)]
+    assert n > 40 or want == plain_similar(texts)
+    rows, write = {}, similar.shared.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        rows[tag] = max(rows.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar.shared, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert rows["placed"] >= n and rows["pairs"] <= 2 * n  # all meet on that shingle, and few in pairs
+
+
 def test_verbatim_reposts_count_as_documents(spark):
     own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     note = "subscribe to our letter below"
