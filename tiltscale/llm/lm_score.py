@@ -275,6 +275,19 @@ def shifted(targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return inputs
 
 
+class Room:
+    """Arrays of up to ``n`` units' pairs of places, used again by each step: fresh ones cost more than what is done with them."""
+
+    def __init__(self, n: int) -> None:
+        shape = (n, UNIT, 2 * UNIT)
+        self.at, self.to, self.a, self.r = np.empty(shape, np.intp), np.empty(shape, np.intp), np.empty(shape, np.float32), np.empty(shape, np.float32)
+
+    def values(self, values: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``values`` of each context class with each target, and the values there."""
+        to = np.add((c * CLASSES)[:, None, :], t[:, :, None], out=self.to[: len(c)])
+        return to, values.take(to, out=self.r[: len(c)], mode="clip")
+
+
 class Batches:
     """Contexts and targets of the units of texts, laid one after the other."""
 
@@ -284,14 +297,14 @@ class Batches:
         self.wanted = np.concatenate([targets.astype(np.intp), pad])
         self.start, self.first, self.used = units(lengths)
 
-    def attend(self, pick: np.ndarray | slice, pair: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    def attend(self, pick: np.ndarray | slice, pair: np.ndarray, mask: np.ndarray, room: Room) -> tuple[np.ndarray, ...]:
         """Of the units: places, context classes, own classes, targets, pairs' places in ``pair``, and the masked attention."""
         start = self.start[pick]
         places = start[:, None] + np.arange(UNIT)
         c = self.inputs[start[:, None] + np.arange(2 * UNIT)]
         own, t = c[:, UNIT:], self.wanted[places]
-        at = own[:, :, None] * (CLASSES + 1) + c[:, None, :]
-        a = pair.take(at)
+        at = np.add((own * (CLASSES + 1))[:, :, None], c[:, None, :], out=room.at[: len(start)])
+        a = pair.take(at, out=room.a[: len(start)], mode="clip")
         a *= mask
         a[self.first[pick], :, :UNIT] = 0
         a /= np.einsum("uij->ui", a)[:, :, None]
@@ -305,13 +318,13 @@ def class_scores(model: Attention, targets: np.ndarray, lengths: np.ndarray) ->
     """Natural logs of the probability of each target class, and of any class that ``opens`` a word, at its place."""
     pair, mask, own_values, values = model.tables()
     own_opens, opening = own_values[:, opens()].sum(axis=1), values[:, opens()].sum(axis=1)
-    b, out = Batches(targets, lengths), np.empty((2, len(targets)), np.float32)
+    b, out, room = Batches(targets, lengths), np.empty((2, len(targets)), np.float32), Room(SCORED)
     for at in range(0, len(b.start), SCORED):
         pick = slice(at, at + SCORED)
-        places, c, own, t, _, a = b.attend(pick, pair, mask)
+        places, c, own, t, _, a = b.attend(pick, pair, mask, room)
         last = a[:, _DIAGONAL, _DIAGONAL + UNIT].copy()
         a[:, _DIAGONAL, _DIAGONAL + UNIT] = 0
-        p = np.einsum("uij,uij->ui", a, values.take(c[:, None, :] * CLASSES + t[:, :, None]))
+        p = np.einsum("uij,uij->ui", a, room.values(values, c, t)[1])
         p += last * own_values.take(own * CLASSES + t)
         s = np.matmul(a, opening.take(c)[:, :, None])[:, :, 0] + last * own_opens.take(own)
         ok = np.arange(UNIT) < b.used[pick, None]
@@ -321,34 +334,43 @@ def class_scores(model: Attention, targets: np.ndarray, lengths: np.ndarray) ->
 
 def train(flat: np.ndarray, targets: np.ndarray, lengths: np.ndarray, rate: float = 0.02) -> np.ndarray:
     """One pass of Adam over the units of the texts' classes, from the weights ``flat``; returns new weights."""
-    b, root = Batches(targets, lengths), np.sqrt(WIDTH)
+    b, room, k, root = Batches(targets, lengths), Room(BATCH), CLASSES + 1, np.sqrt(WIDTH)
     order = np.random.default_rng(len(targets)).permutation(len(b.start))
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    away, k = np.maximum(AWAY, 0).ravel(), CLASSES + 1
+    flat = flat.astype(np.float32)
+    m, v, grad, by = (np.zeros_like(flat) for _ in range(4))
+    p, g = Attention.of(flat), Attention.of(grad)  # views
+    away = np.maximum(AWAY, 0).ravel()
     for step, first in enumerate(range(0, len(order), BATCH), 1):
-        pick, p = order[first : first + BATCH], Attention.of(flat)
+        pick = order[first : first + BATCH]
         pair, mask, own_values, values = p.tables()
-        _, c, own, t, at, a = b.attend(pick, pair, mask)
+        _, c, own, t, at, a = b.attend(pick, pair, mask, room)
         ok = (np.arange(UNIT) < b.used[pick, None]).astype(np.float32)
-        to, to_own = c[:, None, :] * CLASSES + t[:, :, None], own * CLASSES + t
-        r = a * values.take(to)
+        to_own = own * CLASSES + t
+        to, r = room.values(values, c, t)
+        r *= a
         r[:, _DIAGONAL, _DIAGONAL + UNIT] = a[:, _DIAGONAL, _DIAGONAL + UNIT] * own_values.take(to_own)
-        r /= np.einsum("uij->ui", r)[:, :, None]  # how much each place explains the target
-        r *= ok[:, :, None]
+        r *= (ok / np.einsum("uij->ui", r))[:, :, None]  # how much each place explains the target
         a *= ok[:, :, None]
         a -= r
         last = r[:, _DIAGONAL, _DIAGONAL + UNIT].copy()
         r[:, _DIAGONAL, _DIAGONAL + UNIT] = 0
-        pairs = np.bincount(at.ravel(), a.ravel(), k * k).reshape(k, k) / root
-        seen = np.bincount(to.ravel(), r.ravel(), k * CLASSES).reshape(k, CLASSES)
-        seen_own = np.bincount(to_own.ravel(), last.ravel(), k * CLASSES).reshape(k, CLASSES)
-        grad = np.concatenate([
-            (pairs @ p.key).ravel(), (pairs.T @ p.query).ravel(), np.bincount(away, a.sum(axis=0).ravel(), 2 * UNIT),
-            (own_values * seen_own.sum(axis=1, keepdims=True) - seen_own).ravel(), (values * seen.sum(axis=1, keepdims=True) - seen).ravel(),
-        ]) / max(1.0, float(ok.sum()))
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        flat = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return flat
+        pairs = (np.bincount(at.ravel(), a.ravel(), k * k).reshape(k, k) / root).astype(np.float32)
+        np.matmul(pairs, p.key, out=g.query)
+        np.matmul(pairs.T, p.query, out=g.key)
+        g.near[:] = np.bincount(away, a.sum(axis=0).ravel(), 2 * UNIT)
+        for into, held, where, share in ((g.own, own_values, to_own, last), (g.value, values, to, r)):
+            seen = np.bincount(where.ravel(), share.ravel(), k * CLASSES).reshape(k, CLASSES)
+            np.multiply(held, seen.sum(axis=1, keepdims=True), out=into, casting="same_kind")
+            into -= seen
+        grad /= max(1.0, float(ok.sum()))
+        m *= 0.9
+        m += np.multiply(grad, 0.1, out=by)
+        v *= 0.99
+        v += np.multiply(np.square(grad, out=by), 0.01, out=by)
+        np.sqrt(np.divide(v, 1 - 0.99**step, out=by), out=by)
+        by += 1e-8
+        flat -= np.multiply(np.divide(m, by, out=by), rate / (1 - 0.9**step), out=by)
+    return flat.astype(np.float64)
 
 
 def within(counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
