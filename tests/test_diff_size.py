@@ -65,3 +65,11 @@ def test_partitions_grow_with_observations(spark, monkeypatch):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # dealt once, then no shuffle
     sizes = found.groupBy("group", "allele").agg(F.sum("n")).collect()
     assert {(g, a): n for g, a, n in sizes} == {(g, a): n for g, n in (("a", 1334), ("b", 2666), (diff.ALL, 4000)) for a in ("ref", "alt")}
+
+
+def test_observations_are_not_dealt_by_scorefile(spark):
+    obs = spark.range(100).select(F.concat(F.lit("s"), F.col("id") % 3).alias("scorefile"), F.lit(5).alias("ref_count"), F.lit(6).alias("alt_count"))
+    groups = spark.createDataFrame([("a", "s0"), ("b", "s1")], "group string, scorefile string")
+    found = diff.with_groups(obs, groups)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["group"]: r["count"] for r in found.groupBy("group").count().collect()} == {"a": 34, "b": 33}
