@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiltscale.functions import moments, truncated
-from tiltscale.operators import diff
+from tiltscale.operators import combine, diff
 
 
 def _lists(problems, dist, seed=0):
@@ -73,3 +73,10 @@ def test_observations_are_not_dealt_by_scorefile(spark):
     found = diff.with_groups(obs, groups)
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["group"]: r["count"] for r in found.groupBy("group").count().collect()} == {"a": 34, "b": 33}
+
+
+def test_replicates_are_not_dealt_by_project(spark):
+    rows = spark.range(100).select((F.col("id") % 2).alias("project"), F.col("id").alias("ref_count"), F.lit(0).alias("alt_count"))
+    found = combine.gate_each(rows, spark.createDataFrame([(0, 50), (1, 90)], "project long, threshold int"), ["project"])
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["project"]: r["count"] for r in found.groupBy("project").count().collect()} == {0: 25, 1: 5}
