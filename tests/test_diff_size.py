@@ -80,3 +80,28 @@ def test_replicates_are_not_dealt_by_project(spark):
     found = combine.gate_each(rows, spark.createDataFrame([(0, 50), (1, 90)], "project long, threshold int"), ["project"])
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["project"]: r["count"] for r in found.groupBy("project").count().collect()} == {0: 25, 1: 5}
+
+
+@pytest.mark.parametrize("dist", truncated.DISTS)
+def test_all_problems_of_an_snv_in_one_pass(spark, dist):
+    keys = [*diff.SNV, "bad"]
+    rows = spark.range(900).select(F.lit("chr1").alias("chrom"), (F.col("id") % 30).alias("start"), F.lit("A").alias("alt"), F.lit(1.5).alias("bad"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 7 % 3 + 1).cast("int")).alias("group"), (F.col("id") * 7 % 11 + 5).cast("int").alias("ref_count"), (F.col("id") * 5 % 13 + 5).cast("int").alias("alt_count"))
+    found = diff.fit_groups(diff.placed(rows), keys, dist=dist, against=True, effect="entropy")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # fits met their cells in three shuffled joins before
+    # cells gathered by Spark, fitted and tested one step after the other
+    cells = diff.problems(rows, keys, dist=dist).cache()
+    fits = diff.fit_p(cells, dist=dist).cache()
+    name = lambda df: {(r.start, r.allele, r.group): r for r in df.collect()}
+    got, want = name(found), name(fits)
+    pairs, effects, moved = name(diff.pairwise(fits, cells, keys, dist=dist)), name(diff.entropy_effect(fits, cells, keys, dist=dist)), name(diff.against_all(found, keys))
+    assert got.keys() == want.keys() and pairs.keys() == effects.keys() == moved.keys()
+    for key, r in got.items():
+        w = want[key]
+        assert r.n == w.n and (r.p, r.nll, r["var"]) == pytest.approx((w.p, w.nll, w["var"]), rel=1e-9)
+        if key in pairs:
+            assert moved[key].pval == pytest.approx(pairs[key].pval, abs=1e-9) and r.p_all == want[*key[:2], diff.ALL].p
+            assert (r.es, r.es_var) == pytest.approx((effects[key].es, effects[key].es_var), abs=1e-9)
+        else:
+            assert r.p_all is None and r.es is None
+    assert diff.fit_groups(rows.limit(0), keys, dist=dist, against=True, effect="mean").count() == 0
