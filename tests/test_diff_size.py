@@ -35,6 +35,27 @@ def test_search_evaluates_few_problems_again(dist, monkeypatch):
     np.testing.assert_allclose(nll, -cells.total(cells.n * t.value), rtol=1e-10, atol=1e-10)
 
 
+@pytest.mark.parametrize("dist", ["betanb", "mcnb"])
+def test_search_takes_terms_from_series(dist, monkeypatch):
+    rng, n = np.random.default_rng(2), 4000
+    sizes = rng.integers(6, 18, n)
+    fields = {"x": rng.integers(5, 13, sizes.sum()), "r": rng.integers(5, 13, sizes.sum()).astype(float), "k": np.full(sizes.sum(), 6000.0), "n": np.ones(sizes.sum(), np.int64)}
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))
+    cells, seen, terms = diff.Cells(lists, dist), [], truncated.Likelihood.terms
+    monkeypatch.setattr(truncated.Likelihood, "terms", lambda self, p: seen.append(len(p)) or terms(self, p))
+    tables = diff.Tables(dist)
+    p, nll, var, sandwich = cells.mle(tables=tables)
+    assert sum(seen) < len(cells.likelihood.r)  # more than twice as many before: each cell's terms anew at each step
+    assert tables.made > 100
+    monkeypatch.setattr(truncated.Likelihood, "terms", terms)
+    t, inside = cells.terms(p), (p > 1e-6) & (p < 1 - 1e-6)
+    assert np.nanmax(np.abs(cells.total(cells.n * t.slope)[inside] * var[inside])) < 1e-11  # the score is zero there
+    np.testing.assert_allclose(nll, -cells.total(cells.n * t.value), rtol=1e-10, atol=1e-10)
+    np.testing.assert_allclose(var[inside], -1 / cells.total(cells.n * t.bend)[inside], rtol=1e-9)
+    at = rng.uniform(0.0001, 0.9999, n)  # some beyond all panels
+    np.testing.assert_allclose(cells.nll(at, tables), cells.nll(at), rtol=1e-10)
+
+
 def test_compound_probabilities_at_small_p():
     # all counts just above the truncation: their probability tends to one as p falls, and never passes it
     cells = truncated.Likelihood("mcnb", np.array([5.0, 6.0, 5.0]), np.array([0, 0, 1]), np.array([40.0, 7.0]), None, 4)
