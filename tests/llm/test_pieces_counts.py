@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import public_tokenizers
@@ -171,3 +172,17 @@ def test_automaton_is_greedy(first, later, word):
             break
         at, n, vocabulary = end, n + 1, later
     assert wordpiece.Automaton(first, later).count(word) == n
+
+
+def test_new_cuts_are_merged_together(monkeypatch):
+    m, lib, rng = pieces.Model(DATA), library(), random.Random(5)
+    words = ["".join(rng.choices("etaoinshr,.$é1", k=rng.randint(1, 25))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, 3000, 25)] + ["x" * 200 + " 日\U0001f600 " + "ab" * 31, "", ""]
+    slow = []
+    merge = m.merge
+    monkeypatch.setattr(m, "merge", lambda cut: slow.append(cut) or merge(cut))
+    monkeypatch.setattr(pieces, "LETTERS", 2000)
+    assert list(m.each(texts, m.encode)) == [(ids, spans_in_bytes(lib, t)) for t, ids in zip(texts, lib.encode(texts), strict=True)]
+    assert all(len(c) > pieces.SHORT or not c.isascii() for c in map(lambda c: c.lstrip(pieces.MARK), slow))
+    monkeypatch.setattr(pieces, "MEMORY", 5000)  # forgotten cuts are merged anew
+    assert [n for n, *_ in m.each(texts, m.digest)] == list(map(len, lib.encode(texts))) and len(m.number) < 1000

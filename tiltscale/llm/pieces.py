@@ -5,19 +5,21 @@ compiled character map holds, and every normalised byte keeps the source byte it
 from. Byte-pair merges by piece score then give the pieces, whose spans are projected to
 the source. Merges never join characters that no piece holds side by side. So where no
 piece has a space mark inside it the normalised text is cut before space marks, and around
-characters that stand in no longer piece, and each distinct cut is merged once.
+characters that stand in no longer piece, and each distinct cut is merged once. The cuts
+that a few texts bring for the first time are merged together, a merge of each at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ from . import shared
 MARK = "▁"
 #: Bytes that a task spends on remembering the ids of cuts.
 MEMORY = 48_000_000
+#: Longest cut that is merged with others, and characters of those merged together.
+SHORT, TOGETHER = 60, 100_000
+#: Letters of the texts whose cuts are merged together, if there are several.
+LETTERS = 500_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
@@ -86,6 +92,65 @@ class CharMap:
         return found
 
 
+class Pairs:
+    """What neighbours merge to: pieces and their characters as numbers, pairs of them, and merges of many cuts at once."""
+
+    #: Of what merges with nothing, of a place whose character was merged to the one before it.
+    OTHER, GONE = 0, -1
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, int], none: int) -> None:
+        texts = list(dict.fromkeys([*(c for p in ids for c in p), *ids]))
+        number = {t: i for i, t in enumerate(texts, 1)}
+        self.many, self.none = len(texts) + 1, none
+        self.of_char = np.zeros(0x110000, np.int32)
+        for t in texts:
+            if len(t) == 1:
+                self.of_char[ord(t)] = number[t]
+        #: Ids of the numbered; -1 of characters that are no pieces.
+        self.ids = np.array([-1, *(ids.get(t, -1) for t in texts)], np.int32)
+        found = sorted((number[p[:i]] * self.many + number[p[i:]], rank[p], number[p]) for p in ids for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        # the last stands for pairs that do not merge
+        self.codes, self.rank, self.merged = (np.array([*x, y], t) for x, y, t in zip(zip(*found, strict=True) if found else ((), (), ()), (1 << 62, none, self.OTHER), (np.int64, np.int32, np.int32), strict=True))
+
+    def _place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        code = a.astype(np.int64) * self.many + b
+        at = np.searchsorted(self.codes, code)
+        return np.where(self.codes[at] == code, at, len(self.codes) - 1)
+
+    def merge(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all cuts, one after the other, and how many each has; no cut is empty, the longest comes last."""
+        wide, sizes = len(cuts[-1]), np.fromiter(map(len, cuts), np.int64, len(cuts))
+        inside = np.arange(wide) < sizes[:, None]
+        parts = np.full(inside.shape, self.GONE, np.int32)
+        parts[inside] = self.of_char[np.frombuffer("".join(cuts).encode("utf-32-le"), np.uint32)]
+        to = np.full(inside.shape, len(self.codes) - 1, np.int64)
+        both = inside[:, 1:]
+        to[:, :-1][both] = self._place(parts[:, :-1][both], parts[:, 1:][both])
+        rank = self.rank[to]
+        # one place more, before and after each cut, for the neighbours that its ends lack
+        after = np.tile(np.arange(1, wide + 2, dtype=np.int32), (len(cuts), 1))
+        before = np.tile(np.arange(-1, wide, dtype=np.int32), (len(cuts), 1))
+        rows = np.arange(len(cuts))
+        while len(rows):
+            i = rank[rows].argmin(axis=1)  # the leftmost of equals
+            going = rank[rows, i] < self.none
+            rows, i = rows[going], i[going]
+            j = after[rows, i]
+            k, h = after[rows, j], before[rows, i]
+            parts[rows, i], parts[rows, j] = self.merged[to[rows, i]], self.GONE
+            after[rows, i], before[rows, k] = k, i
+            rank[rows, j] = self.none
+            for left, right, ok in ((i, k, k < sizes[rows]), (h, i, h >= 0)):
+                at = np.full(len(rows), len(self.codes) - 1)
+                at[ok] = self._place(parts[rows[ok], left[ok]], parts[rows[ok], right[ok]])
+                to[rows[ok], left[ok]] = at[ok]
+                rank[rows[ok], left[ok]] = self.rank[at[ok]]
+                if left is i:
+                    rank[rows[~ok], i[~ok]] = self.none
+        left = parts != self.GONE
+        return self.ids[parts[left]], left.sum(axis=1)
+
+
 class Model:
     """A byte-pair model: pieces, normaliser and decoder."""
 
@@ -118,6 +183,7 @@ class Model:
         order = {s: k for k, s in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {p: order[self.scores[i]] for p, i in self.ids.items()}
         self.none = len(order)
+        self.pairs = Pairs(self.ids, self.rank, self.none)
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = re.escape("".join(chr(i) for i in range(128) if chr(i) not in joined))
@@ -129,11 +195,7 @@ class Model:
         #: Bytes of each piece, none for bytes inside a character, and of the character that a byte's piece begins.
         self.size = np.array([len(p.encode()) if t == NORMAL else int(t == BYTE and self._shown(i) < b"\x80") for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True))])
         self.lead = np.array([1 + sum(self._shown(i) >= b for b in (b"\xc0", b"\xe0", b"\xf0")) if t == BYTE and self._shown(i) >= b"\xc0" else 0 for i, t in enumerate(self.types)])
-        self.known = self.memory()
-
-    def memory(self) -> shared.Memo:
-        """Ids of the cuts met lately."""
-        return shared.Memo(self._ids_of, MEMORY)
+        self.forget()
 
     def _shown(self, i: int) -> bytes:
         """What a piece adds to a decoded sentence."""
@@ -201,7 +263,7 @@ class Model:
     def merge(self, cut: str) -> list[str]:
         """Byte-pair merges, the best score first and the leftmost of equals."""
         parts, rank, none = list(cut), self.rank, self.none
-        if len(parts) <= 60:
+        if len(parts) <= SHORT:
             ranks = [rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
             while ranks and (best := min(ranks)) < none:
                 i = ranks.index(best)
@@ -255,6 +317,47 @@ class Model:
         found = tuple(map(self.ids.get, self.merge(cut)))
         return tuple(self.cut_ids(cut)[0]) if None in found else found
 
+    def forget(self) -> None:
+        """Forget the cuts met so far: their numbers, and of each number where in ``flat`` its ids begin and how many there are."""
+        self.number, self.used, self.ready = defaultdict(itertools.count().__next__), 0, {}
+        self.flat, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _cut(self, text: str) -> list[str]:
+        return self.cuts.findall(MARK + text.replace(" ", MARK) if self.plain and text else self.normalize(text)[0])
+
+    def learn(self, texts: list[str]) -> None:
+        """Number the cuts of the texts, and merge together those that are new."""
+        if self.used > MEMORY:
+            self.forget()
+        number, self.ready = self.number.__getitem__, {}
+        for t in texts:
+            cuts = self._cut(t)
+            self.ready[t] = np.fromiter(map(number, cuts), np.int64, len(cuts))
+        new = list(itertools.islice(reversed(self.number), len(self.number) - len(self.count)))[::-1]
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        self.used += 210 * len(new) + 6 * int(lengths.sum())  # entries, letters, places and ids
+        order, first = np.argsort(lengths, kind="stable"), 0
+        lengths, begin, count, flat, size = lengths[order], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
+        while first < len(new):
+            longest = lengths[first] + 3
+            end = min(int(np.searchsorted(lengths, longest, "right")), first + max(1, TOGETHER // int(longest)))
+            at, first = order[first:end], end
+            some = [new[i] for i in at]
+            ids, sizes = self.pairs.merge(some) if len(some[-1]) <= SHORT else (np.full(len(some), -1), np.ones(len(some), np.int64))
+            if (ids < 0).any():  # long ones and those spelt in bytes
+                starts = np.cumsum(sizes) - sizes
+                each = [self._ids_of(c) if odd else ids[i : i + n] for c, odd, i, n in zip(some, np.minimum.reduceat(ids, starts) < 0, starts, sizes, strict=True)]
+                ids, sizes = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+            begin[at], count[at] = size + np.cumsum(sizes) - sizes, sizes
+            flat.append(ids.astype(np.int32))
+            size += len(ids)
+        self.flat, self.begin, self.count = np.concatenate(flat), np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+
+    def _ids_at(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered cuts, one after the other."""
+        sizes = self.count[numbers]
+        return self.flat[np.repeat(self.begin[numbers] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
     def surface(self, ids: list[int]) -> str:
         """The text of pieces inside a sentence."""
         return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
@@ -268,11 +371,10 @@ class Model:
     def decode(self, ids: list[int]) -> str:
         return self._first_cut(self.surface(ids))
 
-    def span_sizes(self, ids: list[int], cuts: list[str]) -> np.ndarray:
-        """Normalised bytes that each id spans, as ``cut_ids`` gives them; the spans leave no gaps."""
-        at = np.array(ids, np.int64)
+    def span_sizes(self, at: np.ndarray, text: str) -> np.ndarray:
+        """Normalised bytes that each id of a text spans, as ``cut_ids`` gives them; the spans leave no gaps."""
         if (at == self.unknown).any():
-            return np.array([b - a for c in cuts for a, b in self.cut_ids(c)[1]], np.int64)
+            return np.array([b - a for c in self._cut(text) for a, b in self.cut_ids(c)[1]], np.int64)
         sizes, lead = self.size[at], self.lead[at]
         if lead.any():  # the last byte's piece has the span of its character
             first = np.flatnonzero(lead)
@@ -281,12 +383,12 @@ class Model:
 
     def aligned(self, text: str) -> tuple[list[int], np.ndarray]:
         """Ids, and the source bytes where they begin and, last, end."""
-        normal, source = self.normalize(text)
-        cuts = self.cuts.findall(normal)
-        ids = list(chain.from_iterable(map(self.known.__getitem__, cuts)))
+        if text not in self.ready:
+            self.learn([text])
+        ids, source = self._ids_at(self.ready[text]), self.normalize(text)[1]
         at = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(self.span_sizes(ids, cuts), out=at[1:])
-        return ids, np.asarray(source)[at]
+        np.cumsum(self.span_sizes(ids, text), out=at[1:])
+        return ids.tolist(), np.asarray(source)[at]
 
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids, and the source byte span of each; a prefix mark spans no bytes."""
@@ -299,6 +401,18 @@ class Model:
         ids, at = self.aligned(text)
         return len(at) - 1, ",".join(map(self.id_text.__getitem__, ids)), self.decode(ids)
 
+    def each(self, texts: list[str], what: Callable) -> Iterator:
+        """``what`` of each text, where the cuts of a few are learnt together."""
+        first = 0
+        while first < len(texts):
+            end, room = first + 1, LETTERS - len(texts[first])
+            while end < len(texts) and (room := room - len(texts[end])) > 0:
+                end += 1
+            self.learn(texts[first:end])
+            yield from map(what, texts[first:end])
+            first = end
+        self.ready = {}
+
 
 @lru_cache(4)
 def model(path: str) -> Model:
@@ -313,7 +427,7 @@ def remembering(path: str) -> Iterator[Model]:
     try:
         yield m
     finally:
-        m.known = m.memory()
+        m.forget()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -332,7 +446,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for batch in batches:
                 for first in range(0, len(batch), 200):  # small batches: the lists are many times the text
                     part = batch.slice(first, 200)
-                    found = [m.encode(t.as_py()) for t in part.column("text")]
+                    found = list(m.each(part.column("text").to_pylist(), m.encode))
                     lists = [[ids for ids, _ in found], [[a for a, _ in s] for _, s in found], [[b for _, b in s] for _, s in found]]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.list_(pa.int32())) for x in lists]], ["doc_id", "ids", "begins", "ends"])
 
@@ -351,8 +465,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         with remembering(path) as m:
             for batch in batches:
                 counts, ids, decoded = [], [], []
-                for text in batch.column("text"):
-                    n, a, b = m.digest(text.as_py())
+                for n, a, b in m.each(batch.column("text").to_pylist(), m.digest):
                     counts.append(n)
                     ids.append(hashlib.sha256(a.encode()).hexdigest())
                     decoded.append(hashlib.sha256(b.encode()).hexdigest())
