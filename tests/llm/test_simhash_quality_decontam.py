@@ -290,3 +290,33 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty):
     wide = spark.createDataFrame([(i, f" 　\n{' '.join(f'w{i}x{k}' for k in range(20))}", "h") for i in range(30)], "doc_id long, text string, source string")
     cleaned = [r.text for r in quality.clean(wide).collect()]  # a line of other than ASCII white space is a word
     assert len(cleaned) == 30 and all("　" not in t for t in cleaned)
+
+
+def test_near_duplicates_are_found_in_bk_trees_of_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(-(2**63), 2**63 - 1, 12)
+    n = 900
+    tree = np.sort(rng.integers(-4, 4, n))
+    code = seeds[rng.integers(0, 12, n)] ^ np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 63, (7, n)), axis=0)
+    key, size, pos = rng.permutation(n), rng.integers(90, 110, n), rng.integers(0, 25, n)
+    order = np.lexsort((key ^ tree, pos, tree))
+    want = {}
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            near = np.bitwise_count((code[a] ^ code[b]).view(np.uint64)) <= similar.RADIUS
+            if tree[a] == tree[b] and near and 9 * min(size[a] - pos[a], size[b] - pos[b]) >= 4 * (size[a] + size[b]):
+                want[a] = b
+                break
+    assert len(want) > n / 3 and dict(zip(*similar.tree_pairs(tree, key, size, pos, code), strict=True)) == want
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in similar.tree_pairs(none, none, none, none, none)] == [0, 0]
+    # all near copies are found there, also those of a shingle with many trees; the exact check has nothing left to find
+    words = [[f"w{c}x{i}" for i in range(120)] for c in range(3)]
+    texts = [" ".join(["one two three four five", *w[:k], f"other{k}", *w[k + 1 :]]) for w in words for k in range(20, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, verified = [], similar._verified
+    monkeypatch.setattr(similar, "TREE", 8)
+    monkeypatch.setattr(similar, "_verified", lambda *args: found.append(verified(*args)) or found[-1])
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    assert got == {i: i // 40 * 40 for i in range(120)}
+    assert found[0].count() >= 117 and found[1].count() == 0

@@ -7,12 +7,16 @@ their parent) and looks every member up, following only edges within the radius.
 has about ``SHARD_NODES`` members however large the input is, and reports each member's
 in-shard root, so its output is linear in its members. The trees stay where they are
 built: sending them to all tasks would take every fingerprint through the driver.
+
+The pipeline's stage (``drop_near_duplicates``) searches BK-trees of fingerprints of 5-word
+shingles within a radius too wide for bands; ``similar`` deals these fingerprints to trees
+by shingles instead, verifies what the trees find, and then makes the links exact.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,9 +48,15 @@ def fingerprint(text: bytes | None, n: int = WORDS) -> int:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         stop = np.cumsum(sizes + 1) - 1
         starts, ends = (stop - sizes)[: 1 - n].tolist(), stop[n - 1 :].tolist()
-    digest, total, counts = xxhash.xxh64_intdigest, len(starts), np.zeros(BITS, np.int64)
-    for at in range(0, total, CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], "<u8")
+    digest, total = xxhash.xxh64_intdigest, len(starts)
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], "<u8") for at in range(0, total, CHUNK))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The 64 bits that more than half of the hashes, in arrays of any size, have set; zero without hashes."""
+    total, counts = 0, np.zeros(BITS, np.int64)
+    for h in hashes:
+        total += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
@@ -64,12 +74,17 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit codes, in arrays; codes are inserted in the given order."""
+    """A BK-tree over 64-bit codes, in arrays; codes are inserted in the given order.
+
+    With ``root``, the place of the first code of each code's tree, there are several trees. Of equal codes each hangs below the one before it.
+    """
 
-    def __init__(self, codes: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, root: np.ndarray | None = None) -> None:
         self.codes = codes
+        self.root = np.zeros(len(codes), np.int64) if root is None else root
         keys, nodes = [], []
-        at, left = np.zeros(max(len(codes) - 1, 0), np.int64), np.arange(1, len(codes))
+        left = np.flatnonzero(self.root != np.arange(len(codes)))
+        at = self.root[left]
         while len(left):  # all codes go down one edge; the first on an edge becomes its child
             edge = at * (BITS + 1) + np.bitwise_count(codes[left] ^ codes[at])
             new, first, which = np.unique(edge, return_index=True, return_inverse=True)
@@ -82,22 +97,20 @@ class BKTree:
         order = np.argsort(keys)
         self.keys, self.nodes = keys[order], nodes[order]
 
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) of codes within ``radius`` bits, by position."""
-        who, where = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+    def search(self, queries: np.ndarray, radius: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, node) of codes within ``radius`` bits, by position; ``root`` names the tree of each query."""
+        who, where = np.arange(len(queries)), np.zeros(len(queries), np.int64) if root is None else root
         found = []
         while len(who) and len(self.codes):
             d = np.bitwise_count(queries[who] ^ self.codes[where]).astype(np.int64)
             near = d <= radius
             found.append((who[near], where[near]))
-            steps = []
-            for away in range(-radius, radius + 1):
-                edge = where * (BITS + 1) + d + away
-                at = np.searchsorted(self.keys, edge)
-                ok = (d + away >= 0) & (d + away <= BITS) & (at < len(self.keys))
-                ok[ok] = self.keys[at[ok]] == edge[ok]
-                steps.append((who[ok], self.nodes[at[ok]]))
-            who, where = (np.concatenate(x) for x in zip(*steps, strict=True))
+            # edges of a node are sorted by distance, and those within the radius of d lie side by side
+            edge = where * (BITS + 1)
+            first = np.searchsorted(self.keys, edge + np.maximum(d - radius, 0))
+            sizes = np.searchsorted(self.keys, edge + np.minimum(d + radius, BITS), "right") - first
+            who = np.repeat(who, sizes)
+            where = self.nodes[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(who))]
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
