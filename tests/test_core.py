@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tiltscale.functions import moments, special, truncated
@@ -530,3 +531,17 @@ def test_binomial_tests_of_large_counts_and_small_ones(spark):
     whole = lambda p: [math.exp(math.lgamma(901) - math.lgamma(i + 1) - math.lgamma(901 - i) + i * math.log(p) + (900 - i) * math.log(1 - p)) for i in range(5, 896)]
     want = sum(w * sum(whole(p)[395:]) / sum(whole(p)) for w, p in ((0.7, 2 / 3), (0.3, 1 / 3)))
     assert got[400, 500].ref_pval == pytest.approx(want, rel=1e-9)
+
+
+def test_score_lists_keep_the_order_of_the_input_where_keys_tie(spark, tmp_path):
+    """D13: rows of one sample and row_order are listed as their files, by name, and the rows in them."""
+    (folder := tmp_path / "lineitem.parquet").mkdir()
+    files_of = {"a": (43, 19), "b": (50, 8, 30, 11, 27, 30)}  # Spark reads the larger file first
+    for name, counts in files_of.items():
+        keys = {"l_orderkey": 1294, "l_partkey": 123, "l_suppkey": 0, "l_linenumber": 4, "l_returnflag": "N"}
+        pq.write_table(pa.table({**{k: [v] * len(counts) for k, v in keys.items()}, "l_quantity": [float(x) for x in counts]}), folder / f"{name}.parquet")
+    (got,) = registry().queries["d13_score_lists"](spark, str(tmp_path)).collect()
+    pairs = [(2.0, x, 30) for counts in files_of.values() for x in counts]
+    scores = {r.ref_count: r for r in score.binomial_test(spark.createDataFrame(pairs, "bad double, ref_count int, alt_count int")).collect()}
+    for c in ("ref_pval", "ref_es", "alt_pval", "alt_es"):
+        assert [float(v) for v in got[f"{c}s"].split(",")] == pytest.approx([scores[x][c] for _, x, _ in pairs], abs=6e-4)
